@@ -14,19 +14,12 @@ WHOLE_TOLERANCE = 1e-9
 # ----------------------------------------------------------------------------------------
 
 INFINITY = float("inf")
-PLAIN_NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-NAMED_INFINITY = r"(?i)\A[+-]?inf(?:inity)?\z"
+NUMBER = r"(?i)\A\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)\s*\z"
 
 
 def to_number(c: Column) -> Column:
     """Text to double; anything unparsable is NaN. Java-only spellings such as '12d' do not pass."""
-    text = strip(c)
-    infinite = F.when(text.startswith("-"), F.lit(-INFINITY)).otherwise(F.lit(INFINITY))
-    return (
-        F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
-        .when(text.rlike(NAMED_INFINITY), infinite)
-        .otherwise(F.lit(float("nan")))
-    )
+    return F.coalesce(F.when(c.rlike(NUMBER), c.try_cast("double")), F.lit(float("nan")))
 
 
 def positive_finite(c: Column) -> Column:
@@ -63,10 +56,13 @@ def variant_at(record: Column, path: str) -> Column:
     return F.try_variant_get(record, path, "variant")
 
 
+def text_of(v: Column) -> Column:
+    """The text a variant holds, NULL when it holds anything else."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def variant_text(record: Column, path: str) -> Column:
-    """The text at a path, NULL when the value there is not text."""
-    is_text = F.schema_of_variant(variant_at(record, path)) == "STRING"
-    return F.when(is_text, F.try_variant_get(record, path, "string"))
+    return text_of(variant_at(record, path))
 
 
 def parse_market_cap(v: Column) -> Column:
@@ -85,9 +81,17 @@ def parse_market_cap(v: Column) -> Column:
     return F.when(cap > 0, cap)
 
 
+def first_cap(values: list[Column]) -> Column:
+    return F.coalesce(*[parse_market_cap(v) for v in values])
+
+
+def first_name(values: list[Column]) -> Column:
+    return F.coalesce(*[blank_to_null(text_of(v)) for v in values], F.lit(""))
+
+
 def market_cap(record: Column) -> Column:
-    return F.coalesce(*[parse_market_cap(variant_at(record, p)) for p in CAP_PATHS])
+    return first_cap([variant_at(record, p) for p in CAP_PATHS])
 
 
 def company_name(record: Column) -> Column:
-    return F.coalesce(*[blank_to_null(variant_text(record, p)) for p in NAME_PATHS], F.lit(""))
+    return first_name([variant_at(record, p) for p in NAME_PATHS])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.numbers import company_name, market_cap, variant_at, variant_text
+from barlake.functions.numbers import CAP_PATHS, NAME_PATHS, first_cap, first_name, text_of, variant_at
 from barlake.functions.text import (
     ALLOWED_FEED_EXCHANGES,
     ALLOWED_LISTING_EXCHANGES,
@@ -37,19 +37,35 @@ REPORT_COUNTS = {
 
 
 def screener_fields(records: DataFrame, record: str = "record", order: str = "ord") -> DataFrame:
-    """The typed fields of VARIANT screener records; a record that is no object has none."""
+    """The typed fields of VARIANT screener records; a record that is no object has none.
+
+    Two layers: the record is navigated once per field, then the small values are judged. Spark
+    keeps the layers apart because the second uses each value several times.
+    """
     r = F.col(record)
-    is_object = F.coalesce(F.schema_of_variant(r).startswith("OBJECT"), F.lit(False))
-    raw = F.try_variant_get(r, "$.symbol", "string")
-    return records.select(
+    found = records.select(
+        order,
+        F.coalesce(F.schema_of_variant(r).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+        F.try_variant_get(r, "$.symbol", "string").alias("_raw"),
+        variant_at(r, "$.symbol").alias("_symbol"),
+        *[variant_at(r, p).alias(f"_name{i}") for i, p in enumerate(NAME_PATHS)],
+        variant_at(r, "$.exchange").alias("_exchange"),
+        *[variant_at(r, p).alias(f"_cap{i}") for i, p in enumerate(CAP_PATHS)],
+        variant_at(r, "$.quoteType").alias("_type"),
+    )
+
+    def shouted(c: Column) -> Column:
+        return F.coalesce(F.upper(strip(c)), F.lit(""))
+
+    return found.select(
         order,
-        is_object.alias("is_object"),
-        F.when(is_object, F.coalesce(F.upper(strip(raw)), F.lit(""))).otherwise("").alias("raw_symbol"),
-        F.when(is_object, normalize_ticker(variant_text(r, "$.symbol"))).alias("ticker"),
-        F.when(is_object, company_name(r)).otherwise("").alias("company_name"),
-        F.when(is_object, F.coalesce(F.upper(strip(variant_text(r, "$.exchange"))), F.lit(""))).otherwise("").alias("yahoo_exchange"),
-        F.when(is_object, market_cap(r)).alias("market_cap"),
-        F.when(is_object, F.coalesce(F.upper(strip(variant_text(r, "$.quoteType"))), F.lit(""))).otherwise("").alias("quote_type"),
+        "is_object",
+        shouted(F.col("_raw")).alias("raw_symbol"),
+        normalize_ticker(text_of(F.col("_symbol"))).alias("ticker"),
+        first_name([F.col(f"_name{i}") for i in range(len(NAME_PATHS))]).alias("company_name"),
+        shouted(text_of(F.col("_exchange"))).alias("yahoo_exchange"),
+        first_cap([F.col(f"_cap{i}") for i in range(len(CAP_PATHS))]).alias("market_cap"),
+        shouted(text_of(F.col("_type"))).alias("quote_type"),
     )
 
 

@@ -18,12 +18,12 @@ BAR = "date, ticker, close, adj_close, volume"
 
 @query("w1_fold_duplicates", "SELECT * FROM folded")
 def w1(spark, sf):
-    return B.fold_keys(B.valid_rows(I.dirty(spark, sf), I.START, I.END))
+    return B.fold_raw(I.dirty(spark, sf), I.START, I.END).where("copies > 0").drop("invalid")
 
 
 @query("w1_conflicting_keys", "SELECT date, ticker, copies FROM folded WHERE conflict")
 def w1_conflicts(spark, sf):
-    return B.conflicts(B.fold_keys(B.valid_rows(I.dirty(spark, sf), I.START, I.END)))
+    return B.conflicts(B.fold_raw(I.dirty(spark, sf), I.START, I.END))
 
 
 @query("w2_keep_last_by_source", f"SELECT {BAR} FROM merged")
@@ -33,6 +33,17 @@ def w2(spark, sf):
     return up.keep_last_by_source(old.unionByName(new), "source")
 
 
+@query(
+    "w1_fold_typed_feed",
+    """SELECT date, ticker, min(close) AS close, min(adj_close) AS adj_close, CAST(min(volume) AS BIGINT) AS volume, count(*) AS copies,
+         count(DISTINCT close) > 1 OR count(DISTINCT adj_close) > 1 OR count(DISTINCT volume) > 1 AS conflict
+       FROM raw_bars WHERE date >= DATE '1995-07-01' AND date < DATE '2001-07-01' AND close > 0 AND adj_close > 0 GROUP BY date, ticker""",
+)
+def w1_typed(spark, sf):
+    """A typed feed: here the validity filter reaches the scan."""
+    return B.fold_keys(B.valid_rows(I.raw_bars(spark, sf), I.START, I.END))
+
+
 @query("w5_repeated_keys", "SELECT date, ticker, count(*) AS copies FROM raw_bars GROUP BY date, ticker HAVING count(*) > 1")
 def w5(spark, sf):
     return B.repeated_keys(I.raw_bars(spark, sf))
@@ -68,8 +79,7 @@ def w8(spark, sf):
 def a1(spark, sf):
     from barlake.operators.coverage import ticker_ranges
 
-    folded = B.fold_keys(B.valid_rows(I.dirty(spark, sf), I.START, I.END))
-    return ticker_ranges(B.folded_bars(folded))
+    return ticker_ranges(B.folded_bars(B.fold_raw(I.dirty(spark, sf), I.START, I.END)))
 
 
 @query("a3_rows_per_year", "SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS row_count FROM raw_bars GROUP BY 1")
@@ -89,7 +99,7 @@ def a10(spark, sf):
 
 @query("a11_duplicate_rows", "SELECT CAST(sum(copies - 1) AS BIGINT) AS duplicate_rows FROM folded WHERE NOT conflict")
 def a11(spark, sf):
-    return B.duplicates_removed(B.fold_keys(B.valid_rows(I.dirty(spark, sf), I.START, I.END)))
+    return B.duplicates_removed(B.fold_raw(I.dirty(spark, sf), I.START, I.END))
 
 
 @query("a12_distinct_tickers_years", "SELECT count(DISTINCT ticker) AS tickers, count(DISTINCT year(date)) AS years FROM raw_bars")

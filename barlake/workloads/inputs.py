@@ -245,44 +245,51 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def dirty_text(spark: SparkSession, sf: str) -> DataFrame:
-    """A feed as text, with damaged values and a repeated part."""
+def dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """A raw feed with damaged values (missing dates, NaN, negative, infinite, fractional) and
+    a part of its rows delivered twice."""
     lines = table(spark, sf, "lineitem")
     lines = lines.unionByName(lines.where("l_returnflag = 'A'"))
-    n, discount, tax, quantity = F.col("l_linenumber"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    n, price, quantity = F.col("l_linenumber"), F.col("l_extendedprice"), F.col("l_quantity")
+    undiscounted, untaxed = F.col("l_discount") <= 0.005, F.col("l_tax") <= 0.005
     close = (
-        F.when(discount > 0.005, F.col("l_extendedprice").cast("string"))
-        .when(n == 2, "n/a")
-        .when(n == 3, "-1.0")
-        .when(n == 4, " inf ")
-        .otherwise(F.col("l_extendedprice").cast("string"))
-    )
-    adjusted = F.when((n == 5) & (discount < 0.005), "0").otherwise(
-        (F.col("l_extendedprice") * (1 - discount)).cast("string")
+        F.when(undiscounted & (n == 2), float("nan"))
+        .when(undiscounted & (n == 3), -1.0)
+        .when(undiscounted & (n == 4), float("inf"))
+        .otherwise(price)
     )
     volume = (
-        F.when(tax > 0.005, quantity)
-        .when(n == 1, quantity + 0.5)
-        .when(n == 2, -quantity)
-        .when(n == 3, quantity + 0.0000000001)
+        F.when(untaxed & (n == 1), quantity + 0.5)
+        .when(untaxed & (n == 2), -quantity)
+        .when(untaxed & (n == 3), quantity + 0.0000000001)
         .otherwise(quantity)
     )
     return lines.select(
-        F.when((n == 7) & (F.col("l_returnflag") == "R"), "bad date")
-        .otherwise(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T23:30:00-05:00")))
-        .alias("date"),
+        F.when(~((n == 7) & (F.col("l_returnflag") == "R")), F.to_date("l_shipdate")).alias("date"),
         _key("P", "l_partkey").alias("ticker"),
         close.alias("close"),
-        adjusted.alias("adj_close"),
-        volume.cast("string").alias("volume"),
+        F.when((n == 5) & undiscounted, 0.0).otherwise(price * (1 - F.col("l_discount"))).alias("adj_close"),
+        volume.alias("volume"),
     )
 
 
-def dirty(spark: SparkSession, sf: str) -> DataFrame:
+def dirty_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The same feed as text, with a zone on its dates and words for what is no number."""
+    rows = dirty(spark, sf)
+
+    def spelled(c: str) -> Column:
+        return F.when(F.isnan(c), "n/a").when(F.col(c) == float("inf"), " inf ").otherwise(F.col(c).cast("string"))
+
+    stamp = F.coalesce(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T23:30:00-05:00")), F.lit("bad date"))
+    return rows.select(stamp.alias("date"), "ticker", *[spelled(c).alias(c) for c in ("close", "adj_close", "volume")])
+
+
+def parsed(text: DataFrame) -> DataFrame:
+    """A text feed as typed raw bars."""
     from barlake.functions.dates import calendar_date
     from barlake.functions.numbers import to_number
 
-    return dirty_text(spark, sf).select(
+    return text.select(
         calendar_date(F.col("date")).alias("date"),
         "ticker",
         *[to_number(F.col(c)).alias(c) for c in ("close", "adj_close", "volume")],

@@ -181,7 +181,7 @@ def p14(spark, sf):
 def p15(spark, sf):
     close = F.col("close")
     finite = F.when((close > float("-inf")) & (close < float("inf")), close)
-    return I.dirty(spark, sf).groupBy("ticker").agg(
+    return I.parsed(I.dirty_text(spark, sf)).groupBy("ticker").agg(
         F.count_if(F.isnan(close)).alias("unparsable"),
         F.count_if(F.abs(close) == float("inf")).alias("infinite"),
         F.min(finite).alias("low"),

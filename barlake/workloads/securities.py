@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from barlake.operators import quality as Q
 from barlake.operators import universe as U
-from barlake.schema import EXCLUDED_SCHEMA, PAGE_SIZE, UNIVERSE_SIZE
+from barlake.plans.universe import qualify_candidates
+from barlake.schema import PAGE_SIZE, UNIVERSE_SIZE
+from barlake.session import cut
 from barlake.sinks.reports import write_csv
 from barlake.sources import directory as D
 from barlake.sources import universe as SU
@@ -21,11 +23,13 @@ def evaluated(spark, sf):
 
 
 def split(spark, sf):
-    return U.split_candidates(evaluated(spark, sf))
+    q = qualify_candidates(I.feed(spark, sf), I.directory(spark, sf), I.manual(spark, sf), materialize=True)
+    return q.candidates, q.excluded
 
 
 def selected(spark, sf):
-    return U.select_top(split(spark, sf)[0])
+    q = qualify_candidates(I.feed(spark, sf), I.directory(spark, sf), I.manual(spark, sf))
+    return U.select_top(q.candidates)
 
 
 def pipe_rows(spark, sf, label, rows, names):
@@ -176,7 +180,7 @@ def j2(spark, sf):
 
 @query("w3_best_candidate", "SELECT ord, ticker, market_cap, company_name FROM candidates")
 def w3(spark, sf):
-    return split(spark, sf)[0].select("ord", "ticker", "market_cap", "company_name")
+    return U.best_per_ticker(evaluated(spark, sf).where("exclusion_reason IS NULL")).select("ord", "ticker", "market_cap", "company_name")
 
 
 @query("w3_duplicate_exclusions", "SELECT ticker, market_cap FROM excluded WHERE exclusion_reason = 'duplicate'")
@@ -191,7 +195,8 @@ def w4(spark, sf):
 
 @query("o2_candidate_sort", "SELECT ticker, market_cap FROM candidates ORDER BY market_cap DESC, ticker")
 def o2(spark, sf):
-    return U.candidate_sort(split(spark, sf)[0]).select("ticker", "market_cap")
+    kept = evaluated(spark, sf).where("exclusion_reason IS NULL")
+    return U.candidate_sort(U.best_per_ticker(kept)).select("ticker", "market_cap")
 
 
 @query("o3_exclusion_sort", "SELECT * FROM excluded ORDER BY exclusion_reason, ticker, coalesce(market_cap, 0) DESC")
@@ -228,7 +233,7 @@ def o5(spark, sf):
          WHERE running >= 400 OR raw_count < 250), 9000000000000)""",
 )
 def o6(spark, sf):
-    rows = evaluated(spark, sf).select("ord", "ticker", "exclusion_reason")
+    rows = cut(evaluated(spark, sf).select("ord", "ticker", "exclusion_reason"))
     per_page = rows.select("ord", F.floor(F.col("ord") / PAGE_SIZE).alias("page"), F.lit(True).alias("is_new"))
     sizes = per_page.groupBy("page").agg(F.count(F.lit(1)).alias("raw_count"))
     kept = rows.where("exclusion_reason IS NULL").select("ord", "ticker")
@@ -273,7 +278,7 @@ def a14(spark, sf):
 )
 def a17(spark, sf):
     candidates, excluded = split(spark, sf)
-    top = U.select_top(candidates)
+    top = cut(U.select_top(candidates))
     combined = I.combined_directory(spark, sf)
     report = U.build_report(
         I.feed(spark, sf), D.raw_record_count(combined), candidates, excluded, U.universe_rows(top), U.audit_rows(top), UNIVERSE_SIZE
@@ -304,7 +309,7 @@ SHIFTED = """(SELECT CASE WHEN market_cap % 5 = 0 THEN lower(ticker) ELSE ticker
        WHERE nc IS NOT NULL AND NOT (market_cap > nc OR (market_cap = nc AND ticker <= nt))""",
 )
 def w9(spark, sf):
-    return Q.rank_breaks(shifted(spark, sf)).select("market_cap_rank", "ticker")
+    return Q.rank_breaks(cut(shifted(spark, sf))).select("market_cap_rank", "ticker")
 
 
 @query(
@@ -319,11 +324,12 @@ def w9(spark, sf):
              AND NOT (market_cap > nc OR (market_cap = nc AND ticker <= nt)))}}], recursive := true) FROM {SHIFTED}) WHERE n > 0""",
 )
 def v6(spark, sf):
-    return Q.universe_violations(shifted(spark, sf), UNIVERSE_SIZE).select("rule", "n")
+    return Q.universe_violations(cut(shifted(spark, sf)), UNIVERSE_SIZE).select("rule", "n")
 
 
-def doubted(spark, sf):
-    audit = U.audit_rows(selected(spark, sf))
+def doubted(top):
+    """Audit rows with defects by rule over all rows."""
+    audit = U.audit_rows(top)
     cap = F.col("market_cap")
     return audit.withColumns(
         {
@@ -347,9 +353,11 @@ def doubted(spark, sf):
           {'rule': 'not_equity', 'n': count(*) FILTER (WHERE market_cap % 13 = 0)}], recursive := true) FROM selected) WHERE n > 0""",
 )
 def v7(spark, sf):
-    return Q.audit_violations(selected(spark, sf), doubted(spark, sf), I.manual(spark, sf)).select("rule", "n")
+    top = cut(selected(spark, sf))
+    return Q.audit_violations(top, doubted(top), I.manual(spark, sf)).select("rule", "n")
 
 
 @query("j11_audit_mismatches", "SELECT market_cap_rank, ticker AS universe_ticker, ticker AS audit_ticker FROM selected WHERE market_cap % 17 = 0")
 def j11(spark, sf):
-    return Q.audit_mismatches(selected(spark, sf), doubted(spark, sf))
+    top = cut(selected(spark, sf))
+    return Q.audit_mismatches(top, doubted(top))
