@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from barlake.schema import SCHEMA_VERSION
 
 
+CHUNK = 100_000
+
+
 def _ordered(order: Column, value: Column) -> Column:
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
     return F.transform(pairs, lambda p: p["v"])
@@ -42,6 +45,25 @@ def run_key(
     return F.sha2(F.to_json(payload), 256)
 
 
+def universe_identity(universe: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row (sha, n) for a universe(ord, ticker) of any size.
+
+    Up to `chunk` tickers it is the plain line hash. Beyond that no single row may hold them, so
+    the hash is taken per run of `chunk` positions and once more over the run digests.
+    """
+    from barlake.operators.ordering import with_position
+
+    if universe.count() <= chunk:
+        return universe.agg(
+            ordered_fingerprint(F.col("ord"), F.col("ticker")).alias("sha"), F.count(F.lit(1)).alias("n")
+        )
+    placed = with_position(universe.select("ord", "ticker"), [F.col("ord"), F.col("ticker")])
+    runs = placed.groupBy(F.floor((F.col("position") - 1) / chunk).alias("run")).agg(
+        ordered_fingerprint(F.col("position"), F.col("ticker")).alias("digest"), F.count(F.lit(1)).alias("n")
+    )
+    return runs.agg(ordered_fingerprint(F.col("run"), F.col("digest")).alias("sha"), F.sum("n").alias("n"))
+
+
 def record_fingerprint(record: Column) -> Column:
     """SHA-256 of a VARIANT record; object keys are stored sorted, so key order does not matter."""
     return F.sha2(F.to_json(record), 256)

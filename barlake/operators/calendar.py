@@ -39,19 +39,14 @@ def _day_index(sessions: DataFrame, day: Column) -> DataFrame:
     )
 
 
-def _clamped(day: Column) -> Column:
-    return F.least(day, F.col("_hi"))
-
-
 def _as_of(requests: DataFrame, index: DataFrame, day: Column, usable: Column) -> DataFrame:
     """Equi join on the day instead of a range join: the answer is that day's session or the one before."""
-    last = index.agg(F.max("day").alias("_hi"))
+    last = index.agg(F.max("day")).scalar()
     return (
-        requests.join(last, F.lit(True), "left")
-        .withColumn("day", _clamped(day))
+        requests.withColumn("day", F.least(day, last))
         .join(index, "day", "left")
         .withColumn("resolved", F.when(usable, F.col("here")).otherwise(F.col("before")))
-        .drop("_hi", "day", "here", "here_close", "before")
+        .drop("day", "here", "here_close", "before")
     )
 
 

@@ -274,5 +274,5 @@ def cap_input(pages: DataFrame, qualifies: DataFrame, *, target: int, max_candid
     running = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     enough = F.sum(F.coalesce("_found", F.lit(0))).over(running) >= target
     done = enough | (F.col("_raw") < page_size) | (F.col("_new") == 0)
-    stop = sizes.join(found, "page", "left").withColumn("_done", done).where("_done").agg(F.min("page").alias("_stop"))
-    return capped.join(stop, F.lit(True)).where("_stop IS NULL OR page <= _stop").select("page", "ord")
+    stop = sizes.join(found, "page", "left").withColumn("_done", done).where("_done").agg(F.min("page")).scalar()
+    return capped.where(F.coalesce(F.col("page") <= stop, F.lit(True))).select("page", "ord")

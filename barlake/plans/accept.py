@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.errors import DataQualityError, ManifestError
-from barlake.functions.fingerprint import ordered_fingerprint
+from barlake.functions.fingerprint import universe_identity
 from barlake.operators.coverage import status_counts, universe_coverage
 from barlake.operators.gates import counted, enforce, gather, sampled
 from barlake.operators.inventory import manifest_violations, reconcile
@@ -62,9 +62,7 @@ def acceptance_violations(
     coverage = read_coverage(spark, f"{root}/ticker_coverage.csv")
     failures = read_failures(spark, f"{root}/download_failures.csv")
     expected = counts.select(F.col("year").cast("int").alias("year"), F.col("n").alias("row_count"))
-    identity = universe.agg(
-        ordered_fingerprint(F.col("ord"), F.col("ticker")).alias("sha"), F.count(F.lit(1)).alias("n")
-    )
+    identity = universe_identity(universe)
     changed = reconcile(assets, inventory(spark, root)).where("action = 'download'")
     statuses = status_counts(coverage).join(facts, F.lit(True))
     named = {"success": "successful", "no_data": "no_data", "failed": "failed"}

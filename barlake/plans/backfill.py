@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.errors import DataQualityError, IncompleteError
-from barlake.functions.fingerprint import ordered_fingerprint
+from barlake.functions.fingerprint import universe_identity
 from barlake.operators.coverage import build_coverage, failure_report, resolve_status, status_counts
 from barlake.operators.gates import enforce, gather
 from barlake.operators.quality import count_mismatches, stored_violations, unexpected_tickers
@@ -83,9 +83,7 @@ def backfill(
     actual = stored.groupBy("year").agg(F.count(F.lit(1)).alias("row_count"))
     enforce(gather(stored_violations(stored, runs, footers, start, end), count_mismatches(actual, years)))
     invalid, duplicate = cleaned.counts()
-    identity = universe.agg(
-        ordered_fingerprint(F.col("ord"), F.col("ticker")).alias("sha"), F.count(F.lit(1)).alias("n")
-    ).first()
+    identity = universe_identity(universe).first()
     manifest = manifest_statistics(
         years, coverage, universe_sha256=identity.sha, universe_count=identity.n,
         start=start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,

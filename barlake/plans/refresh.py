@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.errors import DataQualityError, IdentityError, RefreshError
-from barlake.functions.fingerprint import ordered_fingerprint
+from barlake.functions.fingerprint import universe_identity
 from barlake.operators.coverage import (
     expected_active,
     missing_at_target,
@@ -68,9 +68,7 @@ def refresh(
     empty, so the first session of a new year works; an affected year that ends up empty fails.
     """
     manifest = store.table("manifest").first()
-    identity = universe.agg(
-        ordered_fingerprint(F.col("ord"), F.col("ticker")).alias("sha"), F.count(F.lit(1)).alias("n")
-    ).first()
+    identity = universe_identity(universe).first()
     if (manifest.universe_sha256, manifest.universe_ticker_count) != (identity.sha, identity.n):
         raise IdentityError("the dataset was built from a different universe")
     dataset_start = dt.date.fromisoformat(manifest.requested_start)

@@ -43,9 +43,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/barlake-{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *, eager: bool = True) -> DataFrame:
-    """Cut lineage through reliable storage, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared folder.
+
+    The plan runs once, lost executors cost no recomputation beyond a scan, readers prune columns,
+    and Spark knows the table's true size when it chooses joins.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from barlake.operators.bars import conflicts, fold_raw, folded_bars
+from barlake.operators.bars import fold_raw, folded_bars
 from barlake.operators.upsert import upsert
 from barlake.schema import BAR_COLUMNS, BAR_SCHEMA
 from barlake.session import cut
@@ -27,17 +27,18 @@ def bar_stream(spark: SparkSession, path: str, schema: StructType = BAR_SCHEMA,
 
 def split_late(batch: DataFrame, refresh_start) -> tuple[DataFrame, DataFrame]:
     """(on time, late): bars older than the refresh start are not merged."""
-    late = F.col("date") < F.lit(refresh_start)
+    late = F.coalesce(F.col("date") < F.lit(refresh_start), F.lit(False))
     return batch.where(~late), batch.where(late)
 
 
 def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start: dt.date, end: dt.date) -> None:
-    """Merge one micro-batch: quarantine late and conflicting bars, upsert the rest, commit."""
+    """Merge one micro-batch: quarantine late, invalid and conflicting bars, upsert the rest, commit."""
     on_time, late = split_late(batch, refresh_start)
     label = f"batch={batch_id:012d}"
     late.write.mode("overwrite").parquet(f"{store.root}/quarantine/late/{label}")
     folded = cut(fold_raw(on_time, refresh_start, end))
-    conflicts(folded).write.mode("overwrite").parquet(f"{store.root}/quarantine/conflicts/{label}")
+    refused = folded.where("conflict OR invalid > 0").select("date", "ticker", "copies", "invalid", "conflict")
+    refused.write.mode("overwrite").parquet(f"{store.root}/quarantine/refused/{label}")
     new = folded_bars(folded)
     years = [r.year for r in new.select(F.year("date").alias("year")).distinct().collect()]  # calendar years
     if not years:

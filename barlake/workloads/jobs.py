@@ -12,6 +12,7 @@ from barlake.plans.clean import clean_bars, clean_wide
 from barlake.plans.reconcile import reconcile_copies
 from barlake.plans.refresh import refresh
 from barlake.plans.universe import build_universe, publish_universe, qualify_candidates, validate_universe
+from barlake.schema import UNIVERSE_SIZE
 from barlake.session import scratch
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.directory import raw_record_count
@@ -57,17 +58,22 @@ def q2(spark, sf):
     return qualify_candidates(I.feed(spark, sf), I.directory(spark, sf), I.manual(spark, sf)).candidates
 
 
-UNIVERSE_JOB_SIZE = 20  # what the smallest test tables can fill
+JOB_SIZE = "(SELECT least(2000, count(*) // 10) FROM customer)"
+
+
+def job_size(spark, sf):
+    """A universe size that the feed of any scale can fill, never above the default size."""
+    return min(UNIVERSE_SIZE, I.table(spark, sf, "customer").count() // 10)
 
 
 @query(
     "q3_build_universe",
-    f"SELECT ticker, company_name, market_cap, market_cap_rank FROM selected WHERE market_cap_rank <= {UNIVERSE_JOB_SIZE}",
+    f"SELECT ticker, company_name, market_cap, market_cap_rank FROM selected WHERE market_cap_rank <= {JOB_SIZE}",
 )
 def q3(spark, sf):
     store = BarStore(spark, scratch(spark, "universe"))
     built = build_universe(
-        I.feed(spark, sf), I.directory(spark, sf), raw_record_count(I.combined_directory(spark, sf)), I.manual(spark, sf), UNIVERSE_JOB_SIZE
+        I.feed(spark, sf), I.directory(spark, sf), raw_record_count(I.combined_directory(spark, sf)), I.manual(spark, sf), job_size(spark, sf)
     )
     publish_universe(store, "u1", built)
     return store.table("universe")
@@ -75,14 +81,14 @@ def q3(spark, sf):
 
 @query(
     "v11_validate_universe",
-    f"SELECT CAST({UNIVERSE_JOB_SIZE} AS BIGINT) AS rows, count(DISTINCT ticker) AS unique_tickers, min(market_cap_rank) AS rank_min, "
-    f"max(market_cap_rank) AS rank_max, true AS audit_validated FROM selected WHERE market_cap_rank <= {UNIVERSE_JOB_SIZE}",
+    f"SELECT {JOB_SIZE} AS rows, count(DISTINCT ticker) AS unique_tickers, min(market_cap_rank) AS rank_min, "
+    f"max(market_cap_rank) AS rank_max, true AS audit_validated FROM selected WHERE market_cap_rank <= {JOB_SIZE}",
 )
 def v11(spark, sf):
     built = build_universe(
-        I.feed(spark, sf), I.directory(spark, sf), raw_record_count(I.combined_directory(spark, sf)), I.manual(spark, sf), UNIVERSE_JOB_SIZE
+        I.feed(spark, sf), I.directory(spark, sf), raw_record_count(I.combined_directory(spark, sf)), I.manual(spark, sf), job_size(spark, sf)
     )
-    summary = validate_universe(built.universe, built.audit, built.report, I.manual(spark, sf), UNIVERSE_JOB_SIZE)
+    summary = validate_universe(built.universe, built.audit, built.report, I.manual(spark, sf), job_size(spark, sf))
     return summary.select("rows", "unique_tickers", "rank_min", "rank_max", "audit_validated")
 
 
