@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barlake.functions.text import strip
 from barlake.schema import MARKET_TIMEZONE, REFRESH_DAYS
 
 WALL_CLOCK = (
-    r"\A([0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)?)"
-    r"\s*(?:Z|UTC|[+-][0-9]{2}(?::?[0-9]{2})?)?\z"
+    r"\A\s*([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ](?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?)?"
+    r"\s*(?:Z|UTC|[+-][0-9]{2}(?::?[0-9]{2})?)?\s*\z"
 )
 
 
 def calendar_date(c: Column) -> Column:
     """Civil date of a timestamp text as written: the zone is dropped, not converted."""
-    wall = F.nullif(F.regexp_extract(strip(c), WALL_CLOCK, 1), F.lit(""))
-    return F.to_date(wall.try_cast("timestamp_ntz"))
+    return F.regexp_extract(c, WALL_CLOCK, 1).try_cast("date")
 
 
 def market_date(utc: Column, timezone: str = MARKET_TIMEZONE) -> Column:

@@ -15,6 +15,7 @@ from barlake.operators.inventory import manifest_violations, reconcile
 from barlake.operators.quality import coverage_row_violations, dataset_violations
 from barlake.operators.reports import acceptance_summary
 from barlake.schema import STATUSES
+from barlake.session import cut
 from barlake.sources.files import inventory, key_runs, parquet_footers
 from barlake.sources.manifest import asset_rows, partition_counts, read_manifest
 from barlake.sources.prices import read_dataset
@@ -76,7 +77,9 @@ def acceptance_violations(
                 | (F.col("actual_max_date") >= F.col("requested_end_exclusive")),
             },
         ),
-        dataset_violations(stored, key_runs(spark, daily), parquet_footers(spark, daily), start, end, universe, expected),
+        dataset_violations(
+            stored, cut(key_runs(spark, daily)), cut(parquet_footers(spark, daily)), start, end, universe, expected
+        ),
         sampled(changed, "file_changed", F.col("local_path")),
         coverage_row_violations(coverage, universe),
         sampled(failures, "download_failures", F.col("ticker")),

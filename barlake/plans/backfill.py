@@ -78,7 +78,7 @@ def backfill(
         raise
     stored = store.stage(snapshot, cleaned.bars, one_file_per_year=one_file_per_year)
     path = f"{store.root}/bars/snapshot={snapshot}"
-    runs, footers = key_runs(store.spark, path), parquet_footers(store.spark, path)
+    runs, footers = cut(key_runs(store.spark, path)), cut(parquet_footers(store.spark, path))
     years = cut(per_year(cleaned.bars))
     actual = stored.groupBy("year").agg(F.count(F.lit(1)).alias("row_count"))
     enforce(gather(stored_violations(stored, runs, footers, start, end), count_mismatches(actual, years)))

@@ -109,7 +109,8 @@ def refresh(
     stored = store.stage(run, merged)
     path = f"{store.root}/bars/snapshot={run}"
     first_day = dt.date(start.year, 1, 1)
-    enforce(stored_violations(stored, key_runs(store.spark, path), parquet_footers(store.spark, path), first_day, end))
+    runs, footers = cut(key_runs(store.spark, path)), cut(parquet_footers(store.spark, path))
+    enforce(stored_violations(stored, runs, footers, first_day, end))
     changed = cut(per_year(merged))
     counts = {r.year: r.row_count for r in changed.collect()}  # one row per affected year
     empty = sorted(set(years) - set(counts))

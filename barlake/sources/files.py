@@ -101,6 +101,8 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "first_row": [int(part["row"].iloc[0])],
                     "first_key": [key.iloc[0]],
                     "last_key": [key.iloc[-1]],
+                    "low_key": [key.min()],
+                    "high_key": [key.max()],
                     "descents": [int((key < before)[1:].sum())],
                     "repeats": [int((key == before)[1:].sum())],
                 }
@@ -120,5 +122,5 @@ def key_runs(spark: SparkSession, root: str) -> DataFrame:
         "ticker",
     )
     return stored.mapInPandas(
-        _runs, "file string, first_row long, first_key string, last_key string, descents long, repeats long"
+        _runs, "file string, first_row long, first_key string, last_key string, low_key string, high_key string, descents long, repeats long"
     )
