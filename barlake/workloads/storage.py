@@ -11,7 +11,7 @@ from barlake.operators import inventory as N
 from barlake.operators import quality as Q
 from barlake.operators import reports as R
 from barlake.schema import BAR_COLUMNS
-from barlake.session import scratch
+from barlake.session import cut, scratch
 from barlake.sinks import bars as KB
 from barlake.sinks import reports as KR
 from barlake.sinks.snapshots import BarStore
@@ -174,7 +174,7 @@ def s16(spark, sf):
 @query("w6_stored_order", "SELECT CAST(count(*) AS BIGINT) AS n FROM bars WHERE false")
 def w6(spark, sf):
     """Violations of order or uniqueness in the stored files; there must be none."""
-    found = Q.order_violations(SF.key_runs(spark, I.stored_bars(spark, sf)))
+    found = Q.order_violations(cut(SF.key_runs(spark, I.stored_bars(spark, sf))))
     return found.agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -276,7 +276,7 @@ def k8(spark, sf):
 
 
 def stored_copy(spark, sf):
-    """A dataset with defects: rows of one year also stored under the next, not sorted by date, gzip files."""
+    """A dataset with defects: a part stored under the next year too, not sorted by date, gzip."""
 
     def write(path):
         rows = I.bars(spark, sf).withColumn("year", F.year("date"))
@@ -294,7 +294,7 @@ def stored_copy(spark, sf):
 def v3(spark, sf):
     path = stored_copy(spark, sf)
     stored = SP.read_dataset(spark, path)
-    found = Q.stored_violations(stored, SF.key_runs(spark, path), SF.parquet_footers(spark, path), dt.date(1995, 1, 1), dt.date(2003, 1, 1))
+    found = Q.stored_violations(stored, cut(SF.key_runs(spark, path)), SF.parquet_footers(spark, path), dt.date(1995, 1, 1), dt.date(2003, 1, 1))
     return found.where("rule IN ('wrong_year', 'duplicate_key')").select("rule", "n")
 
 
@@ -318,7 +318,7 @@ def v4(spark, sf):
     path = I.stored_bars(spark, sf)
     stored = SP.read_dataset(spark, path)
     expected = stored.groupBy("year").agg((F.count(F.lit(1)) + 1).alias("row_count"))
-    found = Q.dataset_violations(stored, SF.key_runs(spark, path), SF.parquet_footers(spark, path), I.START, I.END, I.parts(spark, sf), expected)
+    found = Q.dataset_violations(stored, cut(SF.key_runs(spark, path)), SF.parquet_footers(spark, path), I.START, I.END, I.parts(spark, sf), expected)
     return found.select("rule", "n")
 
 

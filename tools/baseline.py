@@ -32,7 +32,7 @@ def main() -> None:
         runs = []
         for _ in range(4):
             began = time.perf_counter()
-            con.execute(text).fetch_arrow_table()
+            con.execute(text).to_arrow_table()
             runs.append(time.perf_counter() - began)
         seconds[name] = round(statistics.median(runs[1:]), 3)
     print(json.dumps({"queries": seconds, "total": round(sum(seconds.values()), 3)}))
