@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.schema import UNIVERSE_SIZE
-from barlake.session import scratch
+from barlake.session import scratch, spread
 from barlake.sinks.bars import write_years
 
 START = dt.date(1995, 7, 1)
@@ -275,7 +275,7 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
 
 def dirty_text(spark: SparkSession, sf: str) -> DataFrame:
     """The same feed as text, with a zone on its dates and words for what is no number."""
-    rows = dirty(spark, sf)
+    rows = spread(dirty(spark, sf))
 
     def spelled(c: str) -> Column:
         return F.when(F.isnan(c), "n/a").when(F.col(c) == float("inf"), " inf ").otherwise(F.col(c).cast("string"))
@@ -349,7 +349,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    base = table(spark, sf, "customer").select(
+    base = spread(table(spark, sf, "customer")).select(
         F.col("c_custkey").alias("k"),
         F.col("c_nationkey").alias("n"),
         F.col("c_name").alias("name"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barlake.functions import dates, fingerprint, numbers, text
 from barlake.operators.universe import evaluate, screener_fields, screener_predicate
+from barlake.session import spread
 from barlake.workloads import inputs as I
 from barlake.workloads.registry import query
 
@@ -31,7 +32,7 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", pick).alias("title")
     )
     docs = I.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    return named.unionByName(docs)
+    return spread(named.unionByName(docs))
 
 
 @query(
