@@ -30,7 +30,15 @@ def counted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def sampled(df: DataFrame, rule: str, label: Column) -> DataFrame:
-    """One violation row for a table of offenders: exact count plus the first labels in order.
+    """One violation row for a table of offenders: their exact count and the first label."""
+    found = df.select(label.cast("string").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("sample")
+    )
+    return found.where("n > 0").select(F.lit(rule).alias("rule"), "n", "sample")
+
+
+def listed(df: DataFrame, rule: str, label: Column) -> DataFrame:
+    """The same with the first labels in order.
 
     The count aggregates map-side; the sample is a top-k of fixed size, so neither collects the
     offenders into one place.
@@ -57,7 +65,7 @@ def gather(*violations: DataFrame) -> DataFrame:
 
 def enforce(violations: DataFrame, error: type[BarlakeError] = DataQualityError) -> None:
     """Run the gate; raise with its rows. There is one row per rule, never one per offender."""
-    found = violations.orderBy("rule").collect()
+    found = sorted(violations.collect(), key=lambda r: r.rule)
     if found:
         text = "; ".join(f"{r.rule}: {r.n}" + (f" ({r['sample']})" if r["sample"] else "") for r in found)
         raise error(text)

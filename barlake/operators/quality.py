@@ -16,7 +16,7 @@ from barlake.functions.text import (
     strip,
 )
 from barlake.operators.bars import repeated_keys
-from barlake.operators.gates import counted, gather, sampled
+from barlake.operators.gates import counted, gather, listed, sampled
 from barlake.schema import BAR_COLUMNS, BAR_SCHEMA, MINIMUM_TARGET_COVERAGE
 
 
@@ -65,7 +65,7 @@ def key_violations(df: DataFrame) -> DataFrame:
 def unexpected_tickers(df: DataFrame, allowed: DataFrame) -> DataFrame:
     """Tickers outside the allowed table. Distinct first, so the join sees each ticker once."""
     outside = df.select("ticker").distinct().join(allowed.select("ticker"), "ticker", "left_anti")
-    return sampled(outside, "unexpected_ticker", F.col("ticker"))
+    return listed(outside, "unexpected_ticker", F.col("ticker"))
 
 
 def order_violations(runs: DataFrame) -> DataFrame:

@@ -112,8 +112,9 @@ class BarStore:
 
     def commit(self, snapshot: str, row_counts: dict[int, int]) -> int:
         """Make a snapshot current: its years replace, all other years carry over."""
-        _, before = self._layout()
-        version = self.version() + 1
+        rows = self.current().collect()  # one row per year and the head
+        before = [r for r in rows if r.year is not None]
+        version = max((r.version for r in rows), default=0) + 1
         now = dt.datetime.now(dt.UTC).isoformat()
         head = [(version, snapshot, now, None, None, None)]
         kept = [

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from barlake.errors import SourceError, UniverseError
 from barlake.functions.text import blank_to_null, normalize_ticker, strip
-from barlake.operators.gates import enforce, gather, sampled
+from barlake.operators.gates import enforce, gather, listed, sampled
 from barlake.operators.ordering import first_occurrence
 from barlake.schema import AUDIT_SCHEMA, UNIVERSE_SCHEMA
 
@@ -108,4 +108,4 @@ def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def page_violations(parsed: DataFrame) -> DataFrame:
-    return sampled(parsed.where("problem IS NOT NULL"), "invalid_page", F.col("page"))
+    return listed(parsed.where("problem IS NOT NULL"), "invalid_page", F.col("page"))
