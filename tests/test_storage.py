@@ -177,14 +177,21 @@ def test_uncommitted_snapshot_is_invisible(spark, store):
     assert rows_of(store.bars()) == before
 
 
-@pytest.fixture
-def exported(spark, store, folder):
-    root = f"{folder}/published"
-    export_dataset(store, root)
-    return root
+@pytest.fixture(scope="module")
+def exported(spark, tmp_path_factory):
+    """A published dataset that tests only read."""
+    folder = tmp_path_factory.mktemp("published")
+    s = BarStore(spark, f"{folder}/store")
+    two = spark.createDataFrame([(0, "AAA"), (1, "BBB")], "ord long, ticker string")
+    backfill(s, two, raw(spark, *START), log(spark, "AAA", "BBB"), d("2016-01-01"), d("2026-01-03"), one_file_per_year=True)
+    export_dataset(s, f"{folder}/data")
+    return f"{folder}/data"
 
 
 def test_acceptance(spark, exported, universe, folder):
+    import shutil
+
+    exported = shutil.copytree(exported, f"{folder}/data")
     summary = accept_dataset(spark, exported, universe, d("2026-01-02"), 0.97).first()
     assert (summary.total_row_count, summary.successful_ticker_count, summary.target_session_coverage_ratio) == (4, 2, 1.0)
     with pytest.raises(DataQualityError, match="target_coverage"):
