@@ -121,9 +121,14 @@ def refresh(
         ratio, cleaned.bars, universe, run_id=run, target=target, previous=latest, start=start, years=years,
         minimum=minimum_coverage, allow_partial=allow_partial, invalid_rows=invalid, duplicate_rows=duplicate,
     )
-    carried = store.bars([y for y in store.years() if y not in counts])
+    # other years are not read: their counts are in the last commit, and the earliest date of
+    # the dataset is the earliest of the coverage
+    first_day = coverage.agg(F.min("first_date").alias("d")).first().d
+    carried = store.current().where(F.col("year").isNotNull() & ~F.col("year").isin(sorted(counts))).select(
+        "year", "row_count", F.lit(first_day).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
+    )
     statistics = manifest_statistics(
-        changed.unionByName(per_year(carried)), coverage, universe_sha256=identity.sha, universe_count=identity.n,
+        changed.unionByName(carried), coverage, universe_sha256=identity.sha, universe_count=identity.n,
         start=dataset_start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,
     )
     tables = {

@@ -140,6 +140,14 @@ def test_refresh_end_to_end(spark, store, universe, sessions):
         refresh(store, universe.where("ord = 0"), raw(spark, *FEED), log(spark, "AAA"), sessions, d("2026-01-06"))
 
 
+def test_refresh_carries_untouched_years(spark, store, universe, sessions):
+    done = refresh(store, universe, raw(spark, *FEED), log(spark, "AAA", "BBB"), sessions, d("2026-01-05"), window_days=3)
+    assert done.years == [2026]
+    m = store.table("manifest").first()
+    assert (m.total_row_count, m.actual_min_date, m.actual_max_date, m.partition_row_counts) == (6, "2025-12-31", "2026-01-05", {"2025": 2, "2026": 4})
+    assert {r.year: r.data_snapshot == done.snapshot for r in store.current().where("year IS NOT NULL").collect()} == {2025: False, 2026: True}
+
+
 def test_new_year_without_a_partition(spark, folder, universe, sessions):
     s = BarStore(spark, f"{folder}/s")
     backfill(s, universe, raw(spark, *START[:2]), log(spark, "AAA", "BBB"), d("2016-01-01"), d("2026-01-01"))
