@@ -336,7 +336,7 @@ def files_of_orders(spark, sf):
     )
     kind = F.col("o_orderstatus")
     copy = orders.where("o_orderstatus <> 'P'").select(
-        F.format_string("prices-%d.parquet", F.when(kind == "O", F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))).alias("asset_name"),
+        F.format_string("prices-%d.parquet", F.when(kind == "O", F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey"))).alias("asset_name"),
         path.alias("local_path"),
         F.col("o_custkey").alias("size_bytes"),
         F.when(kind == "F", F.sha2(F.lit("other"), 256)).otherwise(digest).alias("sha256"),
@@ -357,7 +357,7 @@ def j13(spark, sf):
 @query(
     "j14_missing_obsolete",
     """SELECT 'prices-' || o_orderkey || '.parquet' AS asset_name, 'missing' AS state FROM orders WHERE o_orderstatus <> 'O'
-       UNION ALL SELECT 'prices-' || -o_orderkey || '.parquet', 'obsolete' FROM orders WHERE o_orderstatus = 'F' AND o_orderkey <> 0""",
+       UNION ALL SELECT 'prices-' || (-1 - o_orderkey) || '.parquet', 'obsolete' FROM orders WHERE o_orderstatus = 'F'""",
 )
 def j14(spark, sf):
     assets, copy = files_of_orders(spark, sf)
