@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from barlake.llm import simhash
+from barlake.llm import ordinal, packing, simhash
 
 QUERIES = {
+    "op2_ordinal_quality": ordinal.op2_ordinal_quality,
+    "op4_window_packing": packing.op4_window_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 SQL: dict[str, str] = {}
