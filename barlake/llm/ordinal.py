@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.llm.common import bounded_sample, fixed_hash, rows, table, texts
 
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPL
 def score(docs: DataFrame, model: OrdinalModel, grade: int = 2) -> DataFrame:
     """docs with `score`, `expected_grade` and `tail`, the probability of at least the grade."""
     docs = docs.drop("score", "expected_grade", "tail")
-    out = docs.schema.add("score", "double").add("expected_grade", "double").add("tail", "double")
+    out = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("score", "expected_grade", "tail"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = Features(), model.dense()

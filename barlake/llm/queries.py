@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from barlake.llm import ordinal, packing, simhash
+from barlake.llm import decontaminate, ordinal, packing, sanitise, simhash
 
 QUERIES = {
     "op2_ordinal_quality": ordinal.op2_ordinal_quality,
     "op4_window_packing": packing.op4_window_packing,
+    "op6_latent_decontamination": decontaminate.op6_latent_decontamination,
+    "op9_disclosure_spans": sanitise.op9_disclosure_spans,
     "op10_simhash": simhash.op10_simhash,
 }
 SQL: dict[str, str] = {}
