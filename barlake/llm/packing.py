@@ -48,31 +48,66 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _blank = re.compile("[ \t\n\r\f\v]+")
 #: Control characters that str.split takes for white space and the tokenizer does not.
 _separators = ("\x1c", "\x1d", "\x1e", "\x1f")
+_outer = ".,;:!?*%$#&()-\""
 
 
 class WordTokenizer:
-    """Ids of whole texts, put together from the ids of their words, which no token crosses."""
+    """Ids of whole texts, put together from the ids of their words, which no token crosses.
+
+    What is known of a word is kept. New words of letters, with their outer ASCII punctuation taken off, are
+    tokenized in one call for many: each ends with the one token that has the word-end mark.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.sentence_ends = np.array(sorted(i for t, i in vocabulary.items() if re.fullmatch(r"[^\w\s]*[.!?]+[^\w\s]*(</w>)?", t)), np.int64)
 
-    def ids(self, text: str) -> list[int]:
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(words):  # a letter that lower-casing takes apart
+            return self._encode(words)
+        raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        cores: dict[str, tuple[str, str]] = {}
+        odd: list[str] = []
+        for w in new:
+            core = w.rstrip(_outer)
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                cores[w] = core.lower() if core.isascii() else core, w[len(core) :]
+            else:
+                odd.append(w)
+        wanted = {c for c, _ in cores.values()}
+        letters = [c for c in wanted if c not in self.cores]
+        if letters:
+            if len(self.cores) + len(letters) > WORDS_HELD:
+                self.cores.clear()
+                letters = list(wanted)
+            self.cores.update(zip(letters, self._encode_letters(letters), strict=True))
+        odd += list({tail for _, tail in cores.values() if tail and tail not in self.known})
+        self.known.update(zip(odd, self._encode(odd), strict=True))
+        self.known.update((w, self.cores[c] + self.known[tail] if tail else self.cores[c]) for w, (c, tail) in cores.items())
+
+    def ids(self, text: str) -> np.ndarray:
         words = _blank.split(text) if any(c in text for c in _separators) else text.split()
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > WORDS_HELD:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        out: list[int] = []
-        for part in map(known.__getitem__, words):
-            out += part
-        return out
+        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+            if len(self.known) + len(new) > WORDS_HELD:
+                self.known.clear()
+                new = list(dict.fromkeys(words))
+            self._learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
 def cut_points(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.ndarray, step: int = FORCED_STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, segment: in
     def pieces(stream: np.ndarray, held: list[list[int]], cuts: list[int], first: int) -> pa.RecordBatch:
         """held: doc_id, tokens of the document before this stream, its tokens in it, all its tokens."""
         out: dict[str, list[int]] = {n: [] for n in schema.names}
-        raw = stream.astype("<u4").tobytes()
+        raw = stream.tobytes()
         edges = np.cumsum([0] + [h[2] for h in held])
         d = 0
         for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -174,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, segment: in
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b, "text"), strict=True):
                 if sequence is None:
                     sequence = part[0].as_py() << 32
-                ids = np.array([*words.ids(text), END_ID], np.int64)
+                ids = np.append(words.ids(text), np.uint32(END_ID))
                 for at in range(0, len(ids), segment):
                     some = ids[at : at + segment]
                     buffer.append(some)
