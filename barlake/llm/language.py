@@ -32,8 +32,8 @@ WORDS = 60_000
 GRAMS = 60_000
 LONGEST = 4
 BACKOFF = 0.7
-#: What is counted for a word or n-gram that a language lacks.
-SMOOTHING = 0.1
+#: So many words or n-grams, spread as in all languages together, are added to each language's counts.
+SMOOTHING = 200.0
 HELD = 200_000
 
 _word = re.compile(r"[^\W\d_]+")
@@ -143,7 +143,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, most_words: int = WORDS, mo
         for k in place.values():
             counts[:, k] = top.column(f"n{k}").fill_null(0).to_numpy()
         whole = np.array([totals.get((gram, x), 0) for x in languages], float)
-        scores[gram] = {x: k for k, x in enumerate(items)}, np.log((counts + SMOOTHING) / (whole + SMOOTHING * max(1, len(items))))
+        pooled = counts.sum(axis=1, keepdims=True) / max(1.0, whole.sum())
+        scores[gram] = {x: k for k, x in enumerate(items)}, np.log((counts + SMOOTHING * pooled) / (whole + SMOOTHING))
     return LanguageModel(languages, *scores[False], *scores[True])
 
 

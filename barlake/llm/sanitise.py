@@ -143,12 +143,12 @@ def scanned(docs: DataFrame) -> DataFrame:
             shas = [hashlib.sha256(x.encode()).hexdigest() for x in listed]
             yield rows({"doc_id": b.column("doc_id"), "row": b.column("row"), **counts, "base_sha256": shas, "base": listed, "near": list(map(_near, own, spans))}, schema)
 
-    return _keyed(docs).select("doc_id", "row", "text").mapInArrow(run, FOUND)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, FOUND)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", text).withColumn("row", F.xxhash64("doc_id", "text"))
+def _row() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -200,9 +200,8 @@ def spans(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS)
 
 def masked(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS) -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets; n_chars, if there, follows."""
-    keyed = _keyed(docs)
-    held = spans(docs, share, bits).filter("spans <> ''").select("row", "spans").dropDuplicates(["row"])
-    joined = keyed.join(held, "row", "left").select(*keyed.drop("row").columns, F.col("spans").alias("_spans"))
+    held = spans(docs, share, bits).filter("spans <> ''").dropDuplicates(["row"]).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_row", _row()).join(held, "_row", "left").drop("_row")
     names = docs.columns
 
     def cleaned(text: str | None, listed: str | None) -> str | None:
