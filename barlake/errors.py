@@ -17,6 +17,10 @@ class ConflictError(DataQualityError):
     """The same key carries different values."""
 
 
+class CommitError(BarlakeError):
+    """Another writer committed first."""
+
+
 class UniverseError(BarlakeError):
     """A universe cannot be built or validated."""
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from barlake.schema import SCHEMA_VERSION
 
 
-CHUNK = 100_000
+#: Positions whose lines are hashed together by `layered_identity`.
+RUN_LENGTH = 1_000
 
 
 def _ordered(order: Column, value: Column) -> Column:
@@ -45,23 +46,33 @@ def run_key(
     return F.sha2(F.to_json(payload), 256)
 
 
-def universe_identity(universe: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row (sha, n) for a universe(ord, ticker) of any size.
+def universe_identity(universe: DataFrame) -> DataFrame:
+    """One row (sha, n) for a universe(ord, ticker): the plain line hash, at every size.
 
-    Up to `chunk` tickers it is the plain line hash. Beyond that no single row may hold them, so
-    the hash is taken per run of `chunk` positions and once more over the run digests.
+    A universe is what `select_top` cut to a fixed size, so one row holds it. Tables of any size have
+    `layered_identity`.
+    """
+    return universe.agg(ordered_fingerprint(F.col("ord"), F.col("ticker")).alias("sha"), F.count(F.lit(1)).alias("n"))
+
+
+def layered_identity(tickers: DataFrame, run: int = RUN_LENGTH) -> DataFrame:
+    """One row (layered_sha256, n) for a table (ord, ticker) of any size.
+
+    The line hash of each run of `run` positions, and the same layer over the digests until one is
+    left. At every size, at least one layer: the definition does not depend on the size.
     """
     from barlake.operators.ordering import with_position
 
-    if universe.count() <= chunk:
-        return universe.agg(
-            ordered_fingerprint(F.col("ord"), F.col("ticker")).alias("sha"), F.count(F.lit(1)).alias("n")
-        )
-    placed = with_position(universe.select("ord", "ticker"), [F.col("ord"), F.col("ticker")])
-    runs = placed.groupBy(F.floor((F.col("position") - 1) / chunk).alias("run")).agg(
-        ordered_fingerprint(F.col("position"), F.col("ticker")).alias("digest"), F.count(F.lit(1)).alias("n")
-    )
-    return runs.agg(ordered_fingerprint(F.col("run"), F.col("digest")).alias("sha"), F.sum("n").alias("n"))
+    n = tickers.count()
+    placed = with_position(tickers.select("ord", "ticker"), [F.col("ord"), F.col("ticker")]).select("position", F.col("ticker").alias("line"))
+    left = n
+    while True:
+        number = F.floor((F.col("position") - 1) / run) + 1
+        digest = ordered_fingerprint(F.col("position"), F.col("line"))
+        placed = placed.groupBy(number.alias("number")).agg(digest.alias("line")).withColumnRenamed("number", "position")
+        left = -(-left // run)
+        if left <= 1:
+            return placed.select(F.col("line").alias("layered_sha256"), F.lit(n).cast("bigint").alias("n"))
 
 
 def record_fingerprint(record: Column) -> Column:

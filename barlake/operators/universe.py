@@ -106,18 +106,21 @@ def _late_reason() -> Column:
 def evaluate(fields: DataFrame, directory: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Ordered exclusion cascade over feed left-join directory; first match wins, NULL means kept.
 
-    The directory and the manual list are unique per ticker, so the joins never multiply feed
-    rows. Spark broadcasts either side only under its own size threshold and otherwise shuffles
-    on the ticker, where its skew-join rule splits a hot ticker.
+    The directory and the manual list are unique per ticker, so the join never multiplies feed
+    rows. The manual list is marked in the directory, since it is asked only for listed tickers; that leaves
+    one join of the feed, which Spark broadcasts only under its own size threshold and whose hot
+    tickers its skew-join rule splits. Feed rows without a ticker get a key of their own, which
+    nothing matches, so they spread evenly.
     """
     listed = directory.select(
         "ticker", "security_name", "listing_exchange", "etf", "test_issue", "market_category", "financial_status"
     )
-    joined = fields.join(listed, "ticker", "left")
     if manual is None:
-        joined = joined.withColumn("_manual", F.lit(None).cast("boolean"))
+        listed = listed.withColumn("_manual", F.lit(None).cast("boolean"))
     else:
-        joined = joined.join(manual.select("ticker").distinct().withColumn("_manual", F.lit(True)), "ticker", "left")
+        listed = listed.join(manual.select("ticker").distinct().withColumn("_manual", F.lit(True)), "ticker", "left")
+    key = F.coalesce("ticker", F.concat(F.lit("\0"), F.col("ord").cast("string")))
+    joined = fields.withColumn("_key", key).join(listed.withColumnRenamed("ticker", "_key"), "_key", "left").drop("_key")
     early = joined.withColumn("_early", _early_reason())
     reason = F.coalesce("_early", _late_reason())
     no_evidence = F.col("_early").isNotNull()

@@ -60,6 +60,7 @@ def backfill(
     readers before the final commit.
     """
     snapshot = new_snapshot_id("backfill")
+    pinned = store.at()
     cleaned = clean_bars(raw, start, end, universe, materialize=True)
     try:
         cleaned.enforce()
@@ -67,7 +68,7 @@ def backfill(
         store.save_diagnostics(snapshot, "conflicts", cleaned.conflicts)
         raise
     enforce(unexpected_tickers(cleaned.bars, universe))
-    state = cut(resolve_status(attempts, universe, cleaned.bars))
+    state = cut(resolve_status(attempts, universe, cleaned.bars, cleaned.outcomes))
     coverage = cut(build_coverage(universe, cleaned.bars, state))
     failures = failure_report(coverage, state)
     try:
@@ -88,9 +89,10 @@ def backfill(
         years, coverage, universe_sha256=identity.sha, universe_count=identity.n,
         start=start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,
     )
-    for name, table in {"coverage": coverage, "failures": failures, "manifest": manifest}.items():
+    tables = {"coverage": coverage, "failures": failures, "manifest": manifest}
+    for name, table in tables.items():
         store.stage_table(snapshot, name, table)
-    store.commit(snapshot, {r.year: r.row_count for r in years.collect()})  # one row per year
+    pinned.commit(snapshot, {r.year: r.row_count for r in years.collect()}, list(tables))  # one row per year
     return Backfilled(snapshot, coverage, failures, store.table("manifest"))
 
 

@@ -49,6 +49,18 @@ def window_start(dataset_start: dt.date, target: dt.date, days: int = REFRESH_DA
     return max(dataset_start, target - dt.timedelta(days=days))
 
 
+def with_carried_years(store: BarStore, changed: DataFrame, years: list[int], coverage: DataFrame) -> DataFrame:
+    """The changed years' statistics and those of all other years, which are not read.
+
+    Their counts are in the commit, and the earliest date of the dataset is the earliest of the coverage.
+    """
+    first_day = coverage.agg(F.min("first_date").alias("d")).first().d
+    carried = store.current().where(F.col("year").isNotNull() & ~F.col("year").isin(years)).select(
+        "year", "row_count", F.lit(first_day).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
+    )
+    return changed.unionByName(carried)
+
+
 def refresh(
     store: BarStore,
     universe: DataFrame,
@@ -67,6 +79,7 @@ def refresh(
     Reads only the affected years of the current snapshot. A year without a partition counts as
     empty, so the first session of a new year works; an affected year that ends up empty fails.
     """
+    store = store.at()
     manifest = store.table("manifest").first()
     identity = universe_identity(universe).first()
     if (manifest.universe_sha256, manifest.universe_ticker_count) != (identity.sha, identity.n):
@@ -85,7 +98,7 @@ def refresh(
     old = store.bars(years)
     cleaned = clean_bars(raw, start, end, universe, materialize=True)
     cleaned.enforce()
-    state = cut(resolve_status(attempts, universe, cleaned.bars))
+    state = cut(resolve_status(attempts, universe, cleaned.bars, cleaned.outcomes))
     failed = state.where("status = 'failed'")
     try:
         enforce(sampled(failed, "unresolved_failures", F.col("ticker")), RefreshError)
@@ -121,14 +134,8 @@ def refresh(
         ratio, cleaned.bars, universe, run_id=run, target=target, previous=latest, start=start, years=years,
         minimum=minimum_coverage, allow_partial=allow_partial, invalid_rows=invalid, duplicate_rows=duplicate,
     )
-    # other years are not read: their counts are in the last commit, and the earliest date of
-    # the dataset is the earliest of the coverage
-    first_day = coverage.agg(F.min("first_date").alias("d")).first().d
-    carried = store.current().where(F.col("year").isNotNull() & ~F.col("year").isin(sorted(counts))).select(
-        "year", "row_count", F.lit(first_day).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
-    )
     statistics = manifest_statistics(
-        changed.unionByName(carried), coverage, universe_sha256=identity.sha, universe_count=identity.n,
+        with_carried_years(store, changed, sorted(counts), coverage), coverage, universe_sha256=identity.sha, universe_count=identity.n,
         start=dataset_start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,
     )
     tables = {
@@ -137,5 +144,5 @@ def refresh(
     }
     for name, table in tables.items():
         store.stage_table(run, name, table)
-    store.commit(run, counts)
+    store.commit(run, counts, list(tables))
     return Refreshed("updated", target, start, years, run, ratio.first().coverage_ratio)

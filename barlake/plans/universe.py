@@ -79,7 +79,7 @@ def publish_universe(store: BarStore, snapshot: str, built: BuiltUniverse) -> in
     tables = {"universe": built.universe, "audit": built.audit, "excluded": built.excluded, "report": built.report}
     for name, table in tables.items():
         store.stage_table(snapshot, name, table)
-    return store.commit(snapshot, {})
+    return store.commit(snapshot, {}, list(tables))
 
 
 def validate_universe(

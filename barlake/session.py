@@ -23,20 +23,6 @@ def builder(app_name: str = "barlake") -> SparkSession.Builder:
     )
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give row-wise heavy work on a small table all cores.
-
-    A small file is often a single row group and so a single task, however many cores there are.
-    Above the limit the scan has splits enough and nothing is moved.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= SMALL_INPUT_BYTES else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by the cluster. Only a local master may fall back to a temp folder."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)

@@ -3,23 +3,27 @@
 Layout below the store root:
   bars/snapshot=<id>/year=<y>/...   files of the years a snapshot rewrote
   tables/<name>/snapshot=<id>/...   report tables of a snapshot
-  commits/                          one JSON file per commit: a head row plus one row per year
+  commits/<version>.json            one file per commit: a head row, a row per year, a row per table
 
-A snapshot stores only the years it changed; its commit record lists for every year which
-snapshot holds it. Old snapshots stay, which is also the archive. A commit is one renamed file,
-so readers see the store before or after it.
+A snapshot stores only the years and tables it changed; its commit record lists for every year and
+every table which snapshot holds it, so one record is the whole state and the log needs no compaction.
+Old snapshots stay, which is also the archive. A version's file is created only if it is absent: of two
+writers one fails and has to start again from the new state. A reader pinned by `at` sees one version
+throughout.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.errors import BarlakeError
+from barlake.errors import BarlakeError, CommitError
 from barlake.schema import BAR_SCHEMA
 from barlake.sinks.bars import write_years
 
@@ -31,6 +35,7 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("year", T.IntegerType()),
         T.StructField("data_snapshot", T.StringType()),
         T.StructField("row_count", T.LongType()),
+        T.StructField("table_name", T.StringType()),
     ]
 )
 SNAPSHOT_SCHEMA = T.StructType(
@@ -41,45 +46,63 @@ SNAPSHOT_SCHEMA = T.StructType(
 class BarStore:
     """A bar dataset with atomic publication."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, pinned: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.pinned = pinned
+
+    def at(self, version: int | None = None) -> BarStore:
+        """The store as of one version, by default the latest."""
+        return BarStore(self.spark, self.root, self.version() if version is None else version)
+
+    def _log(self):
+        """The file system and the path class for the commit folder."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(f"{self.root}/commits").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _versions(self) -> dict[int, bool]:
+        """Versions in the log; False for one whose writer died before it wrote the record."""
+        system, path = self._log()
+        folder = path(f"{self.root}/commits")
+        found = system.listStatus(folder) if system.exists(folder) else []
+        named = ((re.fullmatch(r"(\d{12})\.json", f.getPath().getName()), f.getLen()) for f in found)
+        return {int(m[1]): size > 0 for m, size in named if m}
 
     def commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits")
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
+        """All commit records."""
+        if not self._versions():
             return self.spark.createDataFrame([], COMMIT_SCHEMA)
+        return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits")
+
+    def version(self) -> int:
+        """The pinned version, or the latest committed one; 0 before the first."""
+        if self.pinned is not None:
+            return self.pinned
+        return max((v for v, done in self._versions().items() if done), default=0)
 
     def current(self) -> DataFrame:
-        """The latest commit's rows: its head (year NULL) and one per year."""
-        commits = self.commits()
-        latest = commits.agg(F.max("version").alias("version"))
-        return commits.join(latest, "version")
+        """The version's rows: its head, one per year, one per table."""
+        version = self.version()
+        if not version:
+            return self.spark.createDataFrame([], COMMIT_SCHEMA)
+        return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits/{version:012d}.json")
 
-    def _layout(self) -> tuple[str | None, list]:
-        """(snapshot, rows per year) of the latest commit; as many rows as the dataset has years."""
-        rows = self.current().collect()
-        years = sorted((r for r in rows if r.year is not None), key=lambda r: r.year)
-        return (rows[0].snapshot if rows else None), years
+    def _layout(self) -> list:
+        """Rows per year; as many as the dataset has years."""
+        return sorted(self.current().where("year IS NOT NULL").collect(), key=lambda r: r.year)
 
-    def version(self) -> int:
-        return self.commits().agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v
+    def tables(self) -> dict[str, str]:
+        """Which snapshot holds each report table; a fixed set of names."""
+        return {r.table_name: r.data_snapshot for r in self.current().where("table_name IS NOT NULL").collect()}
 
     def years(self) -> list[int]:
-        return [r.year for r in self._layout()[1]]
+        return [r.year for r in self._layout()]
 
     def bars(self, years: list[int] | None = None) -> DataFrame:
         """The current bars. Only the directories of the wanted years are opened."""
-        rows = [r for r in self._layout()[1] if years is None or r.year in years]
+        rows = [r for r in self._layout() if years is None or r.year in years]
         return self.bars_of([(r.data_snapshot, r.year) for r in rows])
 
-    def bars_in(self, snapshot: str) -> bool:
-        """Whether any commit so far refers to the snapshot."""
-        return not self.commits().where(F.col("snapshot") == snapshot).isEmpty()
-
     def bars_of(self, parts: list[tuple[str, int]]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], SNAPSHOT_SCHEMA).drop("snapshot")
@@ -98,11 +121,11 @@ class BarStore:
         table.write.mode("overwrite").parquet(f"{self.root}/tables/{name}/snapshot={snapshot}")
 
     def table(self, name: str) -> DataFrame:
-        """A report table as of the latest commit."""
-        snapshot, _ = self._layout()
-        if snapshot is None:
-            raise BarlakeError("the store has no commit")
-        return self.spark.read.parquet(f"{self.root}/tables/{name}/snapshot={snapshot}")
+        """A report table as of the version."""
+        held = self.tables()
+        if name not in held:
+            raise BarlakeError(f"no commit holds the table {name}")
+        return self.spark.read.parquet(f"{self.root}/tables/{name}/snapshot={held[name]}")
 
     def save_diagnostics(self, run: str, name: str, table: DataFrame) -> str:
         """Evidence of a refused run; never part of a commit."""
@@ -110,17 +133,28 @@ class BarStore:
         table.write.mode("overwrite").parquet(path)
         return path
 
-    def commit(self, snapshot: str, row_counts: dict[int, int]) -> int:
-        """Make a snapshot current: its years replace, all other years carry over."""
-        rows = self.current().collect()  # one row per year and the head
-        before = [r for r in rows if r.year is not None]
-        version = max((r.version for r in rows), default=0) + 1
+    def commit(self, snapshot: str, row_counts: dict[int, int], tables: tuple[str, ...] | list[str] = ()) -> int:
+        """Make a snapshot current: its years and tables replace, all others carry over.
+
+        On a pinned store the commit holds only if nothing was committed since.
+        """
+        version = max(self._versions(), default=0) + 1
+        based = self.version()
+        if self.pinned is not None and BarStore(self.spark, self.root).version() != based:
+            raise CommitError(f"version {based} is no longer the latest")
+        before = self.current().collect()  # head, years and tables
         now = dt.datetime.now(dt.UTC).isoformat()
-        head = [(version, snapshot, now, None, None, None)]
-        kept = [
-            (version, snapshot, now, r.year, r.data_snapshot, r.row_count) for r in before if r.year not in row_counts
+        kept = [(r.year, r.data_snapshot, r.row_count, r.table_name) for r in before if r.year is not None and r.year not in row_counts or r.table_name is not None and r.table_name not in tables]
+        new = [(y, snapshot, n, None) for y, n in sorted(row_counts.items())] + [(None, snapshot, None, t) for t in tables]
+        lines = [
+            json.dumps(dict(zip(COMMIT_SCHEMA.names, (version, snapshot, now, *row), strict=True)))
+            for row in [(None, None, None, None), *kept, *new]
         ]
-        new = [(version, snapshot, now, y, snapshot, n) for y, n in row_counts.items()]
-        record = self.spark.createDataFrame(head + kept + new, COMMIT_SCHEMA)
-        record.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        system, path = self._log()
+        try:
+            out = system.create(path(f"{self.root}/commits/{version:012d}.json"), False)
+        except Py4JJavaError as exc:
+            raise CommitError(f"version {version} was committed by another writer") from exc
+        out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+        out.close()
         return version

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A file up to this size is hashed as one binary row in the JVM; a larger one is streamed.
-WHOLE_FILE_LIMIT = 64 * 1024 * 1024
-CHUNK = 4 * 1024 * 1024
-
-
 def _opened(uri: str):
     from pyarrow import fs
 
@@ -21,24 +15,11 @@ def _opened(uri: str):
     return filesystem, path
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for uri in batch["path"]:
-            filesystem, path = _opened(uri)
-            digest = hashlib.sha256()
-            with filesystem.open_input_stream(path) as stream:
-                while chunk := stream.read(CHUNK):
-                    digest.update(chunk)
-            found.append(digest.hexdigest())
-        yield batch.assign(sha256=found)
-
-
-def inventory(spark: SparkSession, root: str, whole_file_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
+def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, local_path, size_bytes, sha256) of every file below root.
 
-    The length filter is pushed into the listing, so content is loaded only for files small
-    enough to be a row. Larger files are read in chunks by the tasks that own their paths.
+    A file is one binary row, hashed in the JVM. Writers bound their files (`maxRecordsPerFile`), and
+    Spark refuses a longer one (`spark.sql.sources.binaryFile.maxLength`) instead of leaving it out.
     """
     files = (
         spark.read.format("binaryFile")
@@ -46,17 +27,9 @@ def inventory(spark: SparkSession, root: str, whole_file_limit: int = WHOLE_FILE
         .option("pathGlobFilter", "[!._]*")
         .load(root)
     )
-    small = files.where(F.col("length") <= whole_file_limit).select(
-        "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    large = (
-        files.where(F.col("length") > whole_file_limit)
-        .select("path", F.col("length").alias("size_bytes"))
-        .mapInPandas(_digests, "path string, size_bytes long, sha256 string")
-    )
     base = root.rstrip("/").removeprefix("file:")
     relative = F.regexp_replace("path", F.lit(rf"\A.*?\Q{base}\E/"), F.lit(""))
-    return small.unionByName(large).select("path", relative.alias("local_path"), "size_bytes", "sha256")
+    return files.select("path", relative.alias("local_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def _codecs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

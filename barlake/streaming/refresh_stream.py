@@ -7,14 +7,18 @@ table and at-least-once delivery is enough.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from barlake.operators.bars import fold_raw, folded_bars
+from barlake.operators.bars import duplicates_removed, fold_raw, folded_bars
+from barlake.operators.coverage import refresh_coverage
+from barlake.operators.reports import manifest_statistics, per_year
 from barlake.operators.upsert import upsert
+from barlake.plans.refresh import with_carried_years
 from barlake.schema import BAR_COLUMNS, BAR_SCHEMA
 from barlake.session import cut
 from barlake.sinks.snapshots import BarStore
@@ -31,11 +35,22 @@ def split_late(batch: DataFrame, refresh_start) -> tuple[DataFrame, DataFrame]:
     return batch.where(~late), batch.where(late)
 
 
-def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start: dt.date, end: dt.date) -> None:
-    """Merge one micro-batch: quarantine late, invalid and conflicting bars, upsert the rest, commit."""
+def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start: dt.date, end: dt.date, run: str = "batches") -> None:
+    """Merge one micro-batch: quarantine late, unexpected, invalid and conflicting bars, upsert the rest, commit.
+
+    `run` names the stream in the quarantine, so that streams with checkpoints of their own do not
+    overwrite each other's. Where the store has coverage and a manifest, they follow the bars, and
+    tickers without coverage are unexpected.
+    """
+    store = store.at()
+    held = store.tables()
+    label = f"run={run}/batch={batch_id:012d}"
     on_time, late = split_late(batch, refresh_start)
-    label = f"batch={batch_id:012d}"
     late.write.mode("overwrite").parquet(f"{store.root}/quarantine/late/{label}")
+    if "coverage" in held:
+        known = store.table("coverage").select("ticker")
+        on_time.join(known, "ticker", "left_anti").write.mode("overwrite").parquet(f"{store.root}/quarantine/unexpected/{label}")
+        on_time = on_time.join(known, "ticker", "left_semi").select(*batch.columns)
     folded = cut(fold_raw(on_time, refresh_start, end))
     refused = folded.where("conflict OR invalid > 0").select("date", "ticker", "copies", "invalid", "conflict")
     refused.write.mode("overwrite").parquet(f"{store.root}/quarantine/refused/{label}")
@@ -45,13 +60,29 @@ def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start:
         return
     old = store.bars([y for y in store.years() if y in years])
     merged = upsert(old, new)
-    snapshot = f"stream-{batch_id:012d}"
-    if store.bars_in(snapshot):
-        # a replay must not overwrite files that the current commit may still serve
-        snapshot = f"{snapshot}-{store.version() + 1}"
+    # named by the version as well: a replay must not overwrite files that a commit serves
+    snapshot = f"stream-{run}-{batch_id:012d}-{store.version() + 1}"
     stored = store.stage(snapshot, merged)
-    counts = {r.year: r.n for r in stored.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
-    store.commit(snapshot, counts)
+    changed = cut(per_year(stored))
+    counts = {r.year: r.row_count for r in changed.collect()}  # one row per year
+    tables = {}
+    if "coverage" in held:
+        prior = store.table("coverage")
+        none = F.lit(0).cast("bigint").alias("attempt_count")
+        state = prior.select("ticker", "status", none, F.col("last_error").alias("error_message"))
+        tables["coverage"] = cut(refresh_coverage(known, prior, old, stored, state))
+    if "coverage" in held and "manifest" in held:
+        was = store.table("manifest").first()
+        rows = folded.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid")).first()
+        tables["manifest"] = manifest_statistics(
+            with_carried_years(store, changed, sorted(counts), tables["coverage"]), tables["coverage"],
+            universe_sha256=was.universe_sha256, universe_count=was.universe_ticker_count,
+            start=dt.date.fromisoformat(was.requested_start), end=max(end, dt.date.fromisoformat(was.requested_end_exclusive)),
+            invalid_rows=rows.invalid, duplicate_rows=duplicates_removed(folded).first().duplicate_rows,
+        )
+    for name, table in tables.items():
+        store.stage_table(snapshot, name, table)
+    store.commit(snapshot, counts, list(tables))
 
 
 def refresh_stream(
@@ -62,10 +93,14 @@ def refresh_stream(
     refresh_start: dt.date,
     end: dt.date,
 ) -> StreamingQuery:
-    """Run everything available and stop. bars has the raw bar columns."""
+    """Run everything available and stop. bars has the raw bar columns.
+
+    The checkpoint names the stream: restarted with it, the stream goes on under the same name.
+    """
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     return (
         bars.select(*BAR_COLUMNS)
-        .writeStream.foreachBatch(lambda batch, i: apply_batch(store, batch, i, refresh_start, end))
+        .writeStream.foreachBatch(lambda batch, i: apply_batch(store, batch, i, refresh_start, end, run))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

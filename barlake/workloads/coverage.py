@@ -20,7 +20,7 @@ def merged(spark, sf):
 
 
 def state(spark, sf):
-    return V.resolve_status(I.attempts(spark, sf), I.users(spark, sf))
+    return V.resolve_status(I.attempts(spark, sf), I.users(spark, sf), I.user_bars(spark, sf))
 
 
 def coverage(spark, sf):

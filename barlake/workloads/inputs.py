@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.schema import UNIVERSE_SIZE
-from barlake.session import scratch, spread
+from barlake.session import scratch
 from barlake.sinks.bars import write_years
 
 START = dt.date(1995, 7, 1)
@@ -89,7 +89,7 @@ CTES = {
     "user_bars": """
         SELECT CAST(ts AS DATE) AS date, 'U' || user_id AS ticker, max(value) + 1 AS close,
                max(value) + 0.5 AS adj_close, count(*) AS volume
-        FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""",
+        FROM events GROUP BY 1, 2""",
     "attempts": """
         SELECT 'U' || user_id AS ticker, event_id AS attempt_no,
                CASE WHEN event_type = 'error' AND value > 40 THEN 'failed'
@@ -99,31 +99,32 @@ CTES = {
         FROM events""",
     "state": """
         SELECT u.ticker,
-               CASE WHEN coalesce(ok, false) THEN 'success' WHEN coalesce(bad, false) THEN 'failed'
+               CASE WHEN r.ticker IS NOT NULL THEN 'success' WHEN coalesce(bad, false) THEN 'failed'
                     WHEN coalesce(nothing, false) THEN 'no_data' ELSE 'failed' END AS status,
                coalesce(n, 0) AS attempt_count,
-               CASE WHEN coalesce(ok, false) THEN ''
+               CASE WHEN r.ticker IS NOT NULL THEN ''
                     WHEN coalesce(bad, false) THEN CASE WHEN last_outcome = 'no_data' THEN 'NoData' ELSE last_type END
                     WHEN coalesce(nothing, false) THEN 'NoData' ELSE 'DownloadError' END AS error_type,
-               CASE WHEN coalesce(ok, false) THEN ''
+               CASE WHEN r.ticker IS NOT NULL THEN ''
                     WHEN coalesce(bad, false) THEN
-                      CASE WHEN last_outcome = 'no_data' THEN 'Yahoo returned no valid historical rows'
+                      CASE WHEN last_outcome = 'no_data' THEN 'the last attempt found no usable rows'
                            ELSE 'try ' || last_id || '?key=<redacted>&n=1' END
-                    WHEN coalesce(nothing, false) THEN 'Yahoo returned no valid historical rows after retries'
-                    ELSE 'Download ended without a determinate result' END AS error_message
+                    WHEN coalesce(nothing, false) THEN 'no attempt found usable rows'
+                    ELSE 'no attempt was recorded' END AS error_message
         FROM users u LEFT JOIN (
-          SELECT ticker, bool_or(outcome = 'success') AS ok, bool_or(outcome = 'failed') AS bad,
+          SELECT ticker, bool_or(outcome = 'failed') AS bad,
                  bool_or(outcome = 'no_data') AS nothing, count(*) AS n,
                  arg_max(outcome, attempt_no) AS last_outcome, arg_max(error_type, attempt_no) AS last_type,
                  max(attempt_no) AS last_id
-          FROM attempts GROUP BY ticker) a ON a.ticker = u.ticker""",
+          FROM attempts GROUP BY ticker) a ON a.ticker = u.ticker
+        LEFT JOIN (SELECT DISTINCT ticker FROM user_bars) r ON r.ticker = u.ticker""",
     "user_ranges": """
         SELECT ticker, min(date) AS first_date, max(date) AS last_date, count(*) AS row_count
         FROM user_bars GROUP BY ticker""",
     "coverage": """
         SELECT u.ticker, CASE WHEN r.ticker IS NOT NULL THEN 'success' ELSE s.status END AS status,
                r.first_date, r.last_date, coalesce(r.row_count, 0) AS row_count, s.attempt_count,
-               CASE WHEN r.ticker IS NOT NULL THEN '' WHEN s.error_message = '' THEN 'No terminal status recorded'
+               CASE WHEN r.ticker IS NOT NULL THEN '' WHEN s.error_message = '' THEN 'no status is known'
                     ELSE s.error_message END AS last_error
         FROM users u JOIN state s ON s.ticker = u.ticker LEFT JOIN user_ranges r ON r.ticker = u.ticker""",
     "feed_base": """
@@ -275,7 +276,7 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
 
 def dirty_text(spark: SparkSession, sf: str) -> DataFrame:
     """The same feed as text, with a zone on its dates and words for what is no number."""
-    rows = spread(dirty(spark, sf))
+    rows = dirty(spark, sf)
 
     def spelled(c: str) -> Column:
         return F.when(F.isnan(c), "n/a").when(F.col(c) == float("inf"), " inf ").otherwise(F.col(c).cast("string"))
@@ -330,7 +331,6 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
 def user_bars(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "events")
-        .where("event_type = 'purchase'")
         .groupBy(F.to_date("ts").alias("date"), _key("U", "user_id").alias("ticker"))
         .agg((F.max("value") + 1).alias("close"), (F.max("value") + 0.5).alias("adj_close"), F.count(F.lit(1)).alias("volume"))
     )
@@ -349,7 +349,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    base = spread(table(spark, sf, "customer")).select(
+    base = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("k"),
         F.col("c_nationkey").alias("n"),
         F.col("c_name").alias("name"),

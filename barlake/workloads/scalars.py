@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from barlake.functions import dates, fingerprint, numbers, text
 from barlake.operators.universe import evaluate, screener_fields, screener_predicate
-from barlake.session import spread
 from barlake.workloads import inputs as I
 from barlake.workloads.registry import query
 
@@ -32,7 +31,7 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", pick).alias("title")
     )
     docs = I.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    return spread(named.unionByName(docs))
+    return named.unionByName(docs)
 
 
 @query(
@@ -239,6 +238,19 @@ def p20(spark, sf):
     return I.top_accounts(spark, sf).agg(sha.alias("universe_sha256"), F.count(F.lit(1)).alias("tickers"))
 
 
+@query(
+    "p20_identity_any_size",
+    """WITH runs AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS r, o_orderkey AS k FROM orders),
+         a AS (SELECT r, sha256(string_agg('O' || k, chr(10) ORDER BY k) || chr(10)) AS d FROM runs GROUP BY r),
+         b AS (SELECT r // 1000 AS r, sha256(string_agg(d, chr(10) ORDER BY a.r) || chr(10)) AS d FROM a GROUP BY r // 1000)
+       SELECT d AS layered_sha256, (SELECT count(*) FROM orders) AS n FROM b""",
+)
+def p20_any_size(spark, sf):
+    """Of all orders; the twin has the two layers that tables of 1,001 to 1,000,000 rows have."""
+    orders = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("ticker"))
+    return fingerprint.layered_identity(orders)
+
+
 @query(
     "p21_run_key",
     """SELECT sha256('{"end_exclusive":"2001-07-01","schema_version":"daily_prices_v1","start":"1995-07-01","tickers":["'

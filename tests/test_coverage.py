@@ -28,7 +28,7 @@ def test_status_fold(spark):
     universe = names(spark, "AAA", "BBB", "ERR", "MIX", "NEVER", "ROWS")
     bars = spark.createDataFrame([(d("2020-01-02"), "ROWS", 1.0, 1.0, 1)], BAR_SCHEMA)
     found = {r.ticker: tuple(r)[1:] for r in V.resolve_status(spark.createDataFrame(log, ATTEMPT_SCHEMA), universe, bars).collect()}
-    assert found["BBB"] == ("success", 3, "", "")
+    assert found["BBB"] == ("no_data", 3, "NoData", V.NO_DATA_FINAL_MESSAGE)
     assert found["AAA"] == ("no_data", 4, "NoData", V.NO_DATA_FINAL_MESSAGE)
     assert found["ERR"] == ("failed", 3, "TimeoutError", "try 3")
     assert found["MIX"] == ("failed", 2, "NoData", V.NO_DATA_MESSAGE)

@@ -156,10 +156,17 @@ def test_identity_of_a_large_universe(spark):
     df = spark.range(10).selectExpr("id AS ord", "concat('T', id) AS ticker")
     whole = fingerprint.universe_identity(df).first()
     assert whole.sha == hashlib.sha256("".join(f"T{i}\n" for i in range(10)).encode()).hexdigest()
-    runs = [hashlib.sha256("".join(f"T{i}\n" for i in range(a, min(a + 4, 10))).encode()).hexdigest() for a in (0, 4, 8)]
-    chunked = fingerprint.universe_identity(df, chunk=4).first()
-    assert chunked.sha == hashlib.sha256("".join(f"{r}\n" for r in runs).encode()).hexdigest()
-    assert chunked.n == whole.n == 10
+    assert whole.n == 10
+
+    def layered(lines, run):
+        while True:
+            lines = [hashlib.sha256("".join(f"{x}\n" for x in lines[a : a + run]).encode()).hexdigest() for a in range(0, len(lines), run)]
+            if len(lines) == 1:
+                return lines[0]
+
+    for run in (3, 4, 10, 1000):
+        row = fingerprint.layered_identity(df, run).first()
+        assert (row.layered_sha256, row.n) == (layered([f"T{i}" for i in range(10)], run), 10)
 
 
 def test_repeated_records_ignore_key_order(spark):

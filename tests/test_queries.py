@@ -32,7 +32,3 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_file_digests_agree(spark):
-    assert entry.queries()["s15_file_inventory"](spark, SF).where("NOT agree").count() == 0
