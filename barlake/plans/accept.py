@@ -16,7 +16,7 @@ from barlake.operators.quality import coverage_row_violations, dataset_violation
 from barlake.operators.reports import acceptance_summary
 from barlake.schema import STATUSES
 from barlake.session import cut
-from barlake.sources.files import inventory, key_runs, parquet_footers
+from barlake.sources.files import inventory, key_runs, stored_codecs
 from barlake.sources.manifest import asset_rows, partition_counts, read_manifest
 from barlake.sources.prices import read_dataset
 from barlake.sources.reports import read_coverage, read_failures
@@ -78,7 +78,7 @@ def acceptance_violations(
             },
         ),
         dataset_violations(
-            stored, cut(key_runs(spark, daily)), cut(parquet_footers(spark, daily)), start, end, universe, expected
+            stored, cut(key_runs(spark, daily)), cut(stored_codecs(spark, daily)), start, end, universe, expected
         ),
         sampled(changed, "file_changed", F.col("local_path")),
         coverage_row_violations(coverage, universe),

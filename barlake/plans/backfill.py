@@ -19,7 +19,7 @@ from barlake.plans.clean import clean_bars
 from barlake.session import cut
 from barlake.sinks.layout import manifest_with_assets, publish_csv, publish_json, publish_years
 from barlake.sinks.snapshots import BarStore
-from barlake.sources.files import inventory, key_runs, parquet_footers
+from barlake.sources.files import inventory, key_runs, stored_codecs
 from barlake.operators.inventory import index_assets
 
 
@@ -79,7 +79,7 @@ def backfill(
         raise
     stored = store.stage(snapshot, cleaned.bars, one_file_per_year=one_file_per_year)
     path = f"{store.root}/bars/snapshot={snapshot}"
-    runs, footers = cut(key_runs(store.spark, path)), cut(parquet_footers(store.spark, path))
+    runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
     years = cut(per_year(cleaned.bars))
     actual = stored.groupBy("year").agg(F.count(F.lit(1)).alias("row_count"))
     enforce(gather(stored_violations(stored, runs, footers, start, end), count_mismatches(actual, years)))

@@ -27,7 +27,7 @@ from barlake.plans.clean import clean_bars
 from barlake.schema import MINIMUM_TARGET_COVERAGE, REFRESH_DAYS
 from barlake.session import cut
 from barlake.sinks.snapshots import BarStore
-from barlake.sources.files import key_runs, parquet_footers
+from barlake.sources.files import key_runs, stored_codecs
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def refresh(
     stored = store.stage(run, merged)
     path = f"{store.root}/bars/snapshot={run}"
     first_day = dt.date(start.year, 1, 1)
-    runs, footers = cut(key_runs(store.spark, path)), cut(parquet_footers(store.spark, path))
+    runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
     enforce(stored_violations(stored, runs, footers, first_day, end))
     changed = cut(per_year(merged))
     counts = {r.year: r.row_count for r in changed.collect()}  # one row per affected year

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.errors import UniverseError
+from barlake.errors import SourceError, UniverseError
+from barlake.functions.fingerprint import drop_repeated_records
 from barlake.operators.gates import counted, enforce, gather
 from barlake.operators.quality import audit_violations, universe_violations
 from barlake.operators.reports import single
 from barlake.operators.universe import (
     audit_rows,
     build_report,
+    cap_input,
     evaluate,
     reason_counts,
     screener_fields,
@@ -22,9 +24,21 @@ from barlake.operators.universe import (
     suffix_counts,
     universe_rows,
 )
-from barlake.schema import UNIVERSE_SIZE
+from barlake.schema import MAX_CANDIDATES, PAGE_SIZE, UNIVERSE_SIZE
 from barlake.session import cut
 from barlake.sinks.snapshots import BarStore
+from barlake.sources.directory import (
+    LISTED_A_COLUMNS,
+    LISTED_B_COLUMNS,
+    combine,
+    directory,
+    directory_violations,
+    parse_listed_a,
+    parse_listed_b,
+    raw_record_count,
+    read_pipe,
+)
+from barlake.sources.universe import manual_exclusions, page_violations, read_pages
 
 
 @dataclass(frozen=True)
@@ -74,6 +88,43 @@ def build_universe(
     return BuiltUniverse(universe, audit, q.excluded, report)
 
 
+def build_from_files(
+    spark: SparkSession,
+    first_listing: str | list[str],
+    second_listing: str | list[str],
+    pages: str | list[str],
+    exclusions: str | None = None,
+    *,
+    size: int = UNIVERSE_SIZE,
+    target: int | None = None,
+    max_candidates: int = MAX_CANDIDATES,
+) -> BuiltUniverse:
+    """A universe from the files of both directories, the screener's pages and the exclusion list.
+
+    Pages count up to the one on which `target` securities qualify, by default `size`, as in a paged read.
+
+    A directory with an invalid flag, an unknown exchange or conflicting records, and a page without
+    quotes, stop the job before anything is qualified.
+    """
+    combined = cut(
+        combine(
+            parse_listed_a(read_pipe(spark, first_listing, LISTED_A_COLUMNS)),
+            parse_listed_b(read_pipe(spark, second_listing, LISTED_B_COLUMNS)),
+        )
+    )
+    enforce(directory_violations(combined), SourceError)
+    quotes = cut(read_pages(spark, pages))
+    enforce(page_violations(quotes), SourceError)
+    listed = directory(combined)
+    manual = None if exclusions is None else cut(manual_exclusions(spark, exclusions))
+    numbered = quotes.withColumn("ord", F.col("page") * PAGE_SIZE + F.col("pos"))
+    new = cut(drop_repeated_records(numbered, "record", "ord"))
+    candidates = qualify_candidates(new, listed, manual).candidates
+    marked = numbered.join(new.select("ord", F.lit(True).alias("is_new")), "ord", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    kept = cap_input(marked.select("page", "ord", "raw_count", "is_new"), candidates.select("ord", "ticker"), target=size if target is None else target, max_candidates=max_candidates)
+    return build_universe(new.join(kept.select("ord"), "ord", "left_semi"), listed, raw_record_count(combined), manual, size)
+
+
 def publish_universe(store: BarStore, snapshot: str, built: BuiltUniverse) -> int:
     """Store the four tables and commit; the previous universe stays under its own snapshot."""
     tables = {"universe": built.universe, "audit": built.audit, "excluded": built.excluded, "report": built.report}

@@ -8,13 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def _opened(uri: str):
-    from pyarrow import fs
-
-    filesystem, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
-    return filesystem, path
-
-
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, local_path, size_bytes, sha256) of every file below root.
 
@@ -32,33 +25,16 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", relative.alias("local_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def _codecs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        rows = []
-        for uri in batch["file"]:
-            filesystem, path = _opened(uri)
-            with filesystem.open_input_file(path) as handle:
-                meta = pq.ParquetFile(handle).metadata
-            for g in range(meta.num_row_groups):
-                group = meta.row_group(g)
-                for c in range(group.num_columns):
-                    chunk = group.column(c)
-                    rows.append((uri, g, chunk.path_in_schema, chunk.compression.upper(), group.num_rows))
-        yield pd.DataFrame(rows, columns=["file", "row_group", "column", "codec", "row_count"])
-
+def stored_codecs(spark: SparkSession, root: str) -> DataFrame:
+    """(file, codec, row_count) of every Parquet file below root.
 
-def parquet_footers(spark: SparkSession, root: str) -> DataFrame:
-    """One row per column chunk. Only paths travel; each task opens just the footers of its files."""
-    paths = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(root)
-        .select(F.col("path").alias("file"))
-    )
-    return paths.mapInPandas(_codecs, "file string, row_group long, column string, codec string, row_count long")
+    The codec is what Spark's writer put into the file's name; a file under a published name has none.
+    Rows are counted from the footers, no column is read.
+    """
+    file = F.col("_metadata.file_path")
+    counts = spark.read.parquet(root).groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
+    codec = F.nullif(F.upper(F.regexp_extract("file", r"\.([a-z0-9]+)\.parquet$", 1)), F.lit(""))
+    return counts.select("file", codec.alias("codec"), "row_count")
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from barlake.errors import SourceError, UniverseError
 from barlake.functions.text import blank_to_null, normalize_ticker, strip
 from barlake.operators.gates import enforce, gather, listed, sampled
-from barlake.operators.ordering import first_occurrence
+from barlake.operators.ordering import first_occurrence, with_position
 from barlake.schema import AUDIT_SCHEMA, UNIVERSE_SCHEMA
 
 
@@ -31,19 +31,25 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ticker_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, raw, ticker) of a CSV that has a ticker column; blank tickers are skipped."""
+    """(ord, raw, ticker) of a CSV that has a ticker column; blank tickers are skipped.
+
+    The order is that of the ranks if every row has one, else that of the files: by file name, then
+    by place in the file.
+    """
     raw = spark.read.csv(path, header=True, escape='"')
     names = [c.lstrip("﻿") for c in raw.columns]
     if "ticker" not in names:
         raise SourceError(f"missing required 'ticker' column: {path}")
     rows = raw.toDF(*names)
     rank = F.col("market_cap_rank").try_cast("bigint") if "market_cap_rank" in names else F.lit(None).cast("bigint")
-    order = F.coalesce(rank, F.monotonically_increasing_id())
-    return (
-        rows.select(order.alias("ord"), F.col("ticker").alias("raw"))
-        .where(blank_to_null(F.col("raw")).isNotNull())
-        .withColumn("ticker", normalize_ticker(F.col("raw")))
+    # rows of a split are numbered in order, and splits of a file by where they start
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    kept = rows.select(rank.alias("rank"), F.col("ticker").alias("raw"), *[c.alias(f"_place{i}") for i, c in enumerate(place)]).where(
+        blank_to_null(F.col("raw")).isNotNull()
     )
+    placed = with_position(kept, [F.col(f"_place{i}") for i in range(len(place))])
+    ranked = not placed.where("rank IS NULL").limit(1).count()
+    return placed.select(F.col("rank" if ranked else "position").alias("ord"), "raw", normalize_ticker(F.col("raw")).alias("ticker"))
 
 
 def load_universe(spark: SparkSession, path: str) -> DataFrame:
@@ -102,9 +108,11 @@ def parse_pages(pages: DataFrame, page: str = "page", text: str = "value") -> Da
 
 
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every file is one page; pages are numbered by file name."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("page"), "value")
-    return parse_pages(files)
+    """Every file is one page; its number is that of its `page=` folder, else the last one in its name."""
+    source = F.col("_metadata.file_path")
+    number = F.coalesce(F.nullif(F.regexp_extract(source, r"page=(\d+)/", 1), F.lit("")), F.regexp_extract(source, r"(\d+)[^\d/]*$", 1))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return parse_pages(files.select(number.try_cast("bigint").alias("page"), "value"))
 
 
 def page_violations(parsed: DataFrame) -> DataFrame:

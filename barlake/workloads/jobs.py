@@ -12,12 +12,13 @@ from barlake.plans.backfill import backfill, export_dataset
 from barlake.plans.clean import clean_bars, clean_wide
 from barlake.plans.reconcile import reconcile_copies
 from barlake.plans.refresh import refresh
-from barlake.plans.universe import build_universe, publish_universe, qualify_candidates, validate_universe
+from barlake.plans.universe import build_from_files, build_universe, publish_universe, qualify_candidates, validate_universe
 from barlake.session import scratch
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.directory import raw_record_count
 from barlake.streaming.refresh_stream import bar_stream, refresh_stream, split_late
 from barlake.workloads import inputs as I
+from barlake.workloads import securities as WSec
 from barlake.workloads import storage as WS
 from barlake.workloads.barops import BAR
 from barlake.workloads.registry import query
@@ -75,6 +76,28 @@ def q3(spark, sf):
     return store.table("universe")
 
 
+@query(
+    "q3_build_from_files",
+    f"SELECT ticker, company_name, market_cap, market_cap_rank FROM selected WHERE market_cap_rank <= {JOB_SIZE}",
+)
+def q3_files(spark, sf):
+    """Both directories, full pages of the feed and the exclusion list as files; all pages count."""
+    every = 2**30
+    pages = WSec.full_pages(spark, sf)
+    folder = I.once(spark, sf, "page-files", lambda path: pages.write.partitionBy("page").text(path))
+    built = build_from_files(
+        spark,
+        I.once(spark, sf, "listing-a", lambda path: I.listed_a(spark, sf).write.option("sep", "|").option("header", "true").csv(path)),
+        I.once(spark, sf, "listing-b", lambda path: I.listed_b(spark, sf).write.option("sep", "|").option("header", "true").csv(path)),
+        folder,
+        I.once(spark, sf, "exclusions", lambda path: I.manual(spark, sf).select(F.col("ticker").alias("value")).write.text(path)),
+        size=JOB_SIZE,
+        target=every,
+        max_candidates=every,
+    )
+    return built.universe.select("ticker", "company_name", "market_cap", "market_cap_rank")
+
+
 @query(
     "v11_validate_universe",
     f"SELECT CAST({JOB_SIZE} AS BIGINT) AS rows, count(DISTINCT ticker) AS unique_tickers, min(market_cap_rank) AS rank_min, "

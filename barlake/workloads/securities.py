@@ -13,6 +13,7 @@ from barlake.sinks.reports import write_csv
 from barlake.sources import directory as D
 from barlake.sources import universe as SU
 from barlake.workloads import inputs as I
+from barlake.operators.ordering import with_position
 from barlake.workloads.registry import query
 
 FINAL = "ticker, company_name, security_name, market_cap, market_cap_rank, yahoo_exchange, listing_exchange"
@@ -66,6 +67,24 @@ def s1(spark, sf):
     return SU.load_universe(spark, I.once(spark, sf, "universe-csv", write))
 
 
+@query(
+    "s1_universe_unranked",
+    """SELECT 'C-' || c_mktsegment AS ticker, min(pos) AS ord FROM (
+         SELECT c_mktsegment, row_number() OVER (ORDER BY c_custkey DESC) AS pos FROM customer) GROUP BY c_mktsegment""",
+)
+def s1_unranked(spark, sf):
+    """A file in which one row has no rank keeps the order of its lines."""
+
+    def write(path):
+        rows = I.table(spark, sf, "customer").orderBy(F.desc("c_custkey")).select(
+            F.concat(F.lit("C-"), "c_mktsegment").alias("ticker"),
+            F.when(F.col("c_custkey") > 1, F.col("c_custkey")).alias("market_cap_rank"),
+        )
+        rows.coalesce(1).write.option("header", "true").csv(path)
+
+    return SU.load_universe(spark, I.once(spark, sf, "universe-unranked", write)).select("ticker", "ord")
+
+
 @query(
     "s2_pipe_directory_scan",
     "SELECT CASE n WHEN 0 THEN 'C.' || k WHEN 3 THEN 'C' || k || 'F' ELSE 'C' || k END AS symbol, "
@@ -112,9 +131,18 @@ def u2_conflicts(spark, sf):
     return D.conflicting_tickers(D.combine(second, other))
 
 
+def full_pages(spark, sf):
+    """The feed in full pages, but for the last."""
+    placed = with_position(I.feed_json(spark, sf), [F.col("ord")])
+    return _pages_of(placed.withColumn("page", F.floor((F.col("position") - 1) / PAGE_SIZE)))
+
+
 def pages(spark, sf):
     """Screener pages as JSON text: consecutive runs of at most one page of records."""
-    rows = I.feed_json(spark, sf).withColumn("page", F.floor(F.col("ord") / PAGE_SIZE))
+    return _pages_of(I.feed_json(spark, sf).withColumn("page", F.floor(F.col("ord") / PAGE_SIZE)))
+
+
+def _pages_of(rows):
     listed = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("q"))  # at most PAGE_SIZE
     body = F.concat(F.lit('{"count": 0, "quotes": ['), F.array_join(F.transform("q", lambda r: r["value"]), ", "), F.lit("]}"))
     return listed.select("page", body.alias("value"))

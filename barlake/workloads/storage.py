@@ -171,8 +171,8 @@ def s15(spark, sf):
     "SELECT CAST(year(date) AS VARCHAR) AS year, 'ZSTD' AS codec, count(*) AS row_count FROM bars GROUP BY 1",
 )
 def s16(spark, sf):
-    footers = SF.parquet_footers(spark, I.stored_bars(spark, sf))
-    per = footers.where("column = 'date'").groupBy(F.regexp_extract("file", r"year=(\d+)", 1).alias("year"))
+    footers = SF.stored_codecs(spark, I.stored_bars(spark, sf))
+    per = footers.groupBy(F.regexp_extract("file", r"year=(\d+)", 1).alias("year"))
     return per.agg(F.max("codec").alias("codec"), F.sum("row_count").alias("row_count"))
 
 
@@ -299,7 +299,7 @@ def stored_copy(spark, sf):
 def v3(spark, sf):
     path = stored_copy(spark, sf)
     stored = SP.read_dataset(spark, path)
-    found = Q.stored_violations(stored, cut(SF.key_runs(spark, path)), SF.parquet_footers(spark, path), dt.date(1995, 1, 1), dt.date(2003, 1, 1))
+    found = Q.stored_violations(stored, cut(SF.key_runs(spark, path)), SF.stored_codecs(spark, path), dt.date(1995, 1, 1), dt.date(2003, 1, 1))
     return found.where("rule IN ('wrong_year', 'duplicate_key')").select("rule", "n")
 
 
@@ -309,7 +309,7 @@ def v3_files(spark, sf):
     path = stored_copy(spark, sf)
     from barlake.operators.gates import gather
 
-    return gather(Q.order_violations(SF.key_runs(spark, path)), Q.codec_violations(SF.parquet_footers(spark, path))).select("rule", "n")
+    return gather(Q.order_violations(SF.key_runs(spark, path)), Q.codec_violations(SF.stored_codecs(spark, path))).select("rule", "n")
 
 
 @query(
@@ -323,7 +323,7 @@ def v4(spark, sf):
     path = I.stored_bars(spark, sf)
     stored = SP.read_dataset(spark, path)
     expected = stored.groupBy("year").agg((F.count(F.lit(1)) + 1).alias("row_count"))
-    found = Q.dataset_violations(stored, cut(SF.key_runs(spark, path)), SF.parquet_footers(spark, path), I.START, I.END, I.parts(spark, sf), expected)
+    found = Q.dataset_violations(stored, cut(SF.key_runs(spark, path)), SF.stored_codecs(spark, path), I.START, I.END, I.parts(spark, sf), expected)
     return found.select("rule", "n")
 
 

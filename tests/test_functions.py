@@ -22,8 +22,8 @@ def test_normalize_ticker(one, raw, expected):
 
 @pytest.mark.parametrize(
     ("ticker", "foreign"),
-    [("ASMLF", True), ("TCEHY", True), ("SSNLF", True), ("BABAF", True), ("F", False), ("Y", False), ("FIVE", False),
-     ("YARD", False), ("BRK-B", False), ("FOURF1", False)],
+    [("QUXZF", True), ("WOMBY", True), ("ZZZZF", True), ("FFFFF", True), ("KF", False), ("KY", False), ("WXYF", False),
+     ("FLYER", False), ("GHJK-F", False), ("SIXESF", False), ("FIRMX", False)],
 )
 def test_foreign_suffix(one, ticker, foreign):
     assert one(text.is_foreign_otc(F.lit(ticker))) is foreign
@@ -32,10 +32,10 @@ def test_foreign_suffix(one, ticker, foreign):
 @pytest.mark.parametrize(
     ("name", "hit"),
     [
-        ("Issuer American Depositary Shares", True), ("Issuer american  depository receipts", True), ("Issuer ADR", True),
-        ("Issuer (ADS)", True), ("Issuer GDR", True), ("Issuer Depositary Receipt", True),
-        ("Madrigal Pharmaceuticals Common Stock", False), ("Adroit Common Stock", False), ("Roadshow Common Stock", False),
-        ("éADR Common Stock", False),
+        ("Zubex AMERICAN DEPOSITARY Shares each for two", True), ("Zubex american\tdepository receipts", True), ("ADR of Zubex", True),
+        ("Zubex, ADS, sponsored", True), ("Zubex [GDR]", True), ("one Depositary  Receipt of Zubex", True),
+        ("Quadrille Mills Ordinary Shares", False), ("Madras Looms Ordinary Shares", False), ("Grads Club Ordinary Shares", False),
+        ("ADRé Ordinary Shares", False),
     ],
 )
 def test_depositary(one, name, hit):
@@ -45,11 +45,11 @@ def test_depositary(one, name, hit):
 @pytest.mark.parametrize(
     ("name", "reason"),
     [
-        ("Issuer Preferred Stock", "non_common_security"), ("Issuer Warrants", "non_common_security"), ("Issuer Units", "non_common_security"),
-        ("Issuer 5% Notes", "non_common_security"), ("Issuer Rights", "non_common_security"), ("Issuer ETN", "non_common_security"),
-        ("Issuer pfd Series A", "non_common_security"), ("Example REIT", None), ("Example Shares of Beneficial Interest", None),
-        ("Example Class B Common Stock", None), ("Example Limited Partnership Interests", None),
-        ("Ambiguous Corporation Class A", "ambiguous_security_type"),
+        ("Tolva Mining 7% PREFERRED", "non_common_security"), ("Tolva Mining warrant, 2031", "non_common_security"), ("Unit of Tolva Mining", "non_common_security"),
+        ("Tolva Mining Senior Notes due 2040", "non_common_security"), ("Right of Tolva Mining", "non_common_security"), ("Tolva Gold ETN", "non_common_security"),
+        ("Tolva Mining PFD", "non_common_security"), ("Ostrava Land REIT", None), ("Ostrava Land Shares of Beneficial Interest", None),
+        ("Ostrava Works Common Stock, Class C", None), ("Ostrava Pipelines Limited Partnership Interests", None),
+        ("Ostrava Works", "ambiguous_security_type"),
     ],
 )
 def test_non_common(one, name, reason):

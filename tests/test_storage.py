@@ -70,13 +70,13 @@ def test_year_files(spark, folder):
     assert rows_of(SP.read_dataset(spark, f"{folder}/d")) == [
         (d("2025-12-31"), "AAA", 10.0), (d("2025-12-31"), "BBB", 10.0), (d("2026-01-05"), "AAA", 3.0)
     ]
-    footers = SF.parquet_footers(spark, f"{folder}/d")
+    footers = SF.stored_codecs(spark, f"{folder}/d")
     assert {r.codec for r in footers.collect()} == {"ZSTD"}
     assert SP.stored_schema_matches(spark, f"{folder}/d")
 
 
 def stored_rules(spark, root, start="2016-01-01", end="2030-01-01"):
-    found = Q.stored_violations(SP.read_dataset(spark, root), SF.key_runs(spark, root), SF.parquet_footers(spark, root), d(start), d(end))
+    found = Q.stored_violations(SP.read_dataset(spark, root), SF.key_runs(spark, root), SF.stored_codecs(spark, root), d(start), d(end))
     return {r.rule: r.n for r in found.collect()}
 
 
@@ -96,11 +96,14 @@ def test_stored_gate(spark, folder):
     assert stored_rules(spark, f"{folder}/year_off") == {"wrong_year": 2, "file_repeats_key": 1}
 
 
-def test_inventory_paths_agree(spark, folder):
+def test_inventory_equals_the_files(spark, folder):
+    import hashlib
+    from pathlib import Path
+
     write_years(bar(spark, *START), f"{folder}/d")
-    whole = {r.local_path: (r.size_bytes, r.sha256) for r in SF.inventory(spark, f"{folder}/d").collect()}
-    streamed = {r.local_path: (r.size_bytes, r.sha256) for r in SF.inventory(spark, f"{folder}/d", whole_file_limit=0).collect()}
-    assert whole == streamed and whole and all(p.startswith("year=") for p in whole)
+    found = {r.local_path: (r.size_bytes, r.sha256) for r in SF.inventory(spark, f"{folder}/d").collect()}
+    files = {str(p.relative_to(f"{folder}/d")): p.read_bytes() for p in Path(f"{folder}/d").rglob("part-*")}
+    assert found == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()} and found
 
 
 def test_backfill_gates(spark, folder, universe):
@@ -168,7 +171,7 @@ def test_refused_refresh_changes_nothing(spark, store, universe, sessions):
         window_days=10, allow_partial=True,
     )
     assert done.coverage_ratio == 0.5
-    assert [tuple(r) for r in store.table("update_missing").collect()] == [("BBB", True, "no_data", "Yahoo returned no valid historical rows after retries")]
+    assert [tuple(r) for r in store.table("update_missing").collect()] == [("BBB", True, "no_data", "no attempt found usable rows")]
     bbb = store.table("coverage").where("ticker = 'BBB'").first()
     assert bbb.status == "success" and bbb.last_error != ""
 

@@ -34,16 +34,16 @@ def read_b(spark, folder, *lines):
 
 
 def test_first_layout(spark, folder):
-    row = read_a(spark, folder, "BRK.B|Example Class B Common Stock|G|N|N|100|N|N", "|||||||").first()
-    assert (row.raw_symbol, row.ticker, row.market_category, row.listing_exchange, row.etf, row.problem) == ("BRK.B", "BRK-B", "G", "NASDAQ", False, None)
+    row = read_a(spark, folder, "zub.k|Zubex Mills Common Stock, Class K|s|N|N|40|y|N", "|||||||").first()
+    assert (row.raw_symbol, row.ticker, row.market_category, row.listing_exchange, row.etf, row.problem) == ("zub.k", "ZUB-K", "S", "NASDAQ", True, None)
 
 
 def test_second_layout(spark, folder):
     rows = {r.ticker: r for r in read_b(
-        spark, folder, "LEU|Centrus Energy Corp. Class A Common Stock|A|LEU|N|100|N|LEU", "AAC.U|Ares Acquisition Units|N|AAC.U|N|100|N|AAC=",
+        spark, folder, "TOLV|Tolva Mining Common Stock|A|TOLV|Y|10|N|TOLV", "OST.R|Ostrava Works Rights|N|OST.R|N|10|N|OST^",
     ).collect()}
-    assert rows["LEU"].listing_exchange == "NYSE American" and rows["LEU"].financial_status is None
-    assert rows["AAC-U"].raw_symbol == "AAC.U" and rows["AAC-U"].listing_exchange == "NYSE"
+    assert rows["TOLV"].listing_exchange == "NYSE American" and rows["TOLV"].financial_status is None and rows["TOLV"].etf
+    assert rows["OST-R"].raw_symbol == "OST.R" and rows["OST-R"].listing_exchange == "NYSE"
 
 
 def test_directory_refusals(spark, folder):
@@ -86,11 +86,19 @@ def test_pages(spark, folder):
     write(folder, "p1.json", json.dumps({"quotes": [{"symbol": "A"}, "junk"]}))
     write(folder, "p2.json", json.dumps({"quotes": []}))
     write(folder, "p3.json", json.dumps({"other": 1}))
-    write(folder, "p4.json", "not json")
-    parsed = SU.read_pages(spark, [f"{folder}/p{i}.json" for i in (1, 2, 3, 4)])
+    write(folder, "p14.json", "not json")
+    parsed = SU.read_pages(spark, [f"{folder}/p{i}.json" for i in (1, 2, 3, 14)])
     rows = [(r.page, r.pos, r.problem) for r in parsed.orderBy("page", "pos").collect()]
-    assert rows == [("p1.json", 0, None), ("p1.json", 1, None), ("p3.json", None, "no_quotes_list"), ("p4.json", None, "no_quotes_list")]
-    assert SU.page_violations(parsed).first()["sample"] == "p3.json,p4.json"
+    assert rows == [(1, 0, None), (1, 1, None), (3, None, "no_quotes_list"), (14, None, "no_quotes_list")]
+    assert SU.page_violations(parsed).first()["n"] == 2
+
+
+def test_unranked_files_keep_their_order(spark, folder):
+    def tickers(name, *lines):
+        return [r.ticker for r in SU.load_universe(spark, write(folder, name, "ticker,market_cap_rank", *lines)).orderBy("ord").collect()]
+
+    assert tickers("ranked.csv", "TOLV,3", "ZUB,2", "OST,1") == ["OST", "ZUB", "TOLV"]
+    assert tickers("unranked.csv", "TOLV,3", "ZUB,", "OST,1") == ["TOLV", "ZUB", "OST"]
 
 
 def records(spark, *items):
@@ -104,7 +112,7 @@ def quote(symbol, cap=100, exchange="NMS", **more):
 
 
 def listing(spark, **changes):
-    base = {"raw_symbol": "", "ticker": "", "security_name": "Example Common Stock", "listing_exchange": "NASDAQ", "etf": False,
+    base = {"raw_symbol": "", "ticker": "", "security_name": "Zubex Mills Common Stock", "listing_exchange": "NASDAQ", "etf": False,
             "test_issue": False, "market_category": "Q", "financial_status": "N"}
     rows = [tuple({**base, "raw_symbol": t, "ticker": t, **c}.values()) for t, c in changes.items()]
     from barlake.schema import DIRECTORY_SCHEMA
@@ -121,16 +129,16 @@ REASONS = [
     ("invalid_ticker", quote("BAD/F"), {}),
     ("invalid_market_cap", quote("AAA", cap=None), {}),
     ("invalid_market_cap", quote("AAA", cap=1.5), {}),
-    ("foreign_otc_suffix", quote("ASMLF"), {}),
+    ("foreign_otc_suffix", quote("QUXZF"), {}),
     ("etf", quote("AAA"), {"etf": True}),
     ("test_issue", quote("AAA"), {"test_issue": True}),
     ("ambiguous_security_type", quote("AAA"), {"financial_status": "D"}),
-    ("ambiguous_security_type", quote("AAA"), {"security_name": "Example Class A"}),
+    ("ambiguous_security_type", quote("AAA"), {"security_name": "Ostrava Works"}),
     ("non_common_security", quote("AAA", quoteType="etf"), {}),
     ("non_common_security", quote("AAA", quoteType="CRYPTOCURRENCY"), {}),
-    ("non_common_security", quote("AAA"), {"security_name": "Example Warrants"}),
+    ("non_common_security", quote("AAA"), {"security_name": "Tolva Mining warrant"}),
     ("manual_exclusion", quote("MAN"), {}),
-    ("adr_or_ads", quote("AAA"), {"security_name": "Example American Depositary Shares"}),
+    ("adr_or_ads", quote("AAA"), {"security_name": "Zubex American Depositary Shares"}),
     (None, quote("aaa ", quoteType=None), {}),
 ]
 
@@ -138,7 +146,7 @@ REASONS = [
 def test_cascade(spark):
     manual = spark.createDataFrame([("MAN",)], "ticker string")
     for reason, record, change in REASONS:
-        tickers = {"AAA": change, "MAN": change, "ASMLF": change}
+        tickers = {"AAA": change, "MAN": change, "QUXZF": change}
         row = qualify_candidates(records(spark, record), listing(spark, **tickers), manual).evaluated.first()
         assert row.exclusion_reason == reason, record
         early = reason in ("invalid_ticker", "invalid_market_cap", "foreign_otc_suffix", "not_in_symbol_directory") or record["exchange"] == "PNK" or record["exchange"] == "PCX"
