@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.operators.coverage import status_counts
-from barlake.schema import SCHEMA_VERSION, SOURCE_NAME
+from barlake.schema import AUXILIARY_ASSETS, MANIFEST_ASSET, SCHEMA_VERSION, SOURCE_NAME
+
+#: The reports that a refresh publishes besides the changed years, and the manifest last.
+UPDATE_FILES = [*(AUXILIARY_ASSETS[k][1] for k in ("ticker_coverage", "update_missing_tickers", "update_report")), MANIFEST_ASSET[1]]
 
 
 def single(*rows: DataFrame) -> DataFrame:
@@ -72,6 +75,16 @@ def manifest_statistics(
     )
 
 
+def with_last_update(statistics: DataFrame, report: DataFrame) -> DataFrame:
+    """The manifest's fields that tell of the refresh which made it."""
+    told = {
+        "last_update_run_id": "run_id", "last_update_refresh_start": "refresh_start", "last_update_target_session": "target_session",
+        "last_update_target_coverage_ratio": "target_session_coverage_ratio", "last_update_invalid_rows_removed": "invalid_rows_removed",
+        "last_update_duplicate_rows_removed": "duplicate_rows_removed",
+    }
+    return single(statistics, report.select(*[F.col(own).alias(name) for name, own in told.items()]))
+
+
 def update_report(
     coverage_ratio: DataFrame,
     new_rows: DataFrame,
@@ -102,6 +115,7 @@ def update_report(
             "previous_latest_session": F.lit(previous.isoformat()),
             "refresh_start": F.lit(start.isoformat()),
             "changed_partition_years": F.lit(years),
+            "changed_files": F.array(*[F.lit(f"daily/year={y}/prices.parquet") for y in years], *[F.lit(x) for x in UPDATE_FILES]),
             "minimum_target_coverage_ratio": F.lit(minimum),
             "allow_partial_session": F.lit(allow_partial),
             "invalid_rows_removed": F.lit(invalid_rows),

@@ -105,6 +105,10 @@ def export_dataset(store: BarStore, root: str) -> DataFrame:
     publish_years(store.bars(), root)
     publish_csv(store.table("coverage"), root, "ticker_coverage.csv", ["ticker"])
     publish_csv(store.table("failures"), root, "download_failures.csv", ["ticker"])
+    held = store.tables()
+    if "update_report" in held:
+        publish_csv(store.table("update_missing"), root, "update_missing_tickers.csv", ["ticker"])
+        publish_json(store.table("update_report"), root, "update_report.json")
     assets = index_assets(inventory(store.spark, root))
     manifest = manifest_with_assets(store.table("manifest"), assets)
     publish_json(manifest, root, "manifest.json")

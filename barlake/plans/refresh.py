@@ -20,7 +20,7 @@ from barlake.operators.coverage import (
 )
 from barlake.operators.gates import counted, enforce, gather, sampled
 from barlake.operators.quality import coverage_gate, stored_violations
-from barlake.operators.reports import manifest_statistics, per_year, update_report
+from barlake.operators.reports import manifest_statistics, per_year, update_report, with_last_update
 from barlake.operators.upsert import upsert, upsert_violations
 from barlake.plans.backfill import new_snapshot_id
 from barlake.plans.clean import clean_bars
@@ -139,7 +139,7 @@ def refresh(
         start=dataset_start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,
     )
     tables = {
-        "coverage": coverage, "failures": store.table("failures"), "manifest": statistics,
+        "coverage": coverage, "failures": store.table("failures"), "manifest": with_last_update(statistics, report),
         "update_missing": missing, "update_report": report,
     }
     for name, table in tables.items():

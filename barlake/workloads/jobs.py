@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barlake.errors import IncompleteError
+from barlake.operators.inventory import update_report_violations
+from barlake.operators.reports import single
 from barlake.plans.accept import accept_dataset
 from barlake.plans.backfill import backfill, export_dataset
 from barlake.plans.clean import clean_bars, clean_wide
@@ -16,6 +18,7 @@ from barlake.plans.universe import build_from_files, build_universe, publish_uni
 from barlake.session import scratch
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.directory import raw_record_count
+from barlake.sources.manifest import asset_rows, read_manifest
 from barlake.streaming.refresh_stream import bar_stream, refresh_stream, split_late
 from barlake.workloads import inputs as I
 from barlake.workloads import securities as WSec
@@ -210,6 +213,26 @@ def q6_coverage(spark, sf):
     return refreshed_store(spark, sf).table("coverage").select("ticker", "first_date", "last_date", "row_count")
 
 
+@query(
+    "v12_exported_update",
+    """SELECT 'update' AS file, 0 AS violations, CAST((SELECT count(*) FROM active WHERE ticker NOT IN (SELECT ticker FROM present)) AS BIGINT) AS missing,
+         '1999,2000,2001' AS years""",
+)
+def v12_exported(spark, sf):
+    """The files of the refreshed store's export: the update's report against the manifest, and the missing tickers."""
+    root = I.once(spark, sf, "exported-update", lambda path: export_dataset(refreshed_store(spark, sf), path))
+    report = spark.read.json(f"{root}/update_report.json").select(
+        "success", "run_id", "target_session", F.col("changed_partition_years").cast("array<int>").alias("years"), F.col("changed_files").alias("changed")
+    )
+    manifest = spark.read.json(f"{root}/manifest.json").select(F.col("last_update_run_id").alias("run_id"), "latest_session", F.col("requested_start").cast("date").alias("requested_start"))
+    assets = asset_rows(read_manifest(spark, f"{root}/manifest.json"))
+    found = update_report_violations(report, manifest, assets).agg(F.count(F.lit(1)).cast("int").alias("violations"))
+    missing = spark.read.csv(f"{root}/update_missing_tickers.csv", header=True).agg(F.count(F.lit(1)).alias("missing"))
+    return single(found, missing, report.select("years")).select(
+        F.lit("update").alias("file"), "violations", "missing", F.array_join(F.col("years").cast("array<string>"), ",").alias("years")
+    )
+
+
 def exported(spark, sf):
     """A complete dataset in its plain-file layout: all bars, and the universe of their tickers."""
 
