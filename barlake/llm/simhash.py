@@ -4,8 +4,8 @@ A fingerprint's bit is 1 if it is set in over half of the hashes of the text's w
 meet in cells: all that agree on the bits of one of several key sets. Inside a cell the fingerprints are kept
 as bit planes (plane p holds bit p of every lane), and all lanes are compared with those s places further at
 once: the XOR of a plane with itself shifted is one bit of each distance, carry-save adders add the planes to
-bit-sliced counters, and a block is abandoned when all its lanes exceed the radius. A cell yields a spanning
-forest of its links, never all pairs. Cells over `CELL_ROWS` fingerprints are dealt out as a grid of chunk
+bit-sliced counters, and a block is abandoned when all its lanes exceed the radius. A cell yields a link from each
+linked fingerprint to the smallest one that it is connected with there, never all pairs. Cells over `CELL_ROWS` fingerprints are dealt out as a grid of chunk
 pairs, so no task holds a hot cell. Links become components by label propagation with pointer jumping.
 
 Key sets are exact for the contract's radius (`block_keys`: with b blocks and a radius r any two fingerprints
@@ -150,7 +150,7 @@ def forest(group: np.ndarray, bits: np.ndarray, radius: int, side: np.ndarray |
     """Spanning forest of the links inside each group of lanes; with sides, of links between different sides only.
 
     Equal group numbers stand together. Groups are compared in order of size, so that the lanes still at
-    work for a shift are always the first ones.
+    work for a shift are always the first ones; groups that have become connected leave.
     """
     if len(group) < 2:
         return []
@@ -161,35 +161,66 @@ def forest(group: np.ndarray, bits: np.ndarray, radius: int, side: np.ndarray |
     size = size[by_size][size[by_size] > 1]
     if not len(order):
         return []
-    start = np.repeat(np.cumsum(size) - size, size)
-    end = start + np.repeat(size, size)
-    bits, label, edges = bits[order], np.arange(len(order)), []
+    lane, label, edges, bits = order, np.arange(len(order)), [], bits[order]
     side = None if side is None else side[order]
-    planes = [_plane(bits[:, p]) for p in range(bits.shape[1])]
-    held = len(order)
-    for shift in range(1, int(size[0])):
+    begin = np.cumsum(size) - size
+    planes: list[int] | None = None
+    shift = check = 1
+    while shift < size[0]:
+        if shift == check:
+            check *= 2
+            # what is connected, or shorter than the shift, needs no further comparison
+            live = (np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)) & (size > shift)
+            if planes is None or 2 * size[live].sum() <= len(lane):
+                if not live.any():
+                    break
+                pick = np.repeat(live, size)
+                lane, label, bits, side = lane[pick], label[pick], bits[pick], None if side is None else side[pick]
+                size = size[live]
+                begin = np.cumsum(size) - size
+                start = np.repeat(begin, size)
+                end = start + np.repeat(size, size)
+                planes = [_plane(bits[:, p]) for p in range(bits.shape[1])]
         n = int(size[size > shift].sum())
-        if n * 2 < held:
-            planes, held = [p & ((1 << n) - 1) for p in planes], n
         here = np.arange(n)
         here = here[here + shift < end[:n]]
         here = here[label[here] != label[here + shift]]
         if side is not None:
             here = here[side[here] != side[here + shift]]
-        if not len(here):
-            continue
-        flags = np.zeros(n, bool)
-        flags[here] = True
-        found = _within(planes, shift, _plane(flags), radius)
-        for i in _lanes(found, n) if found else ():
-            a, b = label[i], label[i + shift]
-            if a != b:
-                own = label[start[i] : end[i]]
-                own[own == b] = a
-                edges.append((int(order[i]), int(order[i + shift])))
+        if len(here):
+            flags = np.zeros(n, bool)
+            flags[here] = True
+            found = _within(planes, shift, _plane(flags), radius)
+            for i in _lanes(found, n) if found else ():
+                a, b = label[i], label[i + shift]
+                if a != b:
+                    own = label[start[i] : end[i]]
+                    own[own == b] = a
+                    edges.append((int(lane[i]), int(lane[i + shift])))
+        shift += 1
     return edges
 
 
+def stars(edges: list[tuple[int, int]], names: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Each member of the edges' components with the component's smallest name.
+
+    Cells that hold the same texts so yield the same links, and copies of a link go before it is used.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for x, y in edges:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b, key=names.__getitem__)] = min(a, b, key=names.__getitem__)
+    return [(names[x], names[root(x)]) for x in list(parent) if root(x) != x]
+
+
 def links(distinct: DataFrame, radius: int, keys: list[list[int]], cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect all that a chain of links connects."""
     cells = _cells(distinct, keys)
@@ -214,8 +245,8 @@ def links(distinct: DataFrame, radius: int, keys: list[list[int]], cell_rows: in
             new = np.r_[False, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
             # on the grid's diagonal every lane is a side of its own
             side = np.where(i == j, np.arange(len(fps)), -1 - part)
-            if edges := forest(np.cumsum(new), _bits(fps), radius, side):
-                yield rows({"a": [fps[x] for x, _ in edges], "b": [fps[y] for _, y in edges]}, schema)
+            if found := stars(forest(np.cumsum(new), _bits(fps), radius, side), fps):
+                yield rows({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema)
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -236,18 +267,32 @@ def links(distinct: DataFrame, radius: int, keys: list[list[int]], cell_rows: in
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component, for every node of the edges (a, b)."""
-    spark = edges.sparkSession
+    """node and label, the smallest node of its component, for every node of the edges (a, b).
+
+    Each node first moves to its smallest neighbour, so all but few edges lie inside one of the stars that this
+    makes; only edges between stars take part in the label propagation.
+    """
     both = session.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = session.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    stars_ = session.cut(_first_labels(both))
+    ends = [stars_.select(F.col("node").alias(c), F.col("label").alias(f"{c}_star")) for c in ("a", "b")]
+    between = both.join(ends[0], "a").join(ends[1], "b").where("a_star <> b_star")
+    between = session.cut(between.select(F.col("a_star").alias("a"), F.col("b_star").alias("b")).distinct())
+    labels = session.cut(_first_labels(between))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = between.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        jumped = session.cut(stepped.join(jump, "to").select("node", "was", F.least("to", "further").alias("label")))
+        # a star that no edge leaves keeps its own name
+        jumped = session.cut(stepped.join(jump, "to", "left").select("node", "was", F.least("to", "further").alias("label")))
         if jumped.filter(F.col("label") != F.col("was")).isEmpty():
-            return spark.createDataFrame([], labels.schema) if labels.isEmpty() else labels
+            break
         labels = jumped.select("node", "label")
+    final = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+    return stars_.join(final, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+
+
+def _first_labels(both: DataFrame) -> DataFrame:
+    return both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
 
 
 def components(prints: DataFrame, radius: int, keys: list[list[int]], cell_rows: int = CELL_ROWS) -> DataFrame:
