@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import rows, table, texts
+from barlake.llm.common import rows, slices, table, texts
 
 WINDOW = 4096
 END_ID = 2
@@ -41,7 +41,8 @@ FORCED_COST = 64
 SHORT_SHARE = 32
 FORCED_STEP = 64
 SEGMENT = 1 << 19
-WORDS_HELD = 300_000
+WORDS_HELD = 400_000
+CHARS_AT_ONCE = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,14 +101,18 @@ class WordTokenizer:
         self.known.update(zip(odd, self._encode(odd), strict=True))
         self.known.update((w, self.cores[c] + self.known[tail] if tail else self.cores[c]) for w, (c, tail) in cores.items())
 
-    def ids(self, text: str) -> np.ndarray:
-        words = _blank.split(text) if any(c in text for c in _separators) else text.split()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+    def ids(self, several: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; words are learned for some `CHARS_AT_ONCE` characters at a time."""
+        for lo, hi in slices(map(len, several), CHARS_AT_ONCE):
+            words = [_blank.split(t) if any(c in t for c in _separators) else t.split() for t in several[lo:hi]]
+            seen = set().union(*words)
+            new = [w for w in seen if w not in self.known]
             if len(self.known) + len(new) > WORDS_HELD:
                 self.known.clear()
-                new = list(dict.fromkeys(words))
+                new = list(seen)
             self._learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+            for own in words:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4")
 
 
 def cut_points(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.ndarray, step: int = FORCED_STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +211,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, segment: in
 
         for b in batches:
             part = b.column("part")
-            for doc, text in zip(b.column("doc_id").to_pylist(), texts(b, "text"), strict=True):
+            for doc, tokens in zip(b.column("doc_id").to_pylist(), words.ids(texts(b, "text")), strict=True):
                 if sequence is None:
                     sequence = part[0].as_py() << 32
-                ids = np.append(words.ids(text), np.uint32(END_ID))
+                ids = np.append(tokens, np.uint32(END_ID))
                 for at in range(0, len(ids), segment):
                     some = ids[at : at + segment]
                     buffer.append(some)
