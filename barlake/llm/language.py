@@ -1,8 +1,8 @@
 """Language identification, word first with backoff to character n-grams.
 
-A known word adds its log frequency in each language. An unknown one is scored by the longest of its character
-n-grams that are known: at each place the n-gram of length `LONGEST`, else of the next shorter length, at a penalty of
-`BACKOFF` per step. A text goes to the language of the largest sum.
+A known word adds its log frequency in each language. An unknown one is covered from its start by known character
+n-grams: at each place the one of length `LONGEST`, else of the next shorter length, at a penalty of `BACKOFF` per
+step; the next one begins where it ends. A text goes to the language of the largest sum.
 
 The model is learned from the rows with a language that `learn` is given, of which at most `SAMPLE` are taken,
 those with the smallest id hash: the model's documented bound. Of their words the `WORDS` and of their n-grams the
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake import session
 from barlake.llm.common import bounded_sample, rows, table, texts
 
 SAMPLE = 6_000
@@ -34,7 +35,7 @@ LONGEST = 4
 BACKOFF = 0.7
 #: So many words or n-grams, spread as in all languages together, are added to each language's counts.
 SMOOTHING = 200.0
-HELD = 200_000
+HELD = 300_000
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -55,10 +56,11 @@ class LanguageModel:
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
-    _known: dict[str, np.ndarray] = field(default_factory=dict)
+    _known: dict[str, int] = field(default_factory=dict)
+    _scores: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_scores": None}
 
     def word(self, word: str) -> np.ndarray:
         """A word's log frequencies, of the whole word or by backoff."""
@@ -66,16 +68,21 @@ class LanguageModel:
         if k is not None:
             return self.word_scores[k]
         padded = f" {word} "
-        total, places = np.zeros(len(self.languages)), 0
-        for at in range(len(padded)):
-            for n in range(min(LONGEST, len(padded) - at), 0, -1):
-                g = self.grams.get(padded[at : at + n])
+        found, penalty, at = [], 0, 0
+        get = self.grams.get
+        while at < len(padded):
+            for n in range(LONGEST, 0, -1):
+                g = get(padded[at : at + n])
                 if g is not None:
-                    total += self.gram_scores[g] - BACKOFF * (LONGEST - n)
+                    found.append(g)
+                    penalty += LONGEST - n
+                    at += n
                     break
-            places += 1
-        # n-grams overlap; their mean weighs like one word
-        return total / places * 2
+            else:
+                penalty += LONGEST
+                at += 1
+        # the pieces make up one word; their mean weighs like one
+        return (self.gram_scores[found].sum(axis=0) - BACKOFF * penalty) / max(1, len(found)) * 2
 
     def score(self, text: str) -> np.ndarray | None:
         """Mean log score of a text's words by language; None without a letter."""
@@ -83,13 +90,16 @@ class LanguageModel:
         if not counted or not self.languages:
             return None
         known = self._known
-        if len(known) > HELD:
-            known.clear()
-        for w in counted:
-            if w not in known:
-                known[w] = self.word(w)
+        if new := [w for w in counted if w not in known]:
+            if self._scores is None or len(known) + len(new) > len(self._scores):
+                known.clear()
+                new = list(counted)
+                self._scores = np.empty((max(HELD, 2 * len(new)), len(self.languages)))
+            for w in new:
+                self._scores[len(known)] = self.word(w)
+                known[w] = len(known)
         times = np.fromiter(counted.values(), float, len(counted))
-        return times @ np.stack([known[w] for w in counted]) / times.sum()
+        return times @ self._scores[np.fromiter(map(known.__getitem__, counted), np.int64, len(counted))] / times.sum()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         mean = self.score(text or "")
@@ -131,6 +141,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, most_words: int = WORDS, mo
             yield spend()
 
     added = own.mapInArrow(run, "lang string, gram boolean, item string, n long").groupBy("gram", "item", "lang").agg(F.sum("n").alias("n"))
+    added = session.cut(added)
     ranked = added.groupBy("gram", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     totals = {(r.gram, r.lang): r.n for r in added.groupBy("gram", "lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for _, lang in totals})
