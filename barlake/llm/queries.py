@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlake.llm import decontaminate, html_hosts, language, licences, ordinal, packing, phrases, sanitise, simhash, warc
+from barlake.llm import decontaminate, html_hosts, language, licences, merkle, ordinal, packing, periods, phrases, pieces, sanitise, simhash, warc
 
 QUERIES = {
     "op1_main_text": html_hosts.op1_main_text,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_licence_paragraphs": licences.op8_licence_paragraphs,
     "op9_disclosure_spans": sanitise.op9_disclosure_spans,
     "op10_simhash": simhash.op10_simhash,
+    "op11_interval_manifest": merkle.op11_interval_manifest,
+    "op12_piece_digests": pieces.op12_piece_digests,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_interval_manifest": merkle.OP11_SQL}
