@@ -69,12 +69,12 @@ def unexpected_tickers(df: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def order_violations(runs: DataFrame) -> DataFrame:
-    """From summaries of sorted runs (sources.files.key_runs): stored order and repeats per file.
+    """From summaries of blocks of rows (sources.files.key_runs): stored order and repeats per file.
 
-    A file's runs are ordered by their first row; a boundary is wrong when the next run starts
+    A file's blocks follow each other; a boundary is wrong when the next block starts
     below, or at, the last key of the one before.
     """
-    nxt = Window.partitionBy("file").orderBy("first_row")
+    nxt = Window.partitionBy("file").orderBy("block")
     edge = runs.withColumn("_before", F.lag("last_key").over(nxt))
     per_file = edge.groupBy("file").agg(
         (F.sum("descents") + F.count_if(F.col("first_key") < F.col("_before"))).alias("descents"),
@@ -87,19 +87,21 @@ def order_violations(runs: DataFrame) -> DataFrame:
 
 
 def codec_violations(footers: DataFrame) -> DataFrame:
-    return sampled(footers.where("codec <> 'ZSTD'"), "not_zstd", F.col("file"))
+    """Files of another codec than zstd, and files of which no codec is known."""
+    return sampled(footers.where("coalesce(codec, '') <> 'ZSTD'"), "not_zstd", F.col("file"))
 
 
 def overlapping_years(runs: DataFrame) -> DataFrame:
     """Calendar years in which two files' key ranges touch, from the run summaries alone.
 
-    A file counts in every year its keys span, whichever directory it lies in. Keys start with
-    the ISO date. The window runs over the file list of one year.
+    A file counts in every year its keys span, whichever directory it lies in. The window runs over the file
+    list of one year.
     """
     files = runs.groupBy("file").agg(
         F.min("low_key").alias("lo"), F.max("high_key").alias("hi")
     )
-    span = F.sequence(F.substring("lo", 1, 4).cast("int"), F.substring("hi", 1, 4).cast("int"))
+    year_of = {c: F.year(F.date_from_unix_date(F.col(f"{c}.day"))) for c in ("lo", "hi")}
+    span = F.sequence(year_of["lo"], year_of["hi"])
     earlier = Window.partitionBy("date_year").orderBy("lo", "file").rowsBetween(Window.unboundedPreceding, -1)
     marked = files.withColumn("date_year", F.explode(span)).withColumn("_reach", F.max("hi").over(earlier))
     return marked.where(F.col("lo") <= F.col("_reach")).select("date_year").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.operators.gates import counted, gather
+from barlake.operators.layers import last_layer
 from barlake.operators.quality import bar_violations
 from barlake.schema import BAR_COLUMNS, BAR_KEY, BAR_VALUES
 
@@ -34,8 +35,7 @@ def upsert_small(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def keep_last_by_source(df: DataFrame, source: str) -> DataFrame:
     """Per key the row of the highest source number; at most one row per key and source."""
-    best = df.groupBy(*BAR_KEY).agg(F.max_by(F.struct(*BAR_VALUES), F.col(source)).alias("_v"))
-    return best.select(*BAR_KEY, *[F.col(f"_v.{c}").alias(c) for c in BAR_VALUES])
+    return last_layer(df, source)
 
 
 def upsert_violations(old: DataFrame, new: DataFrame, refresh_start, target, allowed: DataFrame | None) -> DataFrame:

@@ -92,7 +92,9 @@ def backfill(
     tables = {"coverage": coverage, "failures": failures, "manifest": manifest}
     for name, table in tables.items():
         store.stage_table(snapshot, name, table)
-    pinned.commit(snapshot, {r.year: r.row_count for r in years.collect()}, list(tables))  # one row per year
+    store.stage_files(snapshot, [], runs)
+    counts = {r.year: r.row_count for r in years.collect()}  # one row per year
+    pinned.commit(snapshot, counts, list(tables), deltas=dict.fromkeys(counts, 0))
     return Backfilled(snapshot, coverage, failures, store.table("manifest"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barlake.errors import DataQualityError, IdentityError, RefreshError
 from barlake.functions.fingerprint import universe_identity
+from barlake.operators.calendar import previous_sessions
 from barlake.operators.coverage import (
     expected_active,
     missing_at_target,
@@ -19,12 +20,13 @@ from barlake.operators.coverage import (
     target_coverage,
 )
 from barlake.operators.gates import counted, enforce, gather, sampled
+from barlake.operators.layers import FILE_SCHEMA, Split, touched, year_facts
 from barlake.operators.quality import coverage_gate, stored_violations
-from barlake.operators.reports import manifest_statistics, per_year, update_report, with_last_update
+from barlake.operators.reports import manifest_statistics, update_report, with_last_update
 from barlake.operators.upsert import upsert, upsert_violations
 from barlake.plans.backfill import new_snapshot_id
 from barlake.plans.clean import clean_bars
-from barlake.schema import MINIMUM_TARGET_COVERAGE, REFRESH_DAYS
+from barlake.schema import ACTIVE_SESSIONS, MINIMUM_TARGET_COVERAGE, REFRESH_DAYS
 from barlake.session import cut
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.files import key_runs, stored_codecs
@@ -61,6 +63,13 @@ def with_carried_years(store: BarStore, changed: DataFrame, years: list[int], co
     return changed.unionByName(carried)
 
 
+def recent_bars(store: BarStore, split: Split, sessions: DataFrame, target: dt.date, years: list[int]) -> DataFrame:
+    """The bars of the last sessions before the target, from the files that may hold them."""
+    days = previous_sessions(sessions, target, ACTIVE_SESSIONS).agg(F.min("session").alias("first")).first()
+    first = days.first or target
+    return store.bars_in(touched([*split.hit, *split.kept], first, dt.date.max).hit)
+
+
 def refresh(
     store: BarStore,
     universe: DataFrame,
@@ -76,7 +85,8 @@ def refresh(
 ) -> Refreshed:
     """Recompute the window up to `target` (operators.calendar.target_session).
 
-    Reads only the affected years of the current snapshot. A year without a partition counts as
+    Opens and rewrites only the files of the affected years whose zone maps reach into the window; the others stay
+    as they are. A year without a partition counts as
     empty, so the first session of a new year works; an affected year that ends up empty fails.
     """
     store = store.at()
@@ -95,7 +105,8 @@ def refresh(
 
     run = new_snapshot_id("refresh")
     end = target + dt.timedelta(days=1)
-    old = store.bars(years)
+    split = store.window(start, dt.date.max, years)
+    old = store.bars_in(split.hit)
     cleaned = clean_bars(raw, start, end, universe, materialize=True)
     cleaned.enforce()
     state = cut(resolve_status(attempts, universe, cleaned.bars, cleaned.outcomes))
@@ -107,7 +118,8 @@ def refresh(
         raise
     enforce(upsert_violations(old, cleaned.bars, start, target, universe))
     merged = cut(upsert(old, cleaned.bars))
-    expected = cut(expected_active(old, universe, sessions, target))
+    recent = recent_bars(store, split, sessions, target, years)
+    expected = cut(expected_active(recent, universe, sessions, target))
     missing = cut(missing_report(missing_at_target(expected, merged, target), state))
     ratio = cut(target_coverage(expected, merged, target))
     try:
@@ -124,7 +136,8 @@ def refresh(
     first_day = dt.date(start.year, 1, 1)
     runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
     enforce(stored_violations(stored, runs, footers, first_day, end))
-    changed = cut(per_year(merged))
+    listed = store.stage_files(run, split.kept, runs)
+    changed = cut(year_facts(store.spark.createDataFrame([tuple(f) for f in listed], FILE_SCHEMA)))
     counts = {r.year: r.row_count for r in changed.collect()}  # one row per affected year
     empty = sorted(set(years) - set(counts))
     if empty:
@@ -144,5 +157,5 @@ def refresh(
     }
     for name, table in tables.items():
         store.stage_table(run, name, table)
-    store.commit(run, counts, list(tables))
+    store.commit(run, counts, list(tables), deltas=dict.fromkeys(counts, 0))
     return Refreshed("updated", target, start, years, run, ratio.first().coverage_ratio)

@@ -1,18 +1,38 @@
-"""Facts about stored files: size and digest, codec, sorted runs of keys."""
+"""Facts about stored files: size and digest, codec, sorted blocks of keys, zone maps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.sources.filestream import NAMED_CODEC, FileDigests, ParquetCodecs, reachable
+
+ROWS_PER_BLOCK = 4096
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, local_path, size_bytes, sha256) of every file below root.
 
-    A file is one binary row, hashed in the JVM. Writers bound their files (`maxRecordsPerFile`), and
-    Spark refuses a longer one (`spark.sql.sources.binaryFile.maxLength`) instead of leaving it out.
+    Files are streamed by tasks in ranges of fixed size, so a file of any length is hashed in bounded memory. A
+    file system that only Spark's own readers can open is read by `inventory_rows`.
+    """
+    qualified = _qualified(spark, root)
+    if not reachable(qualified):
+        return inventory_rows(spark, root)
+    spark.dataSource.register(FileDigests)
+    return spark.read.format(FileDigests.name()).load(qualified)
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The folder with the scheme of the default file system, which Spark's writers use for a bare path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def inventory_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The same with a binary row per file, hashed in the JVM.
+
+    Spark refuses a file longer than `spark.sql.sources.binaryFile.maxLength` instead of leaving it out.
     """
     files = (
         spark.read.format("binaryFile")
@@ -28,48 +48,70 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 def stored_codecs(spark: SparkSession, root: str) -> DataFrame:
     """(file, codec, row_count) of every Parquet file below root.
 
-    The codec is what Spark's writer put into the file's name; a file under a published name has none.
-    Rows are counted from the footers, no column is read.
+    The codec is what Spark's writer put into the file's name. A file under a published name has none there; its codec
+    is read from its footer, if tasks can open the file system. Rows are counted from the footers, no column is read.
     """
     file = F.col("_metadata.file_path")
     counts = spark.read.parquet(root).groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
-    codec = F.nullif(F.upper(F.regexp_extract("file", r"\.([a-z0-9]+)\.parquet$", 1)), F.lit(""))
-    return counts.select("file", codec.alias("codec"), "row_count")
-
-
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        # a task may hold separate pieces of one file; only adjacent rows form a run
-        breaks = (batch["file"] != batch["file"].shift()) | (batch["row"] != batch["row"].shift() + 1)
-        for _, part in batch.groupby(breaks.cumsum(), sort=False):
-            key = part["date"] + "\t" + part["ticker"]
-            before = key.shift()
-            yield pd.DataFrame(
-                {
-                    "file": [part["file"].iloc[0]],
-                    "first_row": [int(part["row"].iloc[0])],
-                    "first_key": [key.iloc[0]],
-                    "last_key": [key.iloc[-1]],
-                    "low_key": [key.min()],
-                    "high_key": [key.max()],
-                    "descents": [int((key < before)[1:].sum())],
-                    "repeats": [int((key == before)[1:].sum())],
-                }
-            )
-
-
-def key_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Summaries of consecutive rows of each file, for order and uniqueness checks.
-
-    Rows reach a task in stored order, so neighbours are compared in place and only one summary
-    row per batch leaves it. Sorting the data again to verify its order would shuffle all of it.
+    named = F.nullif(F.upper(F.regexp_extract("file", NAMED_CODEC, 1)), F.lit(""))
+    qualified = _qualified(spark, root)
+    if not reachable(qualified):
+        return counts.select("file", named.alias("codec"), "row_count")
+    spark.dataSource.register(ParquetCodecs)
+    footers = spark.read.format(ParquetCodecs.name()).load(qualified).select(_plain_uri("path").alias("path"), F.col("codec").alias("of_footer"))
+    found = counts.join(footers, _plain_uri("file") == F.col("path"), "left")
+    return found.select("file", F.coalesce(named, "of_footer").alias("codec"), "row_count")
+
+
+def _plain_uri(column: str) -> Column:
+    """A URI as Spark reports it and as file systems spell it: encoded characters, and one to three slashes of file:."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def key_runs(spark: SparkSession, *roots: str) -> DataFrame:
+    """Summaries of blocks of consecutive rows of each file, for order, uniqueness and zone maps.
+
+    Blocks are numbered by the rows' place in their file, so a block is nearly always whole within a task and is
+    put together before the shuffle, which moves sorted integers and tickers of whole blocks. The neighbours within
+    a block are compared by array expressions; how blocks meet is told by their first and last keys.
     """
-    stored = spark.read.parquet(root).select(
+    row = F.col("_metadata.row_index")
+    stored = spark.read.parquet(*roots).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-        F.date_format("date", "yyyy-MM-dd").alias("date"),
-        "ticker",
+        F.expr(f"_metadata.row_index div {ROWS_PER_BLOCK}").alias("block"),
+        F.struct(row.alias("row"), F.unix_date("date").alias("day"), "ticker").alias("r"),
     )
-    return stored.mapInPandas(
-        _runs, "file string, first_row long, first_key string, last_key string, low_key string, high_key string, descents long, repeats long"
+    rows = stored.groupBy("file", "block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    keys = rows.select("file", "block", F.transform("rows", lambda r: F.struct(r["day"].alias("day"), r["ticker"].alias("ticker"))).alias("keys"))
+    n = F.size("keys")
+    pairs = F.arrays_zip(F.slice("keys", 1, n - 1).alias("a"), F.slice("keys", 2, n - 1).alias("b"))
+
+    def count(rule) -> Column:
+        return F.size(F.filter("pairs", rule)).cast("bigint")
+
+    return keys.select("file", "block", "keys", pairs.alias("pairs"), n.cast("bigint").alias("rows")).select(
+        "file",
+        "block",
+        "rows",
+        F.col("keys")[0].alias("first_key"),
+        F.element_at("keys", -1).alias("last_key"),
+        F.array_min("keys").alias("low_key"),
+        F.array_max("keys").alias("high_key"),
+        F.array_min("keys.ticker").alias("low_ticker"),
+        F.array_max("keys.ticker").alias("high_ticker"),
+        count(lambda p: p["b"] < p["a"]).alias("descents"),
+        count(lambda p: p["b"] == p["a"]).alias("repeats"),
+        F.size(F.filter("keys", lambda k: k["day"].isNull() | k["ticker"].isNull())).cast("bigint").alias("null_keys"),
+    )
+
+
+def zone_maps(runs: DataFrame) -> DataFrame:
+    """Per file the rows, the NULL keys, and the bounds of both key columns, from the summaries of its blocks."""
+    return runs.groupBy("file").agg(
+        F.sum("rows").alias("row_count"),
+        F.sum("null_keys").alias("null_count"),
+        F.date_from_unix_date(F.min("low_key.day")).alias("min_date"),
+        F.date_from_unix_date(F.max("high_key.day")).alias("max_date"),
+        F.min("low_ticker").alias("min_ticker"),
+        F.max("high_ticker").alias("max_ticker"),
     )

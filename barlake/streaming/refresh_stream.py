@@ -1,7 +1,8 @@
 """Incremental refresh over arriving bar files.
 
-The sink is an upsert by key into a committed snapshot, so a replayed micro-batch gives the same
-table and at-least-once delivery is enough.
+A micro-batch becomes a delta: files with its bars only, which readers merge by key with what they overlap. So a batch
+writes in proportion to itself, whatever the size of its years. The commit that adds the delta also records the
+stream and the number of the batch; a batch that is delivered again is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql.types import StructType
 
 from barlake.operators.bars import duplicates_removed, fold_raw, folded_bars
 from barlake.operators.coverage import refresh_coverage
+from barlake.operators.layers import touched
 from barlake.operators.reports import manifest_statistics, per_year
-from barlake.operators.upsert import upsert
 from barlake.plans.refresh import with_carried_years
-from barlake.schema import BAR_COLUMNS, BAR_SCHEMA
+from barlake.schema import BAR_COLUMNS, BAR_KEY, BAR_SCHEMA
 from barlake.session import cut
 from barlake.sinks.snapshots import BarStore
 
@@ -35,17 +36,21 @@ def split_late(batch: DataFrame, refresh_start) -> tuple[DataFrame, DataFrame]:
     return batch.where(~late), batch.where(late)
 
 
-def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start: dt.date, end: dt.date, run: str = "batches") -> None:
+def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start: dt.date, end: dt.date, run: str = "batches") -> bool:
     """Merge one micro-batch: quarantine late, unexpected, invalid and conflicting bars, upsert the rest, commit.
 
-    `run` names the stream in the quarantine, so that streams with checkpoints of their own do not
-    overwrite each other's. Where the store has coverage and a manifest, they follow the bars, and
-    tickers without coverage are unexpected.
+    `run` names the stream in the log and in the quarantine, so that streams with checkpoints of their own do not
+    get in each other's way. Where the store has coverage and a manifest, they follow the bars, and
+    tickers without coverage are unexpected. False if the batch, or a later one, was committed before.
     """
     store = store.at()
+    applied = store.applied(run)
+    if applied is not None and batch_id <= applied:
+        return False
     held = store.tables()
     label = f"run={run}/batch={batch_id:012d}"
-    on_time, late = split_late(batch, refresh_start)
+    arrived = cut(batch)
+    on_time, late = split_late(arrived, refresh_start)
     late.write.mode("overwrite").parquet(f"{store.root}/quarantine/late/{label}")
     if "coverage" in held:
         known = store.table("coverage").select("ticker")
@@ -55,25 +60,37 @@ def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start:
     refused = folded.where("conflict OR invalid > 0").select("date", "ticker", "copies", "invalid", "conflict")
     refused.write.mode("overwrite").parquet(f"{store.root}/quarantine/refused/{label}")
     new = folded_bars(folded)
-    years = [r.year for r in new.select(F.year("date").alias("year")).distinct().collect()]  # calendar years
-    if not years:
-        return
-    old = store.bars([y for y in store.years() if y in years])
-    merged = upsert(old, new)
+    arriving = {r.year: r for r in per_year(new).collect()}  # calendar years
+    if not arriving:
+        return True
     # named by the version as well: a replay must not overwrite files that a commit serves
     snapshot = f"stream-{run}-{batch_id:012d}-{store.version() + 1}"
-    stored = store.stage(snapshot, merged)
-    changed = cut(per_year(stored))
-    counts = {r.year: r.row_count for r in changed.collect()}  # one row per year
+    store.stage(snapshot, new)
+    before = store.current().where(F.col("year").isin(list(arriving))).select("year", "row_count", "deltas").collect()
+    files = store.files(list(arriving))
+    first, last = min(r.min_date for r in arriving.values()), max(r.max_date for r in arriving.values())
+    # the keys that the batch replaces, looked for in the files that may hold its days
+    replaced = cut(store.bars_in(touched(files, first, last).hit).join(new.select(*BAR_KEY), BAR_KEY, "left_semi"))
+    gone = {r.year: r.row_count for r in per_year(replaced).collect()}
+    held_rows = {r.year: r.row_count for r in before}
+    counts = {y: held_rows.get(y, 0) + r.row_count - gone.get(y, 0) for y, r in arriving.items()}
+    layer = 1 + max((f.layer for f in files), default=0)
+    listed = store.stage_files(snapshot, files, layer=layer)
+    deltas = {y: len({f.layer for f in listed if f.year == y and f.layer}) for y in arriving}
     tables = {}
     if "coverage" in held:
         prior = store.table("coverage")
         none = F.lit(0).cast("bigint").alias("attempt_count")
         state = prior.select("ticker", "status", none, F.col("last_error").alias("error_message"))
-        tables["coverage"] = cut(refresh_coverage(known, prior, old, stored, state))
+        tables["coverage"] = cut(refresh_coverage(known, prior, replaced, new, state))
     if "coverage" in held and "manifest" in held:
         was = store.table("manifest").first()
         rows = folded.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid")).first()
+        bounds = {y: [f for f in listed if f.year == y] for y in arriving}
+        changed = store.spark.createDataFrame(
+            [(y, n, min(f.min_date for f in bounds[y]), max(f.max_date for f in bounds[y])) for y, n in counts.items()],
+            "year int, row_count long, min_date date, max_date date",
+        )
         tables["manifest"] = manifest_statistics(
             with_carried_years(store, changed, sorted(counts), tables["coverage"]), tables["coverage"],
             universe_sha256=was.universe_sha256, universe_count=was.universe_ticker_count,
@@ -82,7 +99,8 @@ def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start:
         )
     for name, table in tables.items():
         store.stage_table(snapshot, name, table)
-    store.commit(snapshot, counts, list(tables))
+    store.commit(snapshot, counts, list(tables), deltas=deltas, stream=(run, batch_id))
+    return True
 
 
 def refresh_stream(
