@@ -131,7 +131,5 @@ def rows_per_year(df: DataFrame) -> DataFrame:
 
 
 def distinct_tickers_and_years(df: DataFrame) -> DataFrame:
-    """Exact distinct counts, each as a map-side combined aggregate of its own column."""
-    tickers = df.select("ticker").distinct().agg(F.count(F.lit(1)).alias("tickers"))
-    years = df.select(F.year("date").alias("year")).distinct().agg(F.count(F.lit(1)).alias("years"))
-    return tickers.join(years, F.lit(True))
+    """Exact distinct counts of one scan; both columns' values combine map-side."""
+    return df.agg(F.count_distinct("ticker").alias("tickers"), F.count_distinct(F.year("date")).alias("years"))

@@ -116,17 +116,21 @@ def cross_file_repeats(stored: DataFrame, runs: DataFrame) -> DataFrame:
     return sampled(repeated_keys(suspect), "duplicate_key", F.concat_ws(" ", F.col("date").cast("string"), "ticker"))
 
 
+def stored_rules(start, end) -> dict[str, Column]:
+    """Row rules of a stored partition: a bar's own, and that it lies in its year's folder."""
+    return {**value_rules(start, end), "wrong_year": F.year("date") != F.col("year")}
+
+
 def stored_violations(
-    stored: DataFrame, runs: DataFrame, footers: DataFrame, start, end, allowed: DataFrame | None = None
+    stored: DataFrame, runs: DataFrame, footers: DataFrame, start, end, allowed: DataFrame | None = None, observed: DataFrame | None = None
 ) -> DataFrame:
     """A stored partition: typed rules, year of the directory, order, uniqueness and codec.
 
-    One aggregate over the rows covers the value rules; order and uniqueness come from the run
-    summaries.
+    One aggregate over the rows covers the value rules, unless the write has counted them (`observed`, from
+    sinks.bars.observed_violations); order and uniqueness come from the run summaries.
     """
-    rules = {**value_rules(start, end), "wrong_year": F.year("date") != F.col("year")}
     found = [
-        counted(stored, rules),
+        counted(stored, stored_rules(start, end)) if observed is None else observed,
         schema_violations(stored),
         order_violations(runs),
         codec_violations(footers),

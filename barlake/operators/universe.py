@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,23 +142,21 @@ def evaluate(fields: DataFrame, directory: DataFrame, manual: DataFrame | None =
     )
 
 
+#: More than there can be input positions; a cap times this is below 10^38.
+POSITIONS = Decimal(10**18)
 CANDIDATE_COLUMNS = ["company_name", "security_name", "yahoo_exchange", "listing_exchange", "quote_type"]
 
 
 def best_per_ticker(kept: DataFrame) -> DataFrame:
     """Largest cap per ticker, the earlier row on ties.
 
-    An aggregate of the leading struct, so a ticker with any share of the rows is reduced
-    map-side; no per-ticker window ever sorts its rows in one task.
+    Cap and position are one number, so this is a hash aggregate of fixed width that reduces a ticker with any share
+    of the rows map-side; the winners' texts are fetched by their unique positions.
     """
-    lead = F.struct("market_cap", (-F.col("ord")).alias("neg"), *CANDIDATE_COLUMNS)
-    best = kept.groupBy("ticker").agg(F.max(lead).alias("_b"))
-    return best.select(
-        (-F.col("_b.neg")).alias("ord"),
-        "ticker",
-        F.col("_b.market_cap").alias("market_cap"),
-        *[F.col(f"_b.{c}").alias(c) for c in CANDIDATE_COLUMNS],
-    )
+    lead = F.col("market_cap").cast("decimal(19,0)") * F.lit(POSITIONS) + (F.lit(POSITIONS) - F.col("ord").cast("decimal(19,0)"))
+    best = kept.groupBy("ticker").agg(F.max(lead.cast("decimal(38,0)")).alias("_lead"))
+    won = best.select((F.lit(POSITIONS) - F.col("_lead") % F.lit(POSITIONS)).cast("bigint").alias("ord"))
+    return kept.join(won, "ord", "left_semi").select("ord", "ticker", "market_cap", *CANDIDATE_COLUMNS)
 
 
 def split_candidates(evaluated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,12 +256,12 @@ def build_report(
     return row.withColumns({"target_size": F.lit(size), "validation_passed": F.col("final_count") == size})
 
 
-def cap_input(pages: DataFrame, qualifies: DataFrame, *, target: int, max_candidates: int = MAX_CANDIDATES, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Which records a paged read would keep.
+def page_stop(pages: DataFrame, qualifies: DataFrame, *, target: int, max_candidates: int = MAX_CANDIDATES, page_size: int = PAGE_SIZE) -> DataFrame:
+    """One row (stop, new_records): the page after which a paged read ends, if it does, and the new records so far.
 
     pages(page, ord, raw_count, is_new): all quotes in order, the page's size, and whether the
-    record is new; qualifies(ord, ticker): records that pass the cascade. Reading stops at the
-    input cap, after the page that completes the target, after a short page, and at a page
+    record is new; qualifies(ord, ticker): records that pass the cascade. Reading stops after the page that completes the
+    target, after a short page, and at a page
     without news. A ticker counts on the page that first has it. Every page before the stop has
     a new record, so max_candidates bounds the pages that can matter as well as the records.
     """
@@ -277,5 +277,12 @@ def cap_input(pages: DataFrame, qualifies: DataFrame, *, target: int, max_candid
     running = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     enough = F.sum(F.coalesce("_found", F.lit(0))).over(running) >= target
     done = enough | (F.col("_raw") < page_size) | (F.col("_new") == 0)
-    stop = sizes.join(found, "page", "left").withColumn("_done", done).where("_done").agg(F.min("page")).scalar()
+    marked = sizes.join(found, "page", "left").withColumn("_done", done)
+    return marked.agg(F.min(F.when(F.col("_done"), F.col("page"))).alias("stop"), F.coalesce(F.sum("_new"), F.lit(0)).alias("new_records"))
+
+
+def cap_input(pages: DataFrame, qualifies: DataFrame, *, target: int, max_candidates: int = MAX_CANDIDATES, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Which records a paged read would keep: those up to `page_stop`, and no more than the input cap."""
+    stop = page_stop(pages, qualifies, target=target, max_candidates=max_candidates, page_size=page_size).select("stop").scalar()
+    capped = pages.where("is_new").orderBy("ord").limit(max_candidates)
     return capped.where(F.coalesce(F.col("page") <= stop, F.lit(True))).select("page", "ord")

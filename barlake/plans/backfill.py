@@ -7,16 +7,18 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barlake.errors import DataQualityError, IncompleteError
 from barlake.functions.fingerprint import universe_identity
 from barlake.operators.coverage import build_coverage, failure_report, resolve_status, status_counts
 from barlake.operators.gates import enforce, gather
-from barlake.operators.quality import count_mismatches, stored_violations, unexpected_tickers
+from barlake.operators.layers import FILE_SCHEMA, year_facts
+from barlake.operators.presence import presence
+from barlake.operators.quality import count_mismatches, stored_rules, stored_violations, unexpected_tickers
 from barlake.operators.reports import manifest_statistics, per_year
 from barlake.plans.clean import clean_bars
 from barlake.session import cut
+from barlake.sinks.bars import observed_violations
 from barlake.sinks.layout import manifest_with_assets, publish_csv, publish_json, publish_years
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.files import inventory, key_runs, stored_codecs
@@ -77,22 +79,23 @@ def backfill(
         store.save_diagnostics(snapshot, "ticker_coverage", coverage)
         store.save_diagnostics(snapshot, "download_failures", failures)
         raise
-    stored = store.stage(snapshot, cleaned.bars, one_file_per_year=one_file_per_year)
+    stored, seen = store.stage_observed(snapshot, cleaned.bars, stored_rules(start, end), one_file_per_year=one_file_per_year)
     path = f"{store.root}/bars/snapshot={snapshot}"
     runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
-    years = cut(per_year(cleaned.bars))
-    actual = stored.groupBy("year").agg(F.count(F.lit(1)).alias("row_count"))
-    enforce(gather(stored_violations(stored, runs, footers, start, end), count_mismatches(actual, years)))
+    listed = pinned.stage_files(snapshot, [], runs)
+    years = cut(year_facts(store.spark.createDataFrame([tuple(f) for f in listed], FILE_SCHEMA)))
+    expected = per_year(cleaned.bars).select("year", "row_count")
+    observed = observed_violations(store.spark, seen)
+    enforce(gather(stored_violations(stored, runs, footers, start, end, observed=observed), count_mismatches(years, expected)))
     invalid, duplicate = cleaned.counts()
     identity = universe_identity(universe).first()
     manifest = manifest_statistics(
         years, coverage, universe_sha256=identity.sha, universe_count=identity.n,
         start=start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,
     )
-    tables = {"coverage": coverage, "failures": failures, "manifest": manifest}
+    tables = {"coverage": coverage, "failures": failures, "manifest": manifest, "presence": presence(cleaned.bars)}
     for name, table in tables.items():
         store.stage_table(snapshot, name, table)
-    store.stage_files(snapshot, [], runs)
     counts = {r.year: r.row_count for r in years.collect()}  # one row per year
     pinned.commit(snapshot, counts, list(tables), deltas=dict.fromkeys(counts, 0))
     return Backfilled(snapshot, coverage, failures, store.table("manifest"))

@@ -12,7 +12,6 @@ from barlake.errors import DataQualityError, IdentityError, RefreshError
 from barlake.functions.fingerprint import universe_identity
 from barlake.operators.calendar import previous_sessions
 from barlake.operators.coverage import (
-    expected_active,
     missing_at_target,
     missing_report,
     refresh_coverage,
@@ -21,13 +20,16 @@ from barlake.operators.coverage import (
 )
 from barlake.operators.gates import counted, enforce, gather, sampled
 from barlake.operators.layers import FILE_SCHEMA, Split, touched, year_facts
-from barlake.operators.quality import coverage_gate, stored_violations
+from barlake.operators.presence import active_on, presence
+from barlake.operators.presence import merged as merged_presence
+from barlake.operators.quality import coverage_gate, stored_rules, stored_violations
 from barlake.operators.reports import manifest_statistics, update_report, with_last_update
 from barlake.operators.upsert import upsert, upsert_violations
 from barlake.plans.backfill import new_snapshot_id
 from barlake.plans.clean import clean_bars
 from barlake.schema import ACTIVE_SESSIONS, MINIMUM_TARGET_COVERAGE, REFRESH_DAYS
 from barlake.session import cut
+from barlake.sinks.bars import observed_violations
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.files import key_runs, stored_codecs
 
@@ -63,11 +65,17 @@ def with_carried_years(store: BarStore, changed: DataFrame, years: list[int], co
     return changed.unionByName(carried)
 
 
-def recent_bars(store: BarStore, split: Split, sessions: DataFrame, target: dt.date, years: list[int]) -> DataFrame:
-    """The bars of the last sessions before the target, from the files that may hold them."""
-    days = previous_sessions(sessions, target, ACTIVE_SESSIONS).agg(F.min("session").alias("first")).first()
-    first = days.first or target
-    return store.bars_in(touched([*split.hit, *split.kept], first, dt.date.max).hit)
+def last_days(sessions: DataFrame, target: dt.date) -> list[dt.date]:
+    """The sessions by which a ticker counts as active, a list of fixed size."""
+    return [r.session for r in previous_sessions(sessions, target, ACTIVE_SESSIONS).select("session").collect()]
+
+
+def kept_presence(store: BarStore, split: Split, sessions: DataFrame, target: dt.date) -> DataFrame:
+    """The store's presence bitmaps; a store without them has its recent bars read instead."""
+    if "presence" in store.tables():
+        return store.table("presence")
+    first = min(last_days(sessions, target), default=target)
+    return presence(store.bars_in(touched([*split.hit, *split.kept], first, dt.date.max).hit))
 
 
 def refresh(
@@ -118,8 +126,8 @@ def refresh(
         raise
     enforce(upsert_violations(old, cleaned.bars, start, target, universe))
     merged = cut(upsert(old, cleaned.bars))
-    recent = recent_bars(store, split, sessions, target, years)
-    expected = cut(expected_active(recent, universe, sessions, target))
+    before = kept_presence(store, split, sessions, target)
+    expected = cut(active_on(before, universe, last_days(sessions, target)))
     missing = cut(missing_report(missing_at_target(expected, merged, target), state))
     ratio = cut(target_coverage(expected, merged, target))
     try:
@@ -131,11 +139,11 @@ def refresh(
     coverage = cut(refresh_coverage(universe, store.table("coverage"), old, merged, state))
     enforce(counted(coverage, {"negative_row_count": F.col("row_count") < 0}), RefreshError)
 
-    stored = store.stage(run, merged)
-    path = f"{store.root}/bars/snapshot={run}"
     first_day = dt.date(start.year, 1, 1)
+    stored, seen = store.stage_observed(run, merged, stored_rules(first_day, end))
+    path = f"{store.root}/bars/snapshot={run}"
     runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
-    enforce(stored_violations(stored, runs, footers, first_day, end))
+    enforce(stored_violations(stored, runs, footers, first_day, end, observed=observed_violations(store.spark, seen)))
     listed = store.stage_files(run, split.kept, runs)
     changed = cut(year_facts(store.spark.createDataFrame([tuple(f) for f in listed], FILE_SCHEMA)))
     counts = {r.year: r.row_count for r in changed.collect()}  # one row per affected year
@@ -155,6 +163,8 @@ def refresh(
         "coverage": coverage, "failures": store.table("failures"), "manifest": with_last_update(statistics, report),
         "update_missing": missing, "update_report": report,
     }
+    if "presence" in store.tables():
+        tables["presence"] = merged_presence(before, presence(cleaned.bars))
     for name, table in tables.items():
         store.stage_table(run, name, table)
     store.commit(run, counts, list(tables), deltas=dict.fromkeys(counts, 0))

@@ -17,6 +17,7 @@ from barlake.operators.universe import (
     build_report,
     cap_input,
     evaluate,
+    page_stop,
     reason_counts,
     screener_fields,
     select_top,
@@ -38,7 +39,7 @@ from barlake.sources.directory import (
     raw_record_count,
     read_pipe,
 )
-from barlake.sources.universe import manual_exclusions, page_violations, read_pages
+from barlake.sources.universe import manual_exclusions, page_files, page_violations, read_pages
 
 
 @dataclass(frozen=True)
@@ -88,11 +89,72 @@ def build_universe(
     return BuiltUniverse(universe, audit, q.excluded, report)
 
 
+@dataclass(frozen=True)
+class PagedRead:
+    """records(page, ord, record): what a paged read keeps; opened: the pages that were read, of `listed` ones."""
+
+    records: DataFrame
+    opened: int
+    listed: int
+
+
+def read_progressively(
+    spark: SparkSession,
+    pages: str,
+    directory: DataFrame,
+    manual: DataFrame | None = None,
+    *,
+    target: int,
+    max_candidates: int = MAX_CANDIDATES,
+    page_size: int = PAGE_SIZE,
+) -> PagedRead:
+    """Read page files in rounds until the stop of `operators.universe.page_stop` is met.
+
+    The first round has as many pages as the target needs at least, each further one twice as many, so pages far behind the stop
+    are never opened and the number of rounds grows with the logarithm of the pages. A round parses its own pages,
+    drops records that it or an earlier round has had, and qualifies only the rest: each record once. A page without quotes
+    is an error if the read has not ended before it.
+    """
+    files = page_files(spark, pages)
+    block = max(1, -(-target // page_size))
+    at = 0
+    seen: DataFrame | None = None
+    listed: DataFrame | None = None
+    kept: DataFrame | None = None
+    while at < len(files):
+        paths = [path for _, path in files[at : at + block]]
+        at, block = at + len(paths), 2 * block
+        quotes = cut(read_pages(spark, paths))
+        broken = quotes.where("problem IS NOT NULL").agg(F.min("page").alias("page")).first().page
+        sound = quotes if broken is None else quotes.where(F.col("page") < broken)
+        numbered = sound.withColumn("ord", F.col("page") * page_size + F.col("pos"))
+        fresh = drop_repeated_records(numbered, "record", "ord").withColumn("text", F.to_json("record"))
+        if seen is not None:
+            fresh = fresh.join(seen.select("text"), "text", "left_anti")
+        fresh = cut(fresh.select("ord", "record", "text"))
+        passed = evaluate(screener_fields(fresh), directory, manual).where("exclusion_reason IS NULL").select("ord", "ticker")
+        is_new = numbered.select("page", "ord", "raw_count").join(fresh.select("ord", F.lit(True).alias("is_new")), "ord", "left")
+        marked = cut(is_new.withColumn("is_new", F.coalesce("is_new", F.lit(False))))
+        passed = cut(passed)
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        listed = marked if listed is None else listed.unionByName(marked)
+        kept = passed if kept is None else kept.unionByName(passed)
+        state = page_stop(listed, kept, target=target, max_candidates=max_candidates, page_size=page_size).first()
+        if state.stop is not None or state.new_records >= max_candidates:
+            break
+        if broken is not None:
+            enforce(page_violations(quotes), SourceError)
+    if seen is None:
+        raise SourceError(f"no pages below {pages}")
+    within = cap_input(listed, kept, target=target, max_candidates=max_candidates, page_size=page_size)
+    return PagedRead(within.join(seen.select("ord", "record"), "ord"), at, len(files))
+
+
 def build_from_files(
     spark: SparkSession,
     first_listing: str | list[str],
     second_listing: str | list[str],
-    pages: str | list[str],
+    pages: str,
     exclusions: str | None = None,
     *,
     size: int = UNIVERSE_SIZE,
@@ -101,10 +163,10 @@ def build_from_files(
 ) -> BuiltUniverse:
     """A universe from the files of both directories, the screener's pages and the exclusion list.
 
-    Pages count up to the one on which `target` securities qualify, by default `size`, as in a paged read.
+    Pages are read up to the one on which `target` securities qualify, by default `size`, see `read_progressively`.
 
-    A directory with an invalid flag, an unknown exchange or conflicting records, and a page without
-    quotes, stop the job before anything is qualified.
+    A directory with an invalid flag, an unknown exchange or conflicting records stops the job before anything is
+    qualified, a page without quotes when it is read.
     """
     combined = cut(
         combine(
@@ -113,16 +175,10 @@ def build_from_files(
         )
     )
     enforce(directory_violations(combined), SourceError)
-    quotes = cut(read_pages(spark, pages))
-    enforce(page_violations(quotes), SourceError)
-    listed = directory(combined)
+    listed = cut(directory(combined))
     manual = None if exclusions is None else cut(manual_exclusions(spark, exclusions))
-    numbered = quotes.withColumn("ord", F.col("page") * PAGE_SIZE + F.col("pos"))
-    new = cut(drop_repeated_records(numbered, "record", "ord"))
-    candidates = qualify_candidates(new, listed, manual).candidates
-    marked = numbered.join(new.select("ord", F.lit(True).alias("is_new")), "ord", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-    kept = cap_input(marked.select("page", "ord", "raw_count", "is_new"), candidates.select("ord", "ticker"), target=size if target is None else target, max_candidates=max_candidates)
-    return build_universe(new.join(kept.select("ord"), "ord", "left_semi"), listed, raw_record_count(combined), manual, size)
+    read = read_progressively(spark, pages, listed, manual, target=size if target is None else target, max_candidates=max_candidates)
+    return build_universe(read.records.select("ord", "record"), listed, raw_record_count(combined), manual, size)
 
 
 def publish_universe(store: BarStore, snapshot: str, built: BuiltUniverse) -> int:

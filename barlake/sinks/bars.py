@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.errors import RefreshError
-from barlake.operators.gates import enforce
-from barlake.operators.quality import bar_violations
-from barlake.schema import BAR_COLUMNS, BAR_KEY
+from barlake.operators.gates import enforce, gather
+from barlake.operators.quality import key_violations, schema_violations, unexpected_tickers, value_rules
+from barlake.schema import BAR_COLUMNS, BAR_KEY, VIOLATION_SCHEMA
 
 
 def _laid_out(df: DataFrame, one_file_per_year: bool) -> DataFrame:
@@ -18,20 +18,41 @@ def _laid_out(df: DataFrame, one_file_per_year: bool) -> DataFrame:
     return placed.sortWithinPartitions(*keys)
 
 
-def write_years(df: DataFrame, path: str, *, one_file_per_year: bool = False, mode: str = "error") -> None:
+def observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows, and how many of them break each rule, counted while they pass by.
+
+    An unknown value is a violation, as in operators.gates.counted. Put this right before a write: further up, the sampling of a range sort would
+    pass by as well.
+    """
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()]), seen
+
+
+def observed_violations(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What a written table's observation counted, as a gate's rows; waits for the write."""
+    rows = [(rule, n, "") for rule, n in sorted(seen.get.items()) if n]
+    return spark.createDataFrame(rows, VIOLATION_SCHEMA)
+
+
+def write_years(
+    df: DataFrame, path: str, *, one_file_per_year: bool = False, mode: str = "error", rules: dict[str, Column] | None = None
+) -> Observation | None:
     """zstd Parquet below year=YYYY, every file sorted by (date, ticker).
 
     The rows are range-partitioned by (year, date, ticker): files hold disjoint key ranges, one
     year can span any number of tasks, and a hot ticker spreads over its dates. A single file per
-    year is for datasets whose years fit one task.
+    year is for datasets whose years fit one task. With rules, they are counted during the write.
     """
+    rows, seen = _laid_out(df, one_file_per_year), None
+    if rules:
+        rows, seen = observed(rows, rules)
     (
-        _laid_out(df, one_file_per_year)
-        .write.mode(mode)
+        rows.write.mode(mode)
         .option("compression", "zstd")
         .partitionBy("year")
         .parquet(path)
     )
+    return seen
 
 
 def rewrite_years(df: DataFrame, path: str, years: list[int], **options) -> None:
@@ -58,8 +79,17 @@ def rewrite_years(df: DataFrame, path: str, years: list[int], **options) -> None
 
 
 def write_staged(df: DataFrame, path: str, start, end, allowed: DataFrame | None = None) -> DataFrame:
-    """Write a staging table, read it back, validate what was stored."""
-    df.select(*BAR_COLUMNS).write.option("compression", "zstd").parquet(path)
-    stored = df.sparkSession.read.schema(df.select(*BAR_COLUMNS).schema).parquet(path)
-    enforce(bar_violations(stored, start, end, allowed))
+    """Write a staging table and refuse it if it is none of bars.
+
+    The value rules are counted during the write. Keys and tickers, which take a shuffle, are checked on what was stored: one scan of
+    two columns for the keys, and of one for the tickers.
+    """
+    rows = df.select(*BAR_COLUMNS)
+    passing, seen = observed(rows, value_rules(start, end))
+    passing.write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.schema(rows.schema).parquet(path)
+    found = [observed_violations(df.sparkSession, seen), schema_violations(stored), key_violations(stored)]
+    if allowed is not None:
+        found.append(unexpected_tickers(stored, allowed))
+    enforce(gather(*found))
     return stored

@@ -24,7 +24,7 @@ import json
 import re
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,10 +180,16 @@ class BarStore:
 
     def stage(self, snapshot: str, bars: DataFrame, *, one_file_per_year: bool = False) -> DataFrame:
         """Write the changed years of a snapshot; invisible until committed. Returns what was stored."""
+        return self.stage_observed(snapshot, bars, None, one_file_per_year=one_file_per_year)[0]
+
+    def stage_observed(
+        self, snapshot: str, bars: DataFrame, rules: dict[str, Column] | None, *, one_file_per_year: bool = False
+    ) -> tuple[DataFrame, Observation | None]:
+        """The same, and how many of the written rows break each rule, counted during the write."""
         path = f"{self.root}/bars/snapshot={snapshot}"
-        write_years(bars, path, one_file_per_year=one_file_per_year, mode="overwrite")
+        seen = write_years(bars, path, one_file_per_year=one_file_per_year, mode="overwrite", rules=rules)
         base = f"{self.root}/bars"
-        return self.spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", base).parquet(path).drop("snapshot")
+        return self.spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", base).parquet(path).drop("snapshot"), seen
 
     def stage_files(self, snapshot: str, kept: list, runs: DataFrame | None = None, layer: int = 0) -> list:
         """Write the file list of the years a snapshot changed: the files kept and those it wrote. Returns the list.

@@ -11,6 +11,7 @@ from barlake.errors import SourceError
 from barlake.functions.dates import calendar_date
 from barlake.functions.numbers import to_number
 from barlake.functions.text import TICKER_TEXT
+from barlake.operators.quality import value_rules
 from barlake.schema import BAR_COLUMNS, BAR_SCHEMA, STORED_BAR_SCHEMA
 
 # --- fixed values: required fields of a wide response -----------------------------------
@@ -39,10 +40,11 @@ def resolve_columns(columns: list[str], requested: list[str]) -> dict[str, dict[
         labels = [(c, requested[0], _field(c)) for c in flat]
     else:
         labels = []
+        wanted = set(requested)
         for c in columns:
             parts = c.split(SEPARATOR)
             fields = [_field(p) for p in parts if _field(p) in FIELDS]
-            tickers = [_ticker(p) for p in parts if _ticker(p) in requested]
+            tickers = [_ticker(p) for p in parts if _ticker(p) in wanted]
             if len(fields) == 1 and len(tickers) == 1:
                 labels.append((c, tickers[0], fields[0]))
     for column, ticker, field in labels:
@@ -98,6 +100,31 @@ def read_staged(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(BAR_SCHEMA).parquet(*paths)
 
 
+def staged_violations(spark: SparkSession, paths: str | list[str], start, end, allowed: DataFrame | None = None) -> DataFrame:
+    """(batch, rule, n) of staged batches, each of which has to be a table of bars by itself.
+
+    Spark merges the footers of all files in a job of its own: a column of another type fails it, a further column
+    is a violation of all batches at once (an empty batch name), and what a batch lacks reads as NULL. The value rules of all batches are one
+    aggregate over one scan, keys are counted per batch.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    own = [(n, t) for n, t in spark.read.option("mergeSchema", "true").parquet(*paths).dtypes]
+    wrong = spark.range(0 if own == [(f.name, f.dataType.simpleString()) for f in BAR_SCHEMA] else 1)
+    schema = wrong.select(F.lit("").alias("batch"), F.lit("schema").alias("rule"), F.lit(1).cast("bigint").alias("n"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
+    rows = read_staged(spark, paths).withColumn("batch", folder)
+    rules = value_rules(start, end)
+    if allowed is not None:
+        rows = rows.join(allowed.select("ticker", F.lit(True).alias("_known")), "ticker", "left")
+        rules["unexpected_ticker"] = F.col("ticker").isNotNull() & F.col("_known").isNull()
+    counts = rows.groupBy("batch").agg(*[F.count_if(F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in rules])
+    values = counts.select("batch", F.inline(pairs)).where("n > 0")
+    repeats = rows.groupBy("batch", "date", "ticker").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    keys = repeats.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).select("batch", F.lit("duplicate_key").alias("rule"), "n")
+    return schema.unionByName(values).unionByName(keys)
+
+
 def read_dataset(spark: SparkSession, root: str) -> DataFrame:
     """All year=* partitions with the fixed schema plus the directory's year."""
     return spark.read.schema(STORED_BAR_SCHEMA).option("basePath", root).parquet(root)

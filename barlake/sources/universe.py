@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ def read_exact_csv(spark: SparkSession, path: str, schema: T.StructType, error:
     header = spark.read.csv(path, header=True).columns
     if header != schema.fieldNames():
         raise error(f"unexpected columns in {path}: {header}")
-    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", escape='"', multiLine=False)
+    # every file's own header is held against the schema when it is read
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST", escape='"', multiLine=False)
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
@@ -107,6 +110,22 @@ def parse_pages(pages: DataFrame, page: str = "page", text: str = "value") -> Da
     ).where("problem IS NOT NULL OR record IS NOT NULL")
 
 
+def page_files(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(page, path) of the page files below a folder in the order of their pages; only names are looked at."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listing = [], system.listFiles(path, True)
+    while listing.hasNext():
+        file = listing.next().getPath()
+        if not re.match(r"[._]", file.getName()):
+            text = file.toString()
+            number = re.search(r"page=(\d+)/", text) or re.search(r"(\d+)[^\d/]*$", text)
+            if number is None:
+                raise SourceError(f"no page number in {text}")
+            found.append((int(number[1]), text))
+    return sorted(found)
+
+
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every file is one page; its number is that of its `page=` folder, else the last one in its name."""
     source = F.col("_metadata.file_path")

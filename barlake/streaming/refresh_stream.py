@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from barlake.operators.bars import duplicates_removed, fold_raw, folded_bars
 from barlake.operators.coverage import refresh_coverage
 from barlake.operators.layers import touched
+from barlake.operators.presence import merged, presence
 from barlake.operators.reports import manifest_statistics, per_year
 from barlake.plans.refresh import with_carried_years
 from barlake.schema import BAR_COLUMNS, BAR_KEY, BAR_SCHEMA
@@ -97,6 +98,8 @@ def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start:
             start=dt.date.fromisoformat(was.requested_start), end=max(end, dt.date.fromisoformat(was.requested_end_exclusive)),
             invalid_rows=rows.invalid, duplicate_rows=duplicates_removed(folded).first().duplicate_rows,
         )
+    if "presence" in held:
+        tables["presence"] = merged(store.table("presence"), presence(new))
     for name, table in tables.items():
         store.stage_table(snapshot, name, table)
     store.commit(snapshot, counts, list(tables), deltas=deltas, stream=(run, batch_id))

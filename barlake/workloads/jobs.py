@@ -14,8 +14,15 @@ from barlake.plans.backfill import backfill, export_dataset
 from barlake.plans.clean import clean_bars, clean_wide
 from barlake.plans.reconcile import reconcile_copies
 from barlake.plans.refresh import refresh
-from barlake.plans.universe import build_from_files, build_universe, publish_universe, qualify_candidates, validate_universe
-from barlake.session import scratch
+from barlake.plans.universe import (
+    build_from_files,
+    build_universe,
+    publish_universe,
+    qualify_candidates,
+    read_progressively,
+    validate_universe,
+)
+from barlake.session import cut, scratch
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.directory import raw_record_count
 from barlake.sources.manifest import asset_rows, read_manifest
@@ -101,6 +108,28 @@ def q3_files(spark, sf):
     return built.universe.select("ticker", "company_name", "market_cap", "market_cap_rank")
 
 
+#: How many securities the paged read looks for; the smallest tables' feed has them before its last page.
+READ_TARGET = 12
+
+
+@query(
+    "o6_progressive_pages",
+    f"""SELECT * FROM (WITH placed AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS place FROM feed f),
+       paged AS (SELECT place // 250 AS page, count(*) AS raw_count FROM placed GROUP BY 1),
+       hits AS (SELECT page, count(*) AS found FROM (SELECT c.ticker, min(p.place // 250) AS page FROM cascade c JOIN placed p ON p.ord = c.ord
+         WHERE c.exclusion_reason IS NULL GROUP BY c.ticker) GROUP BY page),
+       stop AS (SELECT min(page) AS page FROM (SELECT p.page, raw_count, sum(coalesce(found, 0)) OVER (ORDER BY p.page) AS running
+         FROM paged p LEFT JOIN hits h ON h.page = p.page) WHERE running >= {READ_TARGET} OR raw_count < 250)
+       SELECT place // 250 AS page, place AS ord, (SELECT least(CAST(2 ** (floor(log2(page + 1)) + 1) AS BIGINT) - 1, (SELECT count(*) FROM paged)) FROM stop) AS opened
+       FROM placed WHERE place // 250 <= (SELECT page FROM stop))""",
+)
+def o6_progressive(spark, sf):
+    """The records of a paged read that stops early, and how many pages it opened."""
+    folder = I.once(spark, sf, "page-files", lambda path: WSec.full_pages(spark, sf).write.partitionBy("page").text(path))
+    read = read_progressively(spark, folder, cut(I.directory(spark, sf)), I.manual(spark, sf), target=READ_TARGET)
+    return read.records.select("page", "ord", F.lit(read.opened).cast("bigint").alias("opened"))
+
+
 @query(
     "v11_validate_universe",
     f"SELECT CAST({JOB_SIZE} AS BIGINT) AS rows, count(DISTINCT ticker) AS unique_tickers, min(market_cap_rank) AS rank_min, "

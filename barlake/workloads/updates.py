@@ -6,14 +6,25 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from barlake.errors import CommitError
+from barlake.errors import CommitError, RefreshError
+from barlake.operators import presence as P
+from barlake.operators.quality import stored_rules
+from barlake.operators.reports import single
+from barlake.plans.backfill import backfill
 from barlake.plans.compact import compact
+from barlake.plans.refresh import last_days, refresh
 from barlake.plans.window import upsert_window
 from barlake.schema import BAR_COLUMNS
+from barlake.session import scratch
+from barlake.sinks.bars import observed_violations
+from barlake.sinks.reports import write_csv
 from barlake.sinks.snapshots import BarStore
+from barlake.sources.prices import staged_violations
 from barlake.streaming.refresh_stream import apply_batch, bar_stream, refresh_stream
+from barlake.workloads import coverage as WC
 from barlake.workloads import inputs as I
 from barlake.workloads.barops import BAR
+from barlake.workloads.jobs import DATA_START, no_attempts, refreshed_store
 from barlake.workloads.registry import query
 
 FAR = dt.date(2100, 1, 1)
@@ -151,3 +162,121 @@ def k6_conflict(spark, sf):
 
     store = BarStore(spark, I.once(spark, sf, "conflict", write))
     return store.bars().select("date", "ticker", "close").join(spark.read.parquet(f"{store.root}/said"), F.lit(True))
+
+
+def presence_store(spark, sf):
+    """Bitmaps of the old bars kept as a table, and merged with those of the new bars."""
+
+    def write(path):
+        store = BarStore(spark, path)
+        store.stage_table("old", "presence", P.presence(I.old_bars(spark, sf)))
+        store.commit("old", {}, ["presence"])
+        store.stage_table("new", "presence", P.merged(store.table("presence"), P.presence(I.new_bars(spark, sf))))
+        store.commit("new", {}, ["presence"])
+
+    return BarStore(spark, I.once(spark, sf, "presence", write))
+
+
+@query("j8_bitmap_active", "SELECT ticker FROM active")
+def j8_bitmap(spark, sf):
+    """Tickers seen on the last sessions, from the bitmaps that were kept before the refresh."""
+    return P.active_on(presence_store(spark, sf).at(1).table("presence"), I.parts(spark, sf), last_days(I.sessions(spark, sf), I.TARGET))
+
+
+@query(
+    "a7_bitmap_coverage",
+    """SELECT count(*) AS expected_count, count(p.ticker) AS present_count, round(count(p.ticker) / count(*), 6) AS coverage_ratio
+       FROM active a LEFT JOIN present p ON p.ticker = a.ticker""",
+)
+def a7_bitmap(spark, sf):
+    store = presence_store(spark, sf)
+    ratio = P.share_on(store.at(2).table("presence"), j8_bitmap(spark, sf), I.TARGET)
+    return ratio.withColumn("coverage_ratio", F.round("coverage_ratio", 6))
+
+
+@query("a1_bitmap_day_counts", "SELECT ticker, count(*) AS row_count FROM (SELECT date, ticker FROM old_bars UNION SELECT date, ticker FROM new_bars) GROUP BY ticker")
+def a1_bitmap(spark, sf):
+    return P.day_counts(presence_store(spark, sf).at(2).table("presence"))
+
+
+@query(
+    "k3_observed_sink",
+    """SELECT * FROM (SELECT unnest([{'rule': 'close_not_positive_finite', 'n': (SELECT count(*) FROM bars WHERE volume > 40)},
+         {'rule': 'date_out_of_range', 'n': (SELECT count(*) FROM bars WHERE date < DATE '1995-07-01' OR date >= DATE '2001-07-01')}], recursive := true)) WHERE n > 0""",
+)
+def k3_observed(spark, sf):
+    """What the write of spoilt bars counted; no second pass reads them."""
+    spoilt = I.bars(spark, sf).withColumn("close", F.when(F.col("volume") > 40, -F.col("close")).otherwise(F.col("close")))
+    store = BarStore(spark, scratch(spark, "k3-observed"))
+    _, seen = store.stage_observed("s", spoilt, stored_rules(I.START, I.END))
+    return observed_violations(spark, seen).select("rule", "n")
+
+
+@query(
+    "s8_batch_violations",
+    """SELECT * FROM (
+         SELECT 'batch=1' AS batch, 'close_not_positive_finite' AS rule, count(*) AS n FROM bars WHERE volume > 40
+         UNION ALL SELECT 'batch=1', 'duplicate_key', count(*) FROM bars WHERE volume > 45
+         UNION ALL SELECT 'batch=0', 'date_out_of_range', count(*) FROM bars WHERE date < DATE '1995-07-01' OR date >= DATE '2001-07-01'
+         UNION ALL SELECT 'batch=1', 'date_out_of_range', count(*) FILTER (WHERE volume > 40) + count(*) FILTER (WHERE volume > 45) FROM bars WHERE date < DATE '1995-07-01' OR date >= DATE '2001-07-01'
+         UNION ALL SELECT 'batch=1', 'unexpected_ticker', 0) WHERE n > 0""",
+)
+def s8_violations(spark, sf):
+    """A sound batch and one with bad closes and repeats, each judged by itself."""
+
+    def write(path):
+        raw = I.bars(spark, sf).select(*BAR_COLUMNS)
+        raw.write.parquet(f"{path}/batch=0")
+        bad = raw.where("volume > 40").withColumn("close", -F.col("close"))
+        bad.unionByName(raw.where("volume > 45").withColumn("close", F.lit(1.0))).write.parquet(f"{path}/batch=1")
+
+    path = I.once(spark, sf, "staged-bad", write)
+    known = I.bars(spark, sf).select("ticker").distinct()
+    return staged_violations(spark, [f"{path}/batch=0", f"{path}/batch=1"], I.START, I.END, known)
+
+
+@query(
+    "k4_written_csv",
+    """SELECT ticker, status, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, CAST(row_count AS VARCHAR) AS row_count,
+         CAST(attempt_count AS VARCHAR) AS attempt_count, nullif(last_error, '') AS last_error FROM coverage""",
+)
+def k4_written(spark, sf):
+    """The coverage report as its CSV file has it, cell by cell."""
+    path = scratch(spark, "k4")
+    write_csv(WC.coverage(spark, sf), path, ["ticker"])
+    return spark.read.csv(path, header=True, escape='"')
+
+
+@query(
+    "k8_refused_refresh",
+    """SELECT (SELECT count(*) FROM active) AS expected_count, (SELECT count(*) FROM active WHERE ticker IN (SELECT ticker FROM present)) AS present_count,
+         (SELECT count(*) FROM active WHERE ticker NOT IN (SELECT ticker FROM present)) AS missing, CAST(1 AS BIGINT) AS version
+       WHERE (SELECT count(*) FROM active WHERE ticker NOT IN (SELECT ticker FROM present)) > 0""",
+)
+def k8_refused(spark, sf):
+    """A refresh whose coverage gate asks for all tickers: it refuses, says why, and leaves the store as it was."""
+
+    def write(path):
+        universe, store = I.parts(spark, sf), BarStore(spark, path)
+        backfill(store, universe, I.old_bars(spark, sf), no_attempts(spark, universe), DATA_START, I.OLD_END, allow_no_data=True)
+        try:
+            refresh(store, universe, I.new_bars(spark, sf), no_attempts(spark, universe), I.sessions(spark, sf), I.TARGET, minimum_coverage=1.0)
+        except RefreshError:
+            return
+        raise AssertionError("the coverage gate let a refresh with missing tickers pass")
+
+    store = BarStore(spark, I.once(spark, sf, "refused-refresh", write))
+    ratio = spark.read.parquet(f"{store.root}/diagnostics/*/coverage_ratio").select("expected_count", "present_count")
+    missing = spark.read.parquet(f"{store.root}/diagnostics/*/update_missing").agg(F.count(F.lit(1)).alias("missing"))
+    return single(ratio, missing).withColumn("version", F.lit(store.version()).cast("bigint"))
+
+
+@query(
+    "q6_coverage_states",
+    """SELECT p.ticker, CASE WHEN p.ticker IN (SELECT ticker FROM old_bars UNION ALL SELECT ticker FROM new_bars) THEN 'success' ELSE 'no_data' END AS status,
+         CAST(2 AS BIGINT) AS attempt_count, p.ticker IN (SELECT ticker FROM new_bars) AS last_run_succeeded FROM parts p""",
+)
+def q6_states(spark, sf):
+    """Status, attempts and last error of the refreshed store's coverage."""
+    found = refreshed_store(spark, sf).table("coverage")
+    return found.select("ticker", "status", "attempt_count", (F.col("last_error") == "").alias("last_run_succeeded"))
