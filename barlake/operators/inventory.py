@@ -11,6 +11,7 @@ from barlake.schema import AUXILIARY_ASSETS, IDENTITY_FIELDS, MANIFEST_ASSET, SC
 
 DIGEST = r"\A[0-9a-f]{64}\z"
 YEAR_KEY = r"\A[0-9]+\z"
+PARTS_PER_NODE = 1000
 ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 ZONED_INSTANT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})\z"
 
@@ -42,21 +43,68 @@ def asset_key(local_path: Column) -> Column:
     return rule
 
 
+def part_tree(parts: DataFrame) -> DataFrame:
+    """(key, size_bytes, sha256, n_parts) of years from parts(key, n, local_path, size_bytes, sha256), n counting from 0.
+
+    The digest is that of a tree: lines of path, size and digest of some `PARTS_PER_NODE` parts are hashed to a node, the nodes in
+    order to the year's digest. No row holds more than one node's lines or one year's nodes.
+    """
+    line = F.concat_ws(" ", "local_path", F.col("size_bytes").cast("string"), "sha256")
+    own = F.struct("n", line.alias("line"))
+    nodes = parts.groupBy("key", F.expr(f"n div {PARTS_PER_NODE}").alias("node")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(own))["line"], "\n"), 256).alias("digest"),
+        F.sum("size_bytes").alias("size"),
+        F.count(F.lit(1)).alias("parts"),
+    )
+    return nodes.groupBy("key").agg(
+        F.sum("size").alias("size_bytes"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("node", "digest")))["digest"], "\n"), 256).alias("sha256"),
+        F.sum("parts").alias("n_parts"),
+    )
+
+
 def index_assets(inventory: DataFrame) -> DataFrame:
     """Asset rows of the managed files in an inventory(local_path, size_bytes, sha256).
 
-    Spark may write several files per year; the files of such a year are told apart by number.
-    The window runs within one year over its file list, not over rows of data.
+    A year of one file is that file. A year of several is its folder with the tree digest of its parts, which are listed in
+    `parts` in the order of their names. The window runs within one year over its file list, not over rows of data.
     """
     keyed = inventory.withColumn("key", asset_key(F.col("local_path"))).where("key IS NOT NULL")
     in_year = Window.partitionBy("key")
-    n = F.row_number().over(in_year.orderBy("local_path"))
-    files = F.count(F.lit(1)).over(in_year)
-    year_name = F.when(files == 1, expected_asset_name(F.col("key"))).otherwise(
-        F.concat(F.lit("prices-year-"), "key", F.lit("-"), n.cast("string"), F.lit(".parquet"))
-    )
-    name = F.when(_is_year(F.col("key")), year_name).otherwise(expected_asset_name(F.col("key")))
-    return keyed.select("key", name.alias("asset_name"), "local_path", "size_bytes", "sha256")
+    numbered = keyed.withColumns({"n": F.row_number().over(in_year.orderBy("local_path")) - 1, "files": F.count(F.lit(1)).over(in_year)})
+    name = expected_asset_name(F.col("key")).alias("asset_name")
+    part = F.struct("local_path", "size_bytes", "sha256")
+    single = numbered.where("files = 1").select("key", name, "local_path", "size_bytes", "sha256", F.lit(None).cast("array<struct<local_path:string,size_bytes:bigint,sha256:string>>").alias("parts"))
+    several = numbered.where("files > 1")
+    listed = several.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", part.alias("part"))))["part"].alias("parts"))
+    trees = part_tree(several).join(listed, "key")
+    return single.unionByName(trees.select("key", name, year_folder(F.col("key")).alias("local_path"), "size_bytes", "sha256", "parts"))
+
+
+def year_folder(key: Column) -> Column:
+    return F.concat(F.lit("daily/year="), key)
+
+
+def asset_files(assets: DataFrame, parts: DataFrame) -> DataFrame:
+    """The files to hold: assets that are files, and the parts of the years that have some."""
+    name = F.concat(F.lit("prices-year-"), "key", F.lit("-"), F.lpad(F.col("n").cast("string"), 5, "0"), F.lit(".parquet"))
+    columns = ["key", "asset_name", "local_path", "size_bytes", "sha256"]
+    whole = assets.join(parts.select("key").distinct(), "key", "left_anti")
+    return whole.select(*columns).unionByName(parts.withColumn("asset_name", name).select(*columns))
+
+
+def part_violations(assets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Years stored in parts: the folder and its parts belong together, part names count from 0, and size and digest of the year follow from them."""
+    rules = {
+        "part_name": F.col("local_path") != F.concat(year_folder(F.col("key")), F.lit("/part-"), F.lpad(F.col("n").cast("string"), 5, "0"), F.lit(".parquet")),
+        "part_digest_format": ~F.lower("sha256").rlike(DIGEST),
+        "part_size": F.col("size_bytes") < 0,
+    }
+    tree = part_tree(parts).select("key", F.col("size_bytes").alias("_size"), F.col("sha256").alias("_sha"), "n_parts")
+    folders = assets.where(F.col("local_path") == year_folder(F.col("key"))).select("key", "size_bytes", "sha256", F.lit(True).alias("_folder"))
+    both = folders.join(tree, "key", "full")
+    differs = both.where(F.coalesce((F.col("size_bytes") != F.col("_size")) | (F.col("sha256") != F.col("_sha")) | (F.col("n_parts") < 2), F.lit(True)))
+    return gather(counted(parts, rules), sampled(differs, "part_tree", F.col("key")))
 
 
 def reconcile(assets: DataFrame, inventory: DataFrame, *, force: bool = False, years: list[int] | None = None, auxiliary: list[str] | None = None) -> DataFrame:
@@ -138,7 +186,7 @@ def asset_violations(assets: DataFrame) -> DataFrame:
     rules = {
         "unsupported_key": expected_asset_name(key).isNull(),
         "asset_name_rule": F.col("asset_name") != expected_asset_name(key),
-        "local_path_rule": F.col("local_path") != expected_local_path(key),
+        "local_path_rule": (F.col("local_path") != expected_local_path(key)) & ~(_is_year(key) & (F.col("local_path") == year_folder(key))),
         "digest_format": ~F.lower("sha256").rlike(DIGEST),
         "size_negative": F.col("size_bytes") < 0,
     }

@@ -11,13 +11,13 @@ from barlake.errors import DataQualityError, ManifestError
 from barlake.functions.fingerprint import universe_identity
 from barlake.operators.coverage import status_counts, universe_coverage
 from barlake.operators.gates import counted, enforce, gather, sampled
-from barlake.operators.inventory import manifest_violations, reconcile
+from barlake.operators.inventory import asset_files, manifest_violations, part_violations, reconcile
 from barlake.operators.quality import coverage_row_violations, dataset_violations
 from barlake.operators.reports import acceptance_summary
 from barlake.schema import STATUSES
 from barlake.session import cut
 from barlake.sources.files import inventory, key_runs, stored_codecs
-from barlake.sources.manifest import asset_rows, partition_counts, read_manifest
+from barlake.sources.manifest import asset_rows, part_rows, partition_counts, read_manifest
 from barlake.sources.prices import read_dataset
 from barlake.sources.reports import read_coverage, read_failures
 
@@ -52,7 +52,8 @@ def acceptance_violations(
         raise ValueError("a minimum coverage needs a target session")
     manifest = read_manifest(spark, f"{root}/manifest.json")
     assets, counts = asset_rows(manifest), partition_counts(manifest)
-    enforce(manifest_violations(manifest, assets, counts), ManifestError)
+    parts = part_rows(manifest)
+    enforce(gather(manifest_violations(manifest, assets, counts), part_violations(assets, parts)), ManifestError)
 
     facts = manifest_facts(manifest)
     row = facts.first()
@@ -64,7 +65,7 @@ def acceptance_violations(
     failures = read_failures(spark, f"{root}/download_failures.csv")
     expected = counts.select(F.col("year").cast("int").alias("year"), F.col("n").alias("row_count"))
     identity = universe_identity(universe)
-    changed = reconcile(assets, inventory(spark, root)).where("action = 'download'")
+    changed = reconcile(asset_files(assets, parts), inventory(spark, root)).where("action = 'download'")
     statuses = status_counts(coverage).join(facts, F.lit(True))
     named = {"success": "successful", "no_data": "no_data", "failed": "failed"}
     found = [

@@ -54,7 +54,6 @@ def backfill(
     end: dt.date,
     *,
     allow_no_data: bool = False,
-    one_file_per_year: bool = False,
 ) -> Backfilled:
     """universe(ord, ticker); raw bars as staged; attempts as in the attempt log.
 
@@ -79,7 +78,7 @@ def backfill(
         store.save_diagnostics(snapshot, "ticker_coverage", coverage)
         store.save_diagnostics(snapshot, "download_failures", failures)
         raise
-    stored, seen = store.stage_observed(snapshot, cleaned.bars, stored_rules(start, end), one_file_per_year=one_file_per_year)
+    stored, seen = store.stage_observed(snapshot, cleaned.bars, stored_rules(start, end))
     path = f"{store.root}/bars/snapshot={snapshot}"
     runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
     listed = pinned.stage_files(snapshot, [], runs)
@@ -101,13 +100,12 @@ def backfill(
     return Backfilled(snapshot, coverage, failures, store.table("manifest"))
 
 
-def export_dataset(store: BarStore, root: str) -> DataFrame:
+def export_dataset(store: BarStore, root: str, *, rows_per_file: int | None = None) -> DataFrame:
     """The committed dataset as plain named files with a manifest; returns the manifest row.
 
-    This layout has one file per year and so suits datasets whose years fit one task; the store
-    itself has no such limit.
+    A year is one file, or as many numbered parts as Spark or `rows_per_file` make of it; no year has to fit one task.
     """
-    publish_years(store.bars(), root)
+    publish_years(store.bars(), root, rows_per_file=rows_per_file)
     publish_csv(store.table("coverage"), root, "ticker_coverage.csv", ["ticker"])
     publish_csv(store.table("failures"), root, "download_failures.csv", ["ticker"])
     held = store.tables()

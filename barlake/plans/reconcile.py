@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barlake.errors import IdentityError
 from barlake.operators.gates import enforce
 from barlake.operators.inventory import (
+    asset_files,
     asset_key,
     identity_of,
     identity_violations,
@@ -18,7 +19,7 @@ from barlake.operators.inventory import (
     reconcile,
 )
 from barlake.sources.files import inventory
-from barlake.sources.manifest import asset_rows, read_manifest
+from barlake.sources.manifest import asset_rows, part_rows, read_manifest
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,14 @@ def reconcile_copies(
     years: list[int] | None = None,
     auxiliary: list[str] | None = None,
 ) -> Reconciled:
-    """Compare a manifest with the files below copy_root; a foreign identity is refused first."""
+    """Compare a manifest with the files below copy_root; a foreign identity is refused first.
+
+    The parts of a year are compared one by one, so only those that differ are fetched.
+    """
     manifest = read_manifest(spark, manifest_path)
     if expected_identity is not None:
         enforce(identity_violations(expected_identity, identity_of(manifest)), IdentityError)
-    assets = asset_rows(manifest)
+    assets = asset_files(asset_rows(manifest), part_rows(manifest))
     local = inventory(spark, copy_root)
     managed_local = local.where(asset_key(F.col("local_path")).isNotNull())
     return Reconciled(

@@ -11,11 +11,10 @@ from barlake.operators.quality import key_violations, schema_violations, unexpec
 from barlake.schema import BAR_COLUMNS, BAR_KEY, VIOLATION_SCHEMA
 
 
-def _laid_out(df: DataFrame, one_file_per_year: bool) -> DataFrame:
+def _laid_out(df: DataFrame) -> DataFrame:
     rows = df.select(*BAR_COLUMNS, F.year("date").alias("year"))
     keys = ["year", *BAR_KEY]
-    placed = rows.repartition("year") if one_file_per_year else rows.repartitionByRange(*keys)
-    return placed.sortWithinPartitions(*keys)
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
@@ -35,27 +34,28 @@ def observed_violations(spark: SparkSession, seen: Observation) -> DataFrame:
 
 
 def write_years(
-    df: DataFrame, path: str, *, one_file_per_year: bool = False, mode: str = "error", rules: dict[str, Column] | None = None
+    df: DataFrame, path: str, *, mode: str = "error", rules: dict[str, Column] | None = None, rows_per_file: int | None = None
 ) -> Observation | None:
     """zstd Parquet below year=YYYY, every file sorted by (date, ticker).
 
     The rows are range-partitioned by (year, date, ticker): files hold disjoint key ranges, one
-    year can span any number of tasks, and a hot ticker spreads over its dates. A single file per
-    year is for datasets whose years fit one task. With rules, they are counted during the write.
+    year can span any number of tasks, and a hot ticker spreads over its dates. The files of a year are in the order of
+    their names. With rules, they are counted during the write.
     """
-    rows, seen = _laid_out(df, one_file_per_year), None
+    rows, seen = _laid_out(df), None
     if rules:
         rows, seen = observed(rows, rules)
     (
         rows.write.mode(mode)
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", rows_per_file or 0)
         .partitionBy("year")
         .parquet(path)
     )
     return seen
 
 
-def rewrite_years(df: DataFrame, path: str, years: list[int], **options) -> None:
+def rewrite_years(df: DataFrame, path: str, years: list[int]) -> None:
     """Replace only the given years of a dataset; a year that would end up empty is an error.
 
     df must not read from path. Partitions are swapped one by one; sinks.snapshots is the form
@@ -69,7 +69,7 @@ def rewrite_years(df: DataFrame, path: str, years: list[int], **options) -> None
     if stray:
         raise RefreshError(f"rows outside the affected years: {stray}")
     (
-        _laid_out(df, options.get("one_file_per_year", False))
+        _laid_out(df)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")

@@ -1,4 +1,4 @@
-"""The plain-file layout of a published dataset: one named file per year and per report."""
+"""The plain-file layout of a published dataset: a named file, or numbered parts, per year, and a file per report."""
 
 from __future__ import annotations
 
@@ -30,16 +30,27 @@ def _move_single(spark: SparkSession, folder: str, target: str) -> None:
         raise BarlakeError(f"cannot publish {target}")
 
 
-def publish_years(bars: DataFrame, root: str) -> None:
-    """daily/year=YYYY/prices.parquet, one sorted zstd file per year."""
+def publish_years(bars: DataFrame, root: str, *, rows_per_file: int | None = None) -> None:
+    """daily/year=YYYY/prices.parquet, or part-NNNNN.parquet in key order where a year has several files; sorted, zstd.
+
+    The files are written by any number of tasks below a scratch folder and get their names afterwards.
+    """
     spark = bars.sparkSession
     staged = scratch(spark, "years")
-    write_years(bars, staged, one_file_per_year=True)
+    write_years(bars, staged, rows_per_file=rows_per_file)
     fs, path = _filesystem(spark, staged)
     for status in fs.listStatus(path(staged)):
-        name = status.getPath().getName()
-        if name.startswith("year="):
-            _move_single(spark, f"{staged}/{name}", f"{root}/daily/{name}/prices.parquet")
+        year = status.getPath().getName()
+        if not year.startswith("year="):
+            continue
+        # tasks are numbered in key order, and so are the files of a task
+        files = sorted(f.getPath().getName() for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-"))
+        fs.delete(path(f"{root}/daily/{year}"), True)
+        fs.mkdirs(path(f"{root}/daily/{year}"))
+        for k, name in enumerate(files):
+            target = f"{root}/daily/{year}/" + ("prices.parquet" if len(files) == 1 else f"part-{k:05d}.parquet")
+            if not fs.rename(path(f"{staged}/{year}/{name}"), path(target)):
+                raise BarlakeError(f"cannot publish {target}")
 
 
 def publish_csv(table: DataFrame, root: str, name: str, order: list) -> None:
@@ -57,7 +68,10 @@ def publish_json(row: DataFrame, root: str, name: str) -> None:
 
 
 def manifest_with_assets(statistics: DataFrame, assets: DataFrame) -> DataFrame:
-    """Statistics row plus the asset map; one entry per managed file."""
+    """Statistics row plus the asset map, one entry per year and report; and the parts of the years that have some."""
     entry = F.struct("asset_name", "local_path", "size_bytes", "sha256")
-    entries = assets.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", entry.alias("value"))))).alias("assets"))
-    return statistics.join(entries, F.lit(True))
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", entry.alias("value"))))).alias("assets")]
+    if assets.where("parts IS NOT NULL").limit(1).count():
+        listed = F.when(F.col("parts").isNotNull(), F.struct("key", F.col("parts").alias("value")))
+        maps.append(F.map_from_entries(F.array_sort(F.collect_list(listed))).alias("partition_files"))
+    return statistics.join(assets.agg(*maps), F.lit(True))

@@ -178,16 +178,14 @@ class BarStore:
         paths = [f"{base}/snapshot={s}/year={y}" for s, y in parts]
         return self.spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", base).parquet(*paths).drop("snapshot")
 
-    def stage(self, snapshot: str, bars: DataFrame, *, one_file_per_year: bool = False) -> DataFrame:
+    def stage(self, snapshot: str, bars: DataFrame) -> DataFrame:
         """Write the changed years of a snapshot; invisible until committed. Returns what was stored."""
-        return self.stage_observed(snapshot, bars, None, one_file_per_year=one_file_per_year)[0]
+        return self.stage_observed(snapshot, bars, None)[0]
 
-    def stage_observed(
-        self, snapshot: str, bars: DataFrame, rules: dict[str, Column] | None, *, one_file_per_year: bool = False
-    ) -> tuple[DataFrame, Observation | None]:
+    def stage_observed(self, snapshot: str, bars: DataFrame, rules: dict[str, Column] | None) -> tuple[DataFrame, Observation | None]:
         """The same, and how many of the written rows break each rule, counted during the write."""
         path = f"{self.root}/bars/snapshot={snapshot}"
-        seen = write_years(bars, path, one_file_per_year=one_file_per_year, mode="overwrite", rules=rules)
+        seen = write_years(bars, path, mode="overwrite", rules=rules)
         base = f"{self.root}/bars"
         return self.spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", base).parquet(path).drop("snapshot"), seen
 

@@ -41,3 +41,20 @@ def partition_counts(manifest: DataFrame) -> DataFrame:
     entries = F.try_variant_get(F.col("manifest"), "$.partition_row_counts", "map<string,variant>")
     n = F.when(F.schema_of_variant("c") == "BIGINT", F.try_variant_get(F.col("c"), "$", "bigint"))
     return manifest.select(F.explode(entries).alias("year", "c")).select("year", n.alias("n"))
+
+
+def part_rows(manifest: DataFrame) -> DataFrame:
+    """(key, n, local_path, size_bytes, sha256) of the parts of years that are stored in several files; n counts from 0."""
+    entries = F.try_variant_get(F.col("manifest"), "$.partition_files", "map<string,array<variant>>")
+    size = F.try_variant_get(F.col("p"), "$.size_bytes", "variant")
+    return (
+        manifest.select(F.explode(entries).alias("key", "listed"))
+        .select("key", F.posexplode("listed").alias("n", "p"))
+        .select(
+            "key",
+            F.col("n").cast("bigint").alias("n"),
+            variant_text(F.col("p"), "$.local_path").alias("local_path"),
+            F.when(F.schema_of_variant(size) == "BIGINT", F.try_variant_get(size, "$", "bigint")).alias("size_bytes"),
+            F.lower(variant_text(F.col("p"), "$.sha256")).alias("sha256"),
+        )
+    )

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barlake.errors import IncompleteError
-from barlake.operators.inventory import update_report_violations
+from barlake.operators.inventory import asset_files, reconcile, update_report_violations
 from barlake.operators.reports import single
 from barlake.plans.accept import accept_dataset
 from barlake.plans.backfill import backfill, export_dataset
@@ -23,9 +23,10 @@ from barlake.plans.universe import (
     validate_universe,
 )
 from barlake.session import cut, scratch
+from barlake.sinks.layout import publish_years
 from barlake.sinks.snapshots import BarStore
 from barlake.sources.directory import raw_record_count
-from barlake.sources.manifest import asset_rows, read_manifest
+from barlake.sources.manifest import asset_rows, part_rows, read_manifest
 from barlake.streaming.refresh_stream import bar_stream, refresh_stream, split_late
 from barlake.workloads import inputs as I
 from barlake.workloads import securities as WSec
@@ -268,7 +269,7 @@ def exported(spark, sf):
     def write(path):
         universe = I.bars(spark, sf).groupBy("ticker").agg(F.min(F.substring("ticker", 2, 20).cast("bigint")).alias("ord"))
         store = BarStore(spark, f"{path}-store")
-        backfill(store, universe, I.bars(spark, sf), no_attempts(spark, universe), DATA_START, dt.date(2002, 1, 1), one_file_per_year=True)
+        backfill(store, universe, I.bars(spark, sf), no_attempts(spark, universe), DATA_START, dt.date(2002, 1, 1))
         export_dataset(store, path)
 
     return I.once(spark, sf, "exported", write)
@@ -298,8 +299,6 @@ def q8(spark, sf):
     root = exported(spark, sf)
 
     def write(path):
-        from barlake.sinks.layout import publish_years
-
         store = BarStore(spark, f"{root}-store")
         every = store.bars()
         publish_years(every.withColumn("close", F.when(F.col("year") >= 2000, F.col("close") * 2).otherwise(F.col("close"))), path)
@@ -307,6 +306,65 @@ def q8(spark, sf):
     return reconcile_copies(spark, f"{root}/manifest.json", I.once(spark, sf, "copy", write)).plan.select("key", "action")
 
 
+def rows_in_quarter_years(spark, sf):
+    """A file size that makes four files, or a few more, of every year."""
+    most = I.bars(spark, sf).groupBy(F.year("date").alias("year")).count().agg(F.max("count")).first()[0]
+    return max(1, -(-most // 4))
+
+
+def exported_in_parts(spark, sf):
+    def write(path):
+        export_dataset(BarStore(spark, f"{exported(spark, sf)}-store"), path, rows_per_file=rows_in_quarter_years(spark, sf))
+
+    return I.once(spark, sf, "exported-parts", write)
+
+
+@query(
+    "q7_accept_parts",
+    """SELECT (SELECT count(*) FROM bars) AS total_row_count, (SELECT count(DISTINCT ticker) FROM bars) AS successful_ticker_count,
+         (SELECT count(*) FROM bars WHERE date = DATE '2000-06-14') AS target_session_ticker_count, true AS in_parts""",
+)
+def q7_parts(spark, sf):
+    """A dataset of several files a year is accepted: order within and across files, digests, counts."""
+    root = exported_in_parts(spark, sf)
+    summary = accept_dataset(spark, root, all_tickers(spark, sf), dt.date(2000, 6, 14))
+    parts = part_rows(read_manifest(spark, f"{root}/manifest.json")).agg((F.count(F.lit(1)) >= 8).alias("in_parts"))
+    return single(summary.select("total_row_count", "successful_ticker_count", "target_session_ticker_count"), parts)
+
+
+@query(
+    "q8_reconcile_parts",
+    """SELECT CAST(year(date) AS VARCHAR) AS key, CASE WHEN year(date) = 2000 THEN 'download' ELSE 'unchanged' END AS action, CAST(0 AS BIGINT) AS obsolete
+       FROM bars GROUP BY year(date)""",
+)
+def q8_parts(spark, sf):
+    """A copy whose year 2000 is of other bars: only the parts of that year are to be fetched."""
+    root, rows = exported_in_parts(spark, sf), rows_in_quarter_years(spark, sf)
+
+    def write(path):
+        every = BarStore(spark, f"{exported(spark, sf)}-store").bars()
+        publish_years(every.withColumn("close", F.when(F.col("year") == 2000, F.col("close") * 2).otherwise(F.col("close"))), path, rows_per_file=rows)
+
+    found = reconcile_copies(spark, f"{root}/manifest.json", I.once(spark, sf, "copy-parts", write))
+    obsolete = found.names.agg(F.count_if(F.col("state") == "obsolete").alias("obsolete"))
+    years = found.plan.where(F.col("key").rlike("^[0-9]+$"))
+    return years.select("key", "action").distinct().join(obsolete, F.lit(True))
+
+
+@query(
+    "j13_part_reconciliation",
+    """SELECT CAST(year(date) AS VARCHAR) AS key, CASE WHEN year(date) = 1999 THEN 1 ELSE 0 END AS damaged FROM bars GROUP BY year(date)""",
+)
+def j13_parts(spark, sf):
+    """One part of a year is damaged in a copy's inventory: that part alone is to be fetched."""
+    manifest = read_manifest(spark, f"{exported_in_parts(spark, sf)}/manifest.json")
+    files = asset_files(asset_rows(manifest), part_rows(manifest))
+    hit = F.col("local_path") == "daily/year=1999/part-00001.parquet"
+    copy = files.select("local_path", "size_bytes", F.when(hit, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    plan = reconcile(files, copy).where(F.col("key").rlike("^[0-9]+$"))
+    return plan.groupBy("key").agg(F.count_if(F.col("action") == "download").cast("int").alias("damaged"))
+
+
 def streamed(spark, sf):
     """The event users' events streamed into a store, twice, from the table's own files."""
 

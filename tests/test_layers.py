@@ -224,3 +224,62 @@ def test_blocks_meet_in_order_and_need_no_python(spark, folder, monkeypatch):
     ):
         bars(spark, *spoilt).coalesce(1).write.parquet(f"{folder}/{label}/year=2024")
         assert {r.rule for r in order_violations(SF.key_runs(spark, f"{folder}/{label}")).collect()} == rule
+
+
+def test_years_of_several_files_are_published_and_checked(spark, tmp_path):
+    import json
+    import shutil
+
+    from barlake.errors import ManifestError
+    from barlake.operators import inventory as N
+    from barlake.plans.accept import accept_dataset
+    from barlake.plans.backfill import backfill, export_dataset
+    from barlake.plans.reconcile import reconcile_copies
+    from barlake.schema import ATTEMPT_SCHEMA
+    from barlake.sources import manifest as SM
+
+    rows = many(spark, 40, 10).unionByName(bars(spark, ("2025-01-02", "T001", 3)))
+    universe = rows.groupBy("ticker").agg(F.min(F.substring("ticker", 2, 9).cast("bigint")).alias("ord"))
+    log = spark.createDataFrame([], ATTEMPT_SCHEMA)
+    store = BarStore(spark, f"{tmp_path}/s")
+    backfill(store, universe, rows.withColumn("volume", F.col("volume").cast("double")), log, dt.date(2024, 1, 1), dt.date(2025, 2, 1))
+    root = f"{tmp_path}/data"
+    export_dataset(store, root, rows_per_file=100)
+    names = sorted(p.name for p in Path(f"{root}/daily/year=2024").glob("*.parquet"))
+    assert names == [f"part-{k:05d}.parquet" for k in range(len(names))] and len(names) >= 4
+    assert [p.name for p in Path(f"{root}/daily/year=2025").glob("*.parquet")] == ["prices.parquet"]
+    lows = [spark.read.parquet(f"{root}/daily/year=2024/{n}").agg(F.min("date"), F.max("date")).first() for n in names]
+    assert all(a[1] <= b[0] for a, b in zip(lows, lows[1:]))
+    assert accept_dataset(spark, root, universe).first().total_row_count == 401
+
+    manifest = SM.read_manifest(spark, f"{root}/manifest.json")
+    parts = {r.local_path: r for r in SM.part_rows(manifest).collect()}
+    lines = [f"{p} {parts[p].size_bytes} {parts[p].sha256}" for p in sorted(parts)]
+    digest = hashlib.sha256(hashlib.sha256("\n".join(lines).encode()).hexdigest().encode()).hexdigest()
+    year = SM.asset_rows(manifest).where("key = '2024'").first()
+    assert (year.local_path, year.sha256, year.size_bytes) == ("daily/year=2024", digest, sum(r.size_bytes for r in parts.values()))
+
+    copy = shutil.copytree(root, f"{tmp_path}/copy")
+    target = Path(f"{copy}/daily/year=2024/part-00001.parquet")
+    target.write_bytes(target.read_bytes()[:-1] + b"x")
+    shutil.copy(target, f"{copy}/daily/year=2024/part-00099.parquet")
+    found = reconcile_copies(spark, f"{root}/manifest.json", copy)
+    assert [r.local_path for r in found.plan.where("action = 'download'").collect()] == ["daily/year=2024/part-00001.parquet"]
+    assert [(r.local_path, r.state) for r in found.names.collect()] == [("daily/year=2024/part-00099.parquet", "obsolete")]
+
+    sound = json.loads(Path(f"{root}/manifest.json").read_text())
+    for spoil, rule in (
+        (lambda m: m["partition_files"]["2024"].reverse(), "part_name"),
+        (lambda m: m["partition_files"]["2024"][0].update(size_bytes=1), "part_tree"),
+        (lambda m: m["partition_files"].pop("2024"), "part_tree"),
+        (lambda m: m["partition_files"]["2024"][0].update(sha256="q"), "part_digest_format"),
+    ):
+        text = json.loads(json.dumps(sound))
+        spoil(text)
+        m = SM.parse_manifest(spark.createDataFrame([(json.dumps(text),)], "value string"))
+        assert rule in {r.rule for r in N.part_violations(SM.asset_rows(m), SM.part_rows(m)).collect()}
+    Path(f"{copy}/manifest.json").write_text(json.dumps(text))
+    for crc in Path(copy).rglob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ManifestError, match="part_"):
+        accept_dataset(spark, copy, universe)

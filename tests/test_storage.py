@@ -57,12 +57,12 @@ def sessions(spark):
 @pytest.fixture
 def store(spark, folder, universe):
     s = BarStore(spark, f"{folder}/store")
-    backfill(s, universe, raw(spark, *START), log(spark, "AAA", "BBB"), d("2016-01-01"), d("2026-01-03"), one_file_per_year=True)
+    backfill(s, universe, raw(spark, *START), log(spark, "AAA", "BBB"), d("2016-01-01"), d("2026-01-03"))
     return s
 
 
 def test_year_files(spark, folder):
-    write_years(bar(spark, *START), f"{folder}/d", one_file_per_year=True)
+    write_years(bar(spark, *START), f"{folder}/d")
     assert SP.read_years(spark, f"{folder}/d", [2026]).count() == 2
     plan = SP.read_window(spark, f"{folder}/d", d("2026-01-01"), d("2026-02-01"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(date)" in plan
@@ -194,7 +194,7 @@ def exported(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("published")
     s = BarStore(spark, f"{folder}/store")
     two = spark.createDataFrame([(0, "AAA"), (1, "BBB")], "ord long, ticker string")
-    backfill(s, two, raw(spark, *START), log(spark, "AAA", "BBB"), d("2016-01-01"), d("2026-01-03"), one_file_per_year=True)
+    backfill(s, two, raw(spark, *START), log(spark, "AAA", "BBB"), d("2016-01-01"), d("2026-01-03"))
     export_dataset(s, f"{folder}/data")
     return f"{folder}/data"
 
