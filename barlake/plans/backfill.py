@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 
 from barlake.errors import DataQualityError, IncompleteError
 from barlake.functions.fingerprint import universe_identity
-from barlake.operators.coverage import build_coverage, failure_report, resolve_status, status_counts
+from barlake.operators.coverage import coverage_of_ranges, failure_report, resolve_status, status_counts
 from barlake.operators.gates import enforce, gather
 from barlake.operators.layers import FILE_SCHEMA, year_facts
+from barlake.operators.partials import partials, ranges_of, years_of
 from barlake.operators.presence import presence
 from barlake.operators.quality import count_mismatches, stored_rules, stored_violations, unexpected_tickers
-from barlake.operators.reports import manifest_statistics, per_year
+from barlake.operators.reports import manifest_statistics
 from barlake.plans.clean import clean_bars
 from barlake.session import cut
 from barlake.sinks.bars import observed_violations
@@ -57,7 +58,9 @@ def backfill(
 ) -> Backfilled:
     """universe(ord, ticker); raw bars as staged; attempts as in the attempt log.
 
-    The folded table is written once and everything else reads that. Nothing is visible to
+    The folded table is written once and read three times: for its rows per ticker and year, from which
+    coverage and statistics follow, for the days of each ticker, and for the stored files. The files are read once for their order; their value
+    rules are counted as they are written. Nothing is visible to
     readers before the final commit.
     """
     snapshot = new_snapshot_id("backfill")
@@ -68,9 +71,10 @@ def backfill(
     except DataQualityError:
         store.save_diagnostics(snapshot, "conflicts", cleaned.conflicts)
         raise
-    enforce(unexpected_tickers(cleaned.bars, universe))
-    state = cut(resolve_status(attempts, universe, cleaned.bars, cleaned.outcomes))
-    coverage = cut(build_coverage(universe, cleaned.bars, state))
+    held = cut(partials(cleaned.bars))
+    enforce(unexpected_tickers(held, universe))
+    state = cut(resolve_status(attempts, universe, held, cleaned.outcomes))
+    coverage = cut(coverage_of_ranges(universe, ranges_of(held), state))
     failures = failure_report(coverage, state)
     try:
         gate_statuses(coverage, allow_no_data)
@@ -83,7 +87,7 @@ def backfill(
     runs, footers = cut(key_runs(store.spark, path)), cut(stored_codecs(store.spark, path))
     listed = pinned.stage_files(snapshot, [], runs)
     years = cut(year_facts(store.spark.createDataFrame([tuple(f) for f in listed], FILE_SCHEMA)))
-    expected = per_year(cleaned.bars).select("year", "row_count")
+    expected = years_of(held).select("year", "row_count")
     observed = observed_violations(store.spark, seen)
     enforce(gather(stored_violations(stored, runs, footers, start, end, observed=observed), count_mismatches(years, expected)))
     invalid, duplicate = cleaned.counts()
@@ -92,7 +96,7 @@ def backfill(
         years, coverage, universe_sha256=identity.sha, universe_count=identity.n,
         start=start, end=end, invalid_rows=invalid, duplicate_rows=duplicate,
     )
-    tables = {"coverage": coverage, "failures": failures, "manifest": manifest, "presence": presence(cleaned.bars)}
+    tables = {"coverage": coverage, "failures": failures, "manifest": manifest, "presence": presence(cleaned.bars), "partials": held}
     for name, table in tables.items():
         store.stage_table(snapshot, name, table)
     counts = {r.year: r.row_count for r in years.collect()}  # one row per year

@@ -15,11 +15,13 @@ from barlake.operators.coverage import (
     missing_at_target,
     missing_report,
     refresh_coverage,
+    refreshed_of_ranges,
     resolve_status,
     target_coverage,
 )
 from barlake.operators.gates import counted, enforce, gather, sampled
 from barlake.operators.layers import FILE_SCHEMA, Split, touched, year_facts
+from barlake.operators.partials import ranges_of, updated
 from barlake.operators.presence import active_on, presence
 from barlake.operators.presence import merged as merged_presence
 from barlake.operators.quality import coverage_gate, stored_rules, stored_violations
@@ -136,7 +138,12 @@ def refresh(
         store.save_diagnostics(run, "update_missing", missing)
         store.save_diagnostics(run, "coverage_ratio", ratio)
         raise
-    coverage = cut(refresh_coverage(universe, store.table("coverage"), old, merged, state))
+    held = store.tables()
+    if "partials" in held:
+        parts = cut(updated(store.table("partials"), old, merged))
+        coverage = cut(refreshed_of_ranges(universe, store.table("coverage"), ranges_of(parts), state))
+    else:
+        coverage = cut(refresh_coverage(universe, store.table("coverage"), old, merged, state))
     enforce(counted(coverage, {"negative_row_count": F.col("row_count") < 0}), RefreshError)
 
     first_day = dt.date(start.year, 1, 1)
@@ -163,7 +170,9 @@ def refresh(
         "coverage": coverage, "failures": store.table("failures"), "manifest": with_last_update(statistics, report),
         "update_missing": missing, "update_report": report,
     }
-    if "presence" in store.tables():
+    if "partials" in held:
+        tables["partials"] = parts
+    if "presence" in held:
         tables["presence"] = merged_presence(before, presence(cleaned.bars))
     for name, table in tables.items():
         store.stage_table(run, name, table)

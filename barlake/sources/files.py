@@ -16,14 +16,14 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     Files are streamed by tasks in ranges of fixed size, so a file of any length is hashed in bounded memory. A
     file system that only Spark's own readers can open is read by `inventory_rows`.
     """
-    qualified = _qualified(spark, root)
-    if not reachable(qualified):
+    uri = qualified(spark, root)
+    if not reachable(uri):
         return inventory_rows(spark, root)
     spark.dataSource.register(FileDigests)
-    return spark.read.format(FileDigests.name()).load(qualified)
+    return spark.read.format(FileDigests.name()).load(uri)
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
+def qualified(spark: SparkSession, root: str) -> str:
     """The folder with the scheme of the default file system, which Spark's writers use for a bare path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -54,11 +54,11 @@ def stored_codecs(spark: SparkSession, root: str) -> DataFrame:
     file = F.col("_metadata.file_path")
     counts = spark.read.parquet(root).groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
     named = F.nullif(F.upper(F.regexp_extract("file", NAMED_CODEC, 1)), F.lit(""))
-    qualified = _qualified(spark, root)
-    if not reachable(qualified):
+    uri = qualified(spark, root)
+    if not reachable(uri):
         return counts.select("file", named.alias("codec"), "row_count")
     spark.dataSource.register(ParquetCodecs)
-    footers = spark.read.format(ParquetCodecs.name()).load(qualified).select(_plain_uri("path").alias("path"), F.col("codec").alias("of_footer"))
+    footers = spark.read.format(ParquetCodecs.name()).load(uri).select(_plain_uri("path").alias("path"), F.col("codec").alias("of_footer"))
     found = counts.join(footers, _plain_uri("file") == F.col("path"), "left")
     return found.select("file", F.coalesce(named, "of_footer").alias("codec"), "row_count")
 

@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from barlake.operators.bars import duplicates_removed, fold_raw, folded_bars
-from barlake.operators.coverage import refresh_coverage
+from barlake.operators.coverage import refresh_coverage, refreshed_of_ranges
 from barlake.operators.layers import touched
+from barlake.operators.partials import ranges_of, updated
 from barlake.operators.presence import merged, presence
 from barlake.operators.reports import manifest_statistics, per_year
 from barlake.plans.refresh import with_carried_years
@@ -83,7 +84,11 @@ def apply_batch(store: BarStore, batch: DataFrame, batch_id: int, refresh_start:
         prior = store.table("coverage")
         none = F.lit(0).cast("bigint").alias("attempt_count")
         state = prior.select("ticker", "status", none, F.col("last_error").alias("error_message"))
-        tables["coverage"] = cut(refresh_coverage(known, prior, replaced, new, state))
+        if "partials" in held:
+            tables["partials"] = cut(updated(store.table("partials"), replaced, new))
+            tables["coverage"] = cut(refreshed_of_ranges(known, prior, ranges_of(tables["partials"]), state))
+        else:
+            tables["coverage"] = cut(refresh_coverage(known, prior, replaced, new, state))
     if "coverage" in held and "manifest" in held:
         was = store.table("manifest").first()
         rows = folded.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid")).first()

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barlake.errors import CommitError, RefreshError
+from barlake.operators import partials as T
 from barlake.operators import presence as P
 from barlake.operators.quality import stored_rules
 from barlake.operators.reports import single
@@ -17,8 +18,11 @@ from barlake.plans.window import upsert_window
 from barlake.schema import BAR_COLUMNS
 from barlake.session import scratch
 from barlake.sinks.bars import observed_violations
+from barlake.sinks.layout import publish_years
 from barlake.sinks.reports import write_csv
 from barlake.sinks.snapshots import BarStore
+from barlake.sources.files import qualified, stored_codecs
+from barlake.sources.filestream import FileDigests
 from barlake.sources.prices import staged_violations
 from barlake.streaming.refresh_stream import apply_batch, bar_stream, refresh_stream
 from barlake.workloads import coverage as WC
@@ -280,3 +284,59 @@ def q6_states(spark, sf):
     """Status, attempts and last error of the refreshed store's coverage."""
     found = refreshed_store(spark, sf).table("coverage")
     return found.select("ticker", "status", "attempt_count", (F.col("last_error") == "").alias("last_run_succeeded"))
+
+
+def kept_partials(spark, sf):
+    """Rows and bounds per ticker and year of the old bars, and the same after the new bars were merged."""
+
+    def write(path):
+        T.partials(I.old_bars(spark, sf)).write.parquet(f"{path}/old")
+        replaced = I.old_bars(spark, sf).join(I.new_bars(spark, sf).select("date", "ticker"), ["date", "ticker"], "left_semi")
+        T.updated(spark.read.parquet(f"{path}/old"), replaced, I.new_bars(spark, sf)).write.parquet(f"{path}/new")
+
+    return spark.read.parquet(I.once(spark, sf, "partials", write) + "/new")
+
+
+KEYS_AFTER = "SELECT date, ticker FROM old_bars UNION SELECT date, ticker FROM new_bars"
+
+
+@query(
+    "a19_from_partials",
+    f"SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS row_count, min(date) AS min_date, max(date) AS max_date FROM ({KEYS_AFTER}) GROUP BY 1",
+)
+def a19_partials(spark, sf):
+    return T.years_of(kept_partials(spark, sf))
+
+
+@query(
+    "j7_coverage_from_partials",
+    f"SELECT ticker, min(date) AS first_date, max(date) AS last_date, count(*) AS row_count FROM ({KEYS_AFTER}) GROUP BY ticker",
+)
+def j7_partials(spark, sf):
+    return T.ranges_of(kept_partials(spark, sf))
+
+
+@query(
+    "s15_streamed_inventory",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS nation, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size_bytes,
+         sha256(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha256 FROM customer GROUP BY c_nationkey""",
+)
+def s15_streamed(spark, sf):
+    """The nations' files in ranges of 64 bytes, at most 1,000 bytes of files to a task."""
+
+    def write(path):
+        names = I.table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+        names.repartition("nation").sortWithinPartitions("nation", "value").write.partitionBy("nation").text(path)
+
+    root = I.once(spark, sf, "names", write)
+    spark.dataSource.register(FileDigests)
+    found = spark.read.format(FileDigests.name()).option("rangeBytes", 64).option("partitionBytes", 1000).load(qualified(spark, root))
+    return found.select(F.regexp_extract("local_path", r"nation=(\d+)", 1).alias("nation"), "size_bytes", "sha256")
+
+
+@query("s16_published_codecs", "SELECT CAST(year(date) AS VARCHAR) AS year, 'ZSTD' AS codec, count(*) AS row_count FROM bars GROUP BY 1")
+def s16_published(spark, sf):
+    """Codecs of published years, whose names do not tell them."""
+    path = I.once(spark, sf, "published", lambda p: publish_years(I.bars(spark, sf), p))
+    per = stored_codecs(spark, f"{path}/daily").groupBy(F.regexp_extract("file", r"year=(\d+)", 1).alias("year"))
+    return per.agg(F.max("codec").alias("codec"), F.sum("row_count").alias("row_count"))
