@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +54,13 @@ def stored_codecs(spark: SparkSession, root: str) -> DataFrame:
     is read from its footer, if tasks can open the file system. Rows are counted from the footers, no column is read.
     """
     file = F.col("_metadata.file_path")
-    counts = spark.read.parquet(root).groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
+    stored = spark.read.parquet(root)
+    counts = stored.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
     named = F.nullif(F.upper(F.regexp_extract("file", NAMED_CODEC, 1)), F.lit(""))
     uri = qualified(spark, root)
-    if not reachable(uri):
+    # the names alone tell whether a footer has to be read
+    told = all(re.search(NAMED_CODEC, f) for f in stored.inputFiles())
+    if told or not reachable(uri):
         return counts.select("file", named.alias("codec"), "row_count")
     spark.dataSource.register(ParquetCodecs)
     footers = spark.read.format(ParquetCodecs.name()).load(uri).select(_plain_uri("path").alias("path"), F.col("codec").alias("of_footer"))
