@@ -41,7 +41,7 @@ FORCED_COST = 64
 SHORT_SHARE = 32
 FORCED_STEP = 64
 SEGMENT = 1 << 19
-WORDS_HELD = 300_000
+WORDS_HELD = 400_000
 CHARS_AT_ONCE = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -55,7 +55,7 @@ _outer = ".,;:!?*%$#&()-\""
 class WordTokenizer:
     """Ids of whole texts, put together from the ids of their words, which no token crosses.
 
-    What is known of a word is kept. New words of letters, with their outer ASCII punctuation taken off, are
+    What is known of a word is kept; when the table is full, what the texts at hand use again stays. New words of letters, with their outer ASCII punctuation taken off, are
     tokenized in one call for many: each ends with the one token that has the word-end mark.
     """
 
@@ -71,10 +71,10 @@ class WordTokenizer:
         self.sentence_ends = np.array(sorted(i for t, i in vocabulary.items() if re.fullmatch(r"[^\w\s]*[.!?]+[^\w\s]*(</w>)?", t)), np.int64)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(words):  # a letter that lower-casing takes apart
             return self._encode(words)
@@ -94,8 +94,7 @@ class WordTokenizer:
         letters = [c for c in wanted if c not in self.cores]
         if letters:
             if len(self.cores) + len(letters) > WORDS_HELD:
-                self.cores.clear()
-                letters = list(wanted)
+                self.cores = {c: self.cores[c] for c in wanted if c in self.cores}
             self.cores.update(zip(letters, self._encode_letters(letters), strict=True))
         odd += list({tail for _, tail in cores.values() if tail and tail not in self.known})
         self.known.update(zip(odd, self._encode(odd), strict=True))
@@ -108,13 +107,22 @@ class WordTokenizer:
             seen = set().union(*words)
             new = [w for w in seen if w not in self.known]
             if len(self.known) + len(new) > WORDS_HELD:
-                self.known.clear()
-                new = list(seen)
+                self.known = {w: self.known[w] for w in seen if w in self.known}
             self._learn(new)
             for own in words:
                 yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4")
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer and what it knows; Python workers are used again by later tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def cut_points(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.ndarray, step: int = FORCED_STEP) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which the stream may be cut, 0 first and its length last, and the cost of each cut."""
     cost = np.full(len(ids) + 1, -1, np.int32)
@@ -192,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, segment: in
         return rows(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         buffer: list[np.ndarray] = []
         held: list[list[int]] = []
         size, sequence = 0, None
