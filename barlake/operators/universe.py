@@ -142,7 +142,7 @@ def evaluate(fields: DataFrame, directory: DataFrame, manual: DataFrame | None =
     )
 
 
-#: More than there can be input positions; a cap times this is below 10^38.
+#: More than there can be input positions, from 0; a cap times this is below 10^38.
 POSITIONS = Decimal(10**18)
 CANDIDATE_COLUMNS = ["company_name", "security_name", "yahoo_exchange", "listing_exchange", "quote_type"]
 
@@ -153,9 +153,9 @@ def best_per_ticker(kept: DataFrame) -> DataFrame:
     Cap and position are one number, so this is a hash aggregate of fixed width that reduces a ticker with any share
     of the rows map-side; the winners' texts are fetched by their unique positions.
     """
-    lead = F.col("market_cap").cast("decimal(19,0)") * F.lit(POSITIONS) + (F.lit(POSITIONS) - F.col("ord").cast("decimal(19,0)"))
+    lead = F.col("market_cap").cast("decimal(19,0)") * F.lit(POSITIONS) + (F.lit(POSITIONS - 1) - F.col("ord").cast("decimal(19,0)"))
     best = kept.groupBy("ticker").agg(F.max(lead.cast("decimal(38,0)")).alias("_lead"))
-    won = best.select((F.lit(POSITIONS) - F.col("_lead") % F.lit(POSITIONS)).cast("bigint").alias("ord"))
+    won = best.select((F.lit(POSITIONS - 1) - F.col("_lead") % F.lit(POSITIONS)).cast("bigint").alias("ord"))
     return kept.join(won, "ord", "left_semi").select("ord", "ticker", "market_cap", *CANDIDATE_COLUMNS)
 
 

@@ -141,12 +141,12 @@ def test_every_report_file_has_the_exact_header(spark, tmp_path):
 
 
 def test_best_record_is_one_hash_aggregate(spark):
-    rows = [(5, "A", 10), (3, "A", 10), (9, "A", 2**62), (2**40, "B", 1), (7, "A", 2**62)]
+    rows = [(5, "A", 10), (3, "A", 10), (9, "A", 2**62), (2**40, "B", 1), (7, "A", 2**62), (0, "C", 3), (1, "C", 3)]
     kept_rows = spark.createDataFrame(rows, "ord long, ticker string, market_cap long").selectExpr(
         "*", "'c' company_name", "'s' security_name", "'n' yahoo_exchange", "'l' listing_exchange", "'q' quote_type"
     )
     best = best_per_ticker(kept_rows)
-    assert sorted((r.ticker, r.ord, r.market_cap) for r in best.collect()) == [("A", 7, 2**62), ("B", 2**40, 1)]
+    assert sorted((r.ticker, r.ord, r.market_cap) for r in best.collect()) == [("A", 7, 2**62), ("B", 2**40, 1), ("C", 0, 3)]
     assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
 
 
