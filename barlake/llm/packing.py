@@ -26,9 +26,11 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,75 +44,117 @@ SHORT_SHARE = 32
 FORCED_STEP = 64
 SEGMENT = 1 << 19
 WORDS_HELD = 400_000
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 8_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_blank = re.compile("[ \t\n\r\f\v]+")
-#: Control characters that str.split takes for white space and the tokenizer does not.
-_separators = ("\x1c", "\x1d", "\x1e", "\x1f")
 _outer = ".,;:!?*%$#&()-\""
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] one after another."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
 class WordTokenizer:
     """Ids of whole texts, put together from the ids of their words, which no token crosses.
 
-    What is known of a word is kept; when the table is full, what the texts at hand use again stays. New words of letters, with their outer ASCII punctuation taken off, are
-    tokenized in one call for many: each ends with the one token that has the word-end mark.
+    Texts are split and their words told apart column by column. A word of letters is looked up without its outer ASCII
+    punctuation, which is looked up by itself; any other word as it is. What is known is kept; when the table
+    is full, what the texts at hand use again stays. New words of letters are tokenized in one call for many: each ends with the
+    one token that has the word-end mark.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.sentence_ends = np.array(sorted(i for t, i in vocabulary.items() if re.fullmatch(r"[^\w\s]*[.!?]+[^\w\s]*(</w>)?", t)), np.int64)
+        #: Row of each known string; a row is a run of `flat`.
+        self.row: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has."""
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in own for i in ids], np.uint32), np.fromiter(map(len, own), np.int64, len(own))
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(words):  # a letter that lower-casing takes apart
             return self._encode(words)
-        raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        cores: dict[str, tuple[str, str]] = {}
-        odd: list[str] = []
-        for w in new:
-            core = w.rstrip(_outer)
-            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-                cores[w] = core.lower() if core.isascii() else core, w[len(core) :]
-            else:
-                odd.append(w)
-        wanted = {c for c, _ in cores.values()}
-        letters = [c for c in wanted if c not in self.cores]
-        if letters:
-            if len(self.cores) + len(letters) > WORDS_HELD:
-                self.cores = {c: self.cores[c] for c in wanted if c in self.cores}
-            self.cores.update(zip(letters, self._encode_letters(letters), strict=True))
-        odd += list({tail for _, tail in cores.values() if tail and tail not in self.known})
-        self.known.update(zip(odd, self._encode(odd), strict=True))
-        self.known.update((w, self.cores[c] + self.known[tail] if tail else self.cores[c]) for w, (c, tail) in cores.items())
+        return ids, np.diff(ends, prepend=0)
+
+    def _rows(self, wanted: list[str], letters: np.ndarray) -> np.ndarray:
+        """The table's row of each of the distinct strings; unknown ones are tokenized, those of letters together."""
+        found = np.fromiter(map(self.row.get, wanted, repeat(-1)), np.int64, len(wanted))
+        if len(self.row) + int((found < 0).sum()) > WORDS_HELD:
+            again = np.flatnonzero(found > 0)
+            old = found[again]
+            self.row = {"": 0} | {wanted[k]: n for n, k in enumerate(again.tolist(), 1)}
+            self.flat = _gathered(self.flat, self.starts[old], self.sizes[old])
+            self.sizes = np.r_[0, self.sizes[old]]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            found[again] = np.arange(1, len(again) + 1)
+        for which, encode in ((letters, self._encode_letters), (~letters, self._encode)):
+            new = np.flatnonzero((found < 0) & which)
+            if len(new):
+                words = [wanted[k] for k in new.tolist()]
+                ids, sizes = encode(words)
+                found[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+                self.row.update(zip(words, found[new].tolist(), strict=True))
+                self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+                self.flat, self.sizes = np.r_[self.flat, ids], np.r_[self.sizes, sizes]
+        return found
+
+    def _parts(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Two rows for each of the distinct words: what is looked up first, and what follows it."""
+        core = pc.ascii_rtrim(words, characters=_outer)
+        ascii_ = pc.string_is_ascii(core).to_numpy(zero_copy_only=False)
+        letters = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False).copy()
+        other = np.flatnonzero(letters & ~ascii_)
+        letters[other] = [c.lower().isalpha() for c in core.take(pa.array(other)).to_pylist()]
+        mask = pa.array(letters)
+        keys = pc.if_else(mask, pc.if_else(pa.array(ascii_), pc.ascii_lower(core), core), words).dictionary_encode()
+        # A word that is not all letters keeps its punctuation, a word of letters has none: no key is both.
+        key_of, is_letters = keys.indices.to_numpy(), np.zeros(len(keys.dictionary), bool)
+        is_letters[key_of] = letters
+        kept = pc.binary_length(core).to_numpy().astype(np.int64)
+        rest = pc.binary_length(words).to_numpy() - kept
+        tailed = np.flatnonzero(letters & (rest > 0))
+        offsets, data = (np.frombuffer(x, t) if x else np.zeros(0, t) for x, t in zip(words.buffers()[1:], (np.int32, np.uint8), strict=True))
+        tail_bytes = _gathered(data, offsets[words.offset :][tailed] + kept[tailed], rest[tailed])
+        tail_ends = np.r_[0, np.cumsum(rest[tailed])].astype(np.int32)
+        tails = pa.StringArray.from_buffers(len(tailed), pa.py_buffer(tail_ends), pa.py_buffer(tail_bytes)).dictionary_encode()
+        # A tail can be a word as well; it gets one row only.
+        place = pc.index_in(tails.dictionary, value_set=keys.dictionary)
+        missing = tails.dictionary.filter(place.is_null())
+        of_tail = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        of_tail[of_tail < 0] = len(keys.dictionary) + np.arange(len(missing))
+        row = self._rows(keys.dictionary.to_pylist() + missing.to_pylist(), np.r_[is_letters, np.zeros(len(missing), bool)])
+        tail = np.zeros(len(words), np.int64)
+        tail[tailed] = row[of_tail[tails.indices.to_numpy()]]
+        return row[key_of], tail
 
     def ids(self, several: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; words are learned for some `CHARS_AT_ONCE` characters at a time."""
         for lo, hi in slices(map(len, several), CHARS_AT_ONCE):
-            words = [_blank.split(t) if any(c in t for c in _separators) else t.split() for t in several[lo:hi]]
-            seen = set().union(*words)
-            new = [w for w in seen if w not in self.known]
-            if len(self.known) + len(new) > WORDS_HELD:
-                self.known = {w: self.known[w] for w in seen if w in self.known}
-            self._learn(new)
-            for own in words:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4")
+            split = pc.ascii_split_whitespace(pa.array(several[lo:hi], pa.string()))
+            words = split.values.dictionary_encode()
+            first, second = self._parts(words.dictionary)
+            both = np.c_[first, second].ravel()
+            flat = _gathered(self.flat, self.starts[both], self.sizes[both])
+            sizes = self.sizes[first] + self.sizes[second]
+            at = words.indices.to_numpy()
+            ends = np.r_[0, np.cumsum(sizes[at])][split.offsets.to_numpy()]
+            stream = _gathered(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+            for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                yield stream[a:b]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
