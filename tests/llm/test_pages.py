@@ -3,6 +3,7 @@ import html
 import re
 
 import numpy as np
+import pytest
 
 from barlake.llm import html_hosts, warc
 from edge_rows import CLASHES
@@ -34,6 +35,31 @@ def test_structure():
     assert html_hosts.parsed("")[0] == [] and html_hosts.parsed("a < b & c")[0] == ["a < b & c"]
 
 
+@pytest.mark.parametrize(
+    "inside",
+    ["<svg width=1/>", "<svg/>", "<select><option>a<option>b", "<template>", "<object data=x>", "<select>" * 3000 + "</select>", "<svg><path d=x></svg>", "<template><article>t</article></template>"],
+)
+def test_elements_left_out_keep_the_text_behind_them(inside):
+    page = f"<html><body><nav>menu</nav><article><p>First part.</p>{inside}<p>Last part.</p></article><footer>f</footer></body></html>"
+    assert html_hosts.parsed(page)[0] == ["First part.", "Last part."]
+
+
+def test_formulas_and_deep_elements_stay():
+    page = "<article><p>First <math><mi>x</mi><annotation>tex</annotation></math>.</p>%s<p>Last part.</p></article><nav>menu</nav>"
+    assert html_hosts.parsed(page % "")[0] == ["First x .", "Last part."]
+    assert html_hosts.parsed(page % ("<div>" * 900 + "deep" + "</div>" * 900))[0] == ["First x .", "deep", "Last part."]
+    assert html_hosts.parsed(page % ("<div>" * 900 + "<nav>deep</nav>" + "</div>" * 900))[0] == ["First x .", "Last part."]
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="page has-sidebar">%s</div>', "<form action=x>%s</form>", '<div id="with-comments"><form>%s</form></div>'])
+def test_wrappers_of_the_article_are_no_chrome(wrapper):
+    article = '<nav>menu</nav><article class="post comments-open"><p>Text.</p><div class="share-bar">share</div><div class="comments"><article>reply</article></div></article>'
+    page = wrapper % article + '<div class="related-posts"><p>other</p></div>'
+    assert html_hosts.parsed(page)[0] == ["Text."]
+    assert html_hosts.parsed('<main><p>Text.</p></main><div class="related-posts"><article>teaser</article></div>')[0] == ["Text."]
+    assert html_hosts.parsed(wrapper % "<p>Only text.</p><nav>menu</nav>")[0] == ["Only text."]
+
+
 def test_suffix_ranks_equal_sorted_suffixes():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 200)
