@@ -55,5 +55,22 @@ def mix64(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, key: Column, size: int) -> DataFrame:
-    """At most `size` rows, those with the smallest key hash: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(key), key).limit(size)
+    """At most `size` distinct rows, those with the smallest key hash: the same rows whatever the partitioning."""
+    return df.distinct().orderBy(F.xxhash64(key), key).limit(size)
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, the other columns of chosen and text of each chosen doc_id: one row each, its smallest text."""
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy(*chosen.columns).agg(F.min("text").alias("text"))
+
+
+def free_names(taken: Iterable[str], wanted: Iterable[str]) -> list[str]:
+    """The wanted names, each with as many underscores behind it as make it differ from all taken ones."""
+    used = {n.lower() for n in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out

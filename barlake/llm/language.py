@@ -116,7 +116,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, most_words: int = WORDS, most_grams: int = GRAMS) -> LanguageModel:
     """The model of rows (doc_id, text, lang)."""
-    chosen = bounded_sample(labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang"), F.col("doc_id"), sample).distinct()
+    chosen = bounded_sample(labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang"), F.col("doc_id"), sample)
     own = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     schema = pa.schema([("lang", pa.string()), ("gram", pa.bool_()), ("item", pa.string()), ("n", pa.int64())])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import bounded_sample, rows, table, texts
+from barlake.llm.common import bounded_sample, rows, sampled_texts, table, texts
 
 SAMPLE = 300
 COPIES = 60
@@ -213,8 +213,8 @@ FOUND = "doc_id long, family string, start long, end long, probability double, s
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """A row for each licence paragraph: doc_id, family, span in code points, probability, similarity, confirmed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = bounded_sample(docs.select("doc_id"), F.col("doc_id"), sample).distinct()
-    sampled = docs.join(F.broadcast(chosen), "doc_id").toArrow().column("text").to_pylist()
+    chosen = bounded_sample(docs.select("doc_id"), F.col("doc_id"), sample)
+    sampled = sampled_texts(docs, chosen).toArrow().column("text").to_pylist()
     model = train(sorted(w for t in sampled for p in (t or "").split("\n") if (w := words_of(p))))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]

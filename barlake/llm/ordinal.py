@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.llm.common import bounded_sample, fixed_hash, rows, table, texts
+from barlake.llm.common import bounded_sample, fixed_hash, rows, sampled_texts, table, texts
 
 BUCKETS = 1 << 18
 SAMPLE = 16_000
@@ -181,7 +181,7 @@ def grades(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPLE) -> OrdinalModel:
     """The model of at most `sample` rated documents; their features are taken by Spark tasks."""
     chosen = bounded_sample(graded.select("doc_id", "grade"), F.col("doc_id"), sample)
-    rated = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    rated = sampled_texts(docs, chosen).select("grade", "text")
     schema = pa.schema([("grade", pa.int32()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,17 +197,23 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPL
     return fit_rows([found[i] for i in order], got.column("grade").to_numpy()[order].astype(np.int64) if found else np.empty(0, np.int64), levels)
 
 
-def score(docs: DataFrame, model: OrdinalModel, grade: int = 2) -> DataFrame:
-    """docs with `score`, `expected_grade` and `tail`, the probability of at least the grade."""
-    docs = docs.drop("score", "expected_grade", "tail")
-    out = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("score", "expected_grade", "tail"))])
+ADDED = ("score", "expected_grade", "tail")
+
+
+def score(docs: DataFrame, model: OrdinalModel, grade: int = 2, names: Sequence[str] = ADDED) -> DataFrame:
+    """docs with the score, the expected grade and the probability of at least the grade, under these names.
+
+    Columns of docs that have one of the names are replaced.
+    """
+    docs = docs.drop(*names)
+    out = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = Features(), model.dense()
         for b in batches:
             z = np.array([weights[features.of(t)].sum() for t in texts(b, "text")], float)
             added = (z, model.expected(z), model.tail(z, grade))
-            fields = [*b.schema, *(pa.field(n, pa.float64()) for n in ("score", "expected_grade", "tail"))]
+            fields = [*b.schema, *(pa.field(n, pa.float64()) for n in names)]
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, added)], schema=pa.schema(fields))
 
     return docs.mapInArrow(run, out)

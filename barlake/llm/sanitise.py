@@ -5,10 +5,11 @@ protected entities. What stands around an entity can reveal it even when the ent
 corpus is asked how strongly: with df(t) the documents that hold term t, df(t, e) those that hold t within
 `REACH` words of entity e, and df(e) those that hold e, of N documents,
 
-    P(e | t) = df(t, e) / df(t)          disclosure of t about e = log2( P(e | t) / (df(e) / N) ) bits
+    P(e | t) = df(t, e) / df(t)          base rate b = df(e) / N          disclosure = log2( P(e | t) / b ) bits
 
-A term is a disclosing one for e if P(e | t) is at least `LEAST_SHARE`, the disclosure at least `LEAST_BITS`, and
-the pair occurs in at least two documents and two different surroundings, so that copies are no evidence. Where it
+A term is a disclosing one for e if P(e | t) is at least `LEAST_SHARE`, no chance product of the base rate, that
+is (P(e | t) - b) / sqrt(b (1 - b) / df(t)) at least `LEAST_DEVIATIONS`, which holds for rare entities and for one in a third of all rows
+alike, whatever the number of rows, and if the pair occurs in at least two documents and two different surroundings, so that copies are no evidence. Where it
 stands within reach of e it becomes a span of kind `term`; outside it discloses nothing and stays. `masked`
 generalises spans to the name of their kind.
 
@@ -30,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake import session
-from barlake.llm.common import fixed_hash, rows, table, texts
+from barlake.llm.common import fixed_hash, free_names, rows, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 8
 LEAST_SHARE = 0.5
-LEAST_BITS = 6.0
+LEAST_DEVIATIONS = 4.0
 #: A worker hands its word counts on when it holds this many.
 TERMS_HELD = 200_000
 
@@ -168,15 +169,17 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, share: float = LEAST_SHARE, deviations: float = LEAST_DEVIATIONS) -> DataFrame:
     """entity and term of each pair whose disclosure is over the thresholds, with the figures."""
     near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.around")
     pairs = near.groupBy("entity", "term", "row").agg(F.min("around").alias("lo"), F.max("around").alias("hi"), F.count(F.lit(1)).alias("times"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df"))
     joined = pairs.filter("lo <> hi AND together > 1").join(term_counts(docs), "term").join(entities, "entity")
-    shared = F.least(F.lit(1.0), F.col("together") / F.col("df"))
-    return joined.withColumn("share", shared).withColumn("bits", F.log2(F.col("share") * docs.count() / F.col("entity_df"))).filter((F.col("share") >= share) & (F.col("bits") >= bits))
+    rate = F.col("entity_df") / F.greatest(F.lit(docs.count()), F.col("entity_df") + 1)
+    joined = joined.withColumn("share", F.least(F.lit(1.0), F.col("together") / F.col("df"))).withColumn("bits", F.log2(F.col("share") / rate))
+    above = (F.col("share") - rate) / F.sqrt(rate * (1 - rate) / F.col("df"))
+    return joined.filter((F.col("share") >= share) & (above >= deviations))
 
 
 def _term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -191,17 +194,18 @@ def _joined(base: Column, terms: Column) -> Column:
     return F.concat_ws(",", F.when(base != "", base), F.when(F.size(terms) > 0, listed))
 
 
-def spans(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS) -> DataFrame:
+def spans(docs: DataFrame, share: float = LEAST_SHARE, deviations: float = LEAST_DEVIATIONS) -> DataFrame:
     """doc_id, row, counts and hash of the base spans, and `spans`, all of them as kind:start:end."""
     found = session.cut(scanned(docs))
-    terms = _term_spans(found, disclosing(found, docs, share, bits))
+    terms = _term_spans(found, disclosing(found, docs, share, deviations))
     return found.drop("near").join(terms, "row", "left").withColumn("spans", _joined(F.col("base"), F.col("terms"))).drop("terms", "base")
 
 
-def masked(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS) -> DataFrame:
+def masked(docs: DataFrame, share: float = LEAST_SHARE, deviations: float = LEAST_DEVIATIONS) -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets; n_chars, if there, follows."""
-    held = spans(docs, share, bits).filter("spans <> ''").dropDuplicates(["row"]).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_row", _row()).join(held, "_row", "left").drop("_row")
+    row, marks_ = free_names(docs.columns, ("row", "marks"))
+    held = spans(docs, share, deviations).filter("spans <> ''").dropDuplicates(["row"]).select(F.col("row").alias(row), F.col("spans").alias(marks_))
+    joined = docs.withColumn(row, _row()).join(held, row, "left").drop(row)
     names = docs.columns
 
     def cleaned(text: str | None, listed: str | None) -> str | None:
@@ -216,7 +220,7 @@ def masked(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, marks = b.column("text").to_pylist(), b.column("_spans").to_pylist()
+            own, marks = b.column("text").to_pylist(), b.column(marks_).to_pylist()
             new = own if not any(marks) else list(map(cleaned, own, marks))
             values = {n: b.column(n) for n in names} | {"text": new}
             if "n_chars" in names:

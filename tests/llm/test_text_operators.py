@@ -151,6 +151,32 @@ def test_disclosing_terms(spark):
     assert "zorblax" not in clean[0] and "<email>" in clean[0] and clean[10] == rows[4][1]
 
 
+@pytest.mark.parametrize(("rows", "holders"), [(100, 2), (140, 2), (3000, 2), (3000, 1000), (90, 30)])
+def test_disclosure_does_not_depend_on_the_number_of_rows(spark, rows, holders):
+    """A term that stands by one entity only, in a few documents, against a plain count over all documents."""
+    told = min(holders, 24)
+    texts = [f"w{k} zorblax says ann.b@c.example.com v{k}" if k < told else f"w{k} common says ann.b@c.example.com v{k}" for k in range(holders)]
+    texts += [f"w{k} common says nothing v{k}" for k in range(holders, rows)]
+    docs = frame(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    got = {r.doc_id: r.spans for r in sanitise.spans(docs).collect()}
+    n, df_e = len(texts), holders
+    want = set()
+    for term in ("zorblax", "common", "says"):
+        df = sum(term in t.split() for t in texts)
+        both = sum(term in t.split() and "@" in t for t in texts)
+        b = df_e / n
+        if df and both > 1 and both / df >= 0.5 and (both / df - b) / (b * (1 - b) / df) ** 0.5 >= 4:
+            want.add(term)
+    marked = {texts[d][int(a) : int(b)] for d, s in got.items() for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "term"}
+    assert marked == want == {"zorblax"}
+
+
+def test_clashing_names_keep_their_values(spark):
+    docs = frame(spark, [(1, "call +49 151 2345678 now", "en")]).selectExpr("*", "7 AS `row`", "'x' AS marks", "8 AS `_row`", "9 AS _spans")
+    got = sanitise.masked(docs).collect()[0]
+    assert (got["row"], got.marks, got["_row"], got["_spans"]) == (7, "x", 8, 9) and "<phone>" in got.text
+
+
 def test_sanitise_edges(spark):
     docs = frame(spark)
     got = sanitise.spans(docs).collect()
