@@ -162,7 +162,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = F.array(F.struct("bucket", F.lit(0).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))
     dealt = docs.join(F.broadcast(after), "key", "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), own).otherwise(both)))
     dealt = dealt.select("to.bucket", "to.extra", "doc_id", "text", F.xxhash64("text").alias("tie"))
-    placed = dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "tie")
+    placed = dealt.repartitionById(ranges, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "tie")
     return placed.select("bucket", "extra", "doc_id", "text")
 
 

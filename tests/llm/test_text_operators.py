@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barlake.llm import copies, decontaminate, language, licences, ordinal, packing, phrases, sanitise
 from edge_rows import EDGE, LONG, frame
@@ -285,6 +286,17 @@ def test_phrases_of_all_documents(spark):
     assert better >= 0.95 * len(docs)
 
 
+def test_each_range_of_documents_has_its_own_task(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        placed = phrases.with_next(frame(spark, [(k, f"text {k}", "en") for k in range(2400)]))
+        tasks = placed.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("bucket").alias("buckets"), F.count("bucket").alias("rows")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(tasks) >= 20 and max(r.buckets for r in tasks) == 1 and max(r.rows for r in tasks) < 200
+
+
 def test_equal_substrings_share_phrases():
     rng = random.Random(6)
     middle = "".join(rng.choice("abcdefgh ") for _ in range(3000))
