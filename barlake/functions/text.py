@@ -135,9 +135,19 @@ def field_name(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(F.translate(c, "_", " "), rf"(?U){SPACE}+", " ")))
 
 
+#: As much of a message as can show: each alternative leaves one character of the result at least.
+SHOWN = (
+    rf"(?s)\A(?U:{SPACE})*+(?:(?i:[?&](?:{'|'.join(SECRET_PARAMETERS)})=)(?U:[^&\s\x1c-\x1f])++|(?U:{SPACE})++|.){{0,{MESSAGE_LIMIT + 1}}}+"
+)
+
+#: From this length on it pays to look for that part.
+LONG_MESSAGE = 4 * MESSAGE_LIMIT
+
+
 def safe_message(c: Column) -> Column:
-    """One-line message without secrets, bounded in length."""
-    one_line = strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    """One-line message without secrets, bounded in length. Of a long one only the part that shows is rewritten."""
+    shown = F.when(F.length(c) > LONG_MESSAGE, F.regexp_extract(c, SHOWN, 0)).otherwise(c)
+    one_line = strip(F.regexp_replace(shown, rf"(?U){SPACE}+", " "))
     clean = F.regexp_replace(
         one_line, rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=)[^&\s]+", rf"$1{REDACTED}"
     )
