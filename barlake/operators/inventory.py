@@ -126,6 +126,12 @@ def reconcile(assets: DataFrame, inventory: DataFrame, *, force: bool = False, y
     )
 
 
+def asset_actions(plan: DataFrame) -> DataFrame:
+    """(key, action) per manifest asset: a year in parts is to be fetched if any of them is."""
+    fetched = F.bool_or(F.col("action") == "download")
+    return plan.groupBy("key").agg(F.when(fetched, "download").otherwise("unchanged").alias("action"))
+
+
 def missing_and_obsolete(managed: DataFrame, present: DataFrame, name: str = "asset_name") -> DataFrame:
     """Names only on one side: missing (managed, absent) or obsolete (present, unmanaged)."""
     missing = managed.select(name).distinct().join(present.select(name), name, "left_anti")

@@ -10,6 +10,10 @@ from barlake.operators.gates import enforce, gather
 from barlake.operators.quality import key_violations, schema_violations, unexpected_tickers, value_rules
 from barlake.schema import BAR_COLUMNS, BAR_KEY, VIOLATION_SCHEMA
 
+#: Rows of a task, and so of a file at most, where files are cut by their keys alone; and how many marked keys make one such cut.
+ROWS_PER_TASK = 1 << 19
+SAMPLED = 100
+
 
 def _laid_out(df: DataFrame) -> DataFrame:
     rows = df.select(*BAR_COLUMNS, F.year("date").alias("year"))
@@ -17,6 +21,33 @@ def _laid_out(df: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _bounds(rows: DataFrame, step: int) -> list:
+    """(year, bounds) for each year: keys that cut it into runs of about `step` rows, and depend on nothing but the year's own keys.
+
+    Every `SAMPLED`-th of the keys whose hash marks them is a bound. A year's row holds a key of `step / SAMPLED` of its own.
+    """
+    every = max(1, step // SAMPLED)
+    key = F.struct(*BAR_KEY)
+    marked = F.array_sort(F.collect_list(F.when(F.pmod(F.xxhash64(*BAR_KEY), F.lit(every)) == 0, key)))
+    kept = F.filter(marked, lambda _, k: (k + 1) % min(SAMPLED, step) == 0)
+    return rows.groupBy("year").agg(kept.alias("bounds")).orderBy("year").collect()
+
+
+def _fixed_out(df: DataFrame, step: int) -> DataFrame:
+    """`_laid_out` with partitions that the keys alone decide: equal bars are cut alike in every run, whatever the other years and values.
+
+    A range sort cuts where its random sample and the sizes of the values tell it. The bounds, one per partition, pass through the driver.
+    """
+    rows = df.select(*BAR_COLUMNS, F.year("date").alias("year"))
+    place, before = F.lit(0), 0
+    for year, bounds in _bounds(rows, step):
+        cuts = F.array(*[F.struct(F.lit(b.date).alias("date"), F.lit(b.ticker).alias("ticker")) for b in bounds])
+        own = F.size(F.filter(cuts, lambda b: b <= F.struct(*BAR_KEY))) if bounds else F.lit(0)
+        place = F.when(F.col("year") == year, F.lit(before) + own).otherwise(place)
+        before += len(bounds) + 1
+    return rows.repartitionById(max(before, 1), place).sortWithinPartitions("year", *BAR_KEY)
+
+
 def observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
     """The rows, and how many of them break each rule, counted while they pass by.
 
@@ -34,15 +65,21 @@ def observed_violations(spark: SparkSession, seen: Observation) -> DataFrame:
 
 
 def write_years(
-    df: DataFrame, path: str, *, mode: str = "error", rules: dict[str, Column] | None = None, rows_per_file: int | None = None
+    df: DataFrame,
+    path: str,
+    *,
+    mode: str = "error",
+    rules: dict[str, Column] | None = None,
+    rows_per_file: int | None = None,
+    fixed: bool = False,
 ) -> Observation | None:
     """zstd Parquet below year=YYYY, every file sorted by (date, ticker).
 
     The rows are range-partitioned by (year, date, ticker): files hold disjoint key ranges, one
     year can span any number of tasks, and a hot ticker spreads over its dates. The files of a year are in the order of
-    their names. With rules, they are counted during the write.
+    their names. With rules, they are counted during the write. With `fixed`, files of equal bars are equal.
     """
-    rows, seen = _laid_out(df), None
+    rows, seen = _fixed_out(df, ROWS_PER_TASK) if fixed else _laid_out(df), None
     if rules:
         rows, seen = observed(rows, rules)
     (

@@ -33,11 +33,12 @@ def _move_single(spark: SparkSession, folder: str, target: str) -> None:
 def publish_years(bars: DataFrame, root: str, *, rows_per_file: int | None = None) -> None:
     """daily/year=YYYY/prices.parquet, or part-NNNNN.parquet in key order where a year has several files; sorted, zstd.
 
-    The files are written by any number of tasks below a scratch folder and get their names afterwards.
+    The files are written by any number of tasks below a scratch folder and get their names afterwards. Equal years give equal
+    files in every run, so that digests tell what changed.
     """
     spark = bars.sparkSession
     staged = scratch(spark, "years")
-    write_years(bars, staged, rows_per_file=rows_per_file)
+    write_years(bars, staged, rows_per_file=rows_per_file, fixed=True)
     fs, path = _filesystem(spark, staged)
     for status in fs.listStatus(path(staged)):
         year = status.getPath().getName()

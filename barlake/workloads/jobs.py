@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barlake.errors import IncompleteError
-from barlake.operators.inventory import asset_files, reconcile, update_report_violations
+from barlake.operators.inventory import asset_actions, asset_files, reconcile, update_report_violations
 from barlake.operators.reports import single
 from barlake.plans.accept import accept_dataset
 from barlake.plans.backfill import backfill, export_dataset
@@ -303,7 +303,7 @@ def q8(spark, sf):
         every = store.bars()
         publish_years(every.withColumn("close", F.when(F.col("year") >= 2000, F.col("close") * 2).otherwise(F.col("close"))), path)
 
-    return reconcile_copies(spark, f"{root}/manifest.json", I.once(spark, sf, "copy", write)).plan.select("key", "action")
+    return asset_actions(reconcile_copies(spark, f"{root}/manifest.json", I.once(spark, sf, "copy", write)).plan)
 
 
 def rows_in_quarter_years(spark, sf):
@@ -348,7 +348,7 @@ def q8_parts(spark, sf):
     found = reconcile_copies(spark, f"{root}/manifest.json", I.once(spark, sf, "copy-parts", write))
     obsolete = found.names.agg(F.count_if(F.col("state") == "obsolete").alias("obsolete"))
     years = found.plan.where(F.col("key").rlike("^[0-9]+$"))
-    return years.select("key", "action").distinct().join(obsolete, F.lit(True))
+    return asset_actions(years).join(obsolete, F.lit(True))
 
 
 @query(

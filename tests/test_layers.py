@@ -226,6 +226,28 @@ def test_blocks_meet_in_order_and_need_no_python(spark, folder, monkeypatch):
         assert {r.rule for r in order_violations(SF.key_runs(spark, f"{folder}/{label}")).collect()} == rule
 
 
+def test_equal_years_are_published_as_equal_files(spark, tmp_path, monkeypatch):
+    from barlake.operators import inventory as N
+    from barlake.sinks import bars as SB
+    from barlake.sinks.layout import publish_years
+
+    monkeypatch.setattr(SB, "ROWS_PER_TASK", 4_000)
+    days = spark.range(40_000).select(
+        F.date_add(F.lit(d("2023-01-01")), (F.col("id") % 600).cast("int")).alias("date"), F.format_string("T%05d", "id").alias("ticker"),
+        *[F.col("id").cast("double").alias(c) for c in ("close", "adj_close")], F.col("id").alias("volume"),
+    )
+    changed = days.withColumn("close", F.when(F.year("date") == 2024, F.sin("close")).otherwise(F.col("close"))).repartition(7)
+    for name, rows in (("a", days), ("b", changed)):
+        publish_years(rows, f"{tmp_path}/{name}")
+    a, b = ({p.relative_to(tmp_path / n).as_posix(): p.read_bytes() for p in (tmp_path / n).rglob("*.parquet")} for n in "ab")
+    assert a.keys() == b.keys() and sum("2023" in p for p in a) >= 4
+    assert {p for p in a if a[p] != b[p]} == {p for p in a if "2024" in p}
+    keys = [spark.read.parquet(f"{tmp_path}/a/{p}").agg(F.min(F.struct("date", "ticker")), F.max(F.struct("date", "ticker")), F.count("*")).first() for p in sorted(a)]
+    assert all(x[1] < y[0] for x, y in zip(keys, keys[1:])) and sum(k[2] for k in keys) == 40_000
+    plan = spark.createDataFrame([("2023", "unchanged"), ("2023", "download"), ("2024", "unchanged"), ("2024", "unchanged")], "key string, action string")
+    assert {tuple(r) for r in N.asset_actions(plan).collect()} == {("2023", "download"), ("2024", "unchanged")}
+
+
 def test_years_of_several_files_are_published_and_checked(spark, tmp_path):
     import json
     import shutil
