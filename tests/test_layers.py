@@ -236,6 +236,8 @@ def test_equal_years_are_published_as_equal_files(spark, tmp_path, monkeypatch):
         F.date_add(F.lit(d("2023-01-01")), (F.col("id") % 600).cast("int")).alias("date"), F.format_string("T%05d", "id").alias("ticker"),
         *[F.col("id").cast("double").alias(c) for c in ("close", "adj_close")], F.col("id").alias("volume"),
     )
+    days.write.parquet(f"{tmp_path}/stored")
+    days = spark.read.parquet(f"{tmp_path}/stored")
     changed = days.withColumn("close", F.when(F.year("date") == 2024, F.sin("close")).otherwise(F.col("close"))).repartition(7)
     for name, rows in (("a", days), ("b", changed)):
         publish_years(rows, f"{tmp_path}/{name}")
