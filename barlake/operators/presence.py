@@ -1,6 +1,7 @@
 """Which days a ticker has bars on, as bitmaps that are kept with a snapshot and merged by OR.
 
-A row is (ticker, bucket, days): one bitmap of 32,768 days, bit 0 of bucket 1 being 1970-01-01. A merge reads the
+A row is (ticker, bucket, days): one bitmap of 64 days, bit 0 of bucket 0 being 1970-01-01. There are never more rows than
+bars, and a row has a fixed width, so hash aggregates hold them; a bitmap of all days for a ticker of few would outgrow its bars. A merge reads the
 kept bitmaps and the new bars, and answers about past sessions read the bitmaps only.
 """
 
@@ -12,21 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPOCH = dt.date(1970, 1, 1)
-BITS = 32768
+BITS = 64
 KEY = ["ticker", "bucket"]
 
 
-def _number(day: Column) -> Column:
-    """Bits are numbered from 1."""
-    return F.unix_date(day).cast("bigint") + 1
-
-
 def presence(bars: DataFrame) -> DataFrame:
-    """The bitmaps of some bars: a hash aggregate per ticker with map-side combine."""
-    number = _number(F.col("date"))
-    return bars.groupBy("ticker", F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("days")
-    )
+    """The bitmaps of some bars: a hash aggregate with map-side combine."""
+    number = F.unix_date("date").cast("bigint")
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(unix_date(date), {BITS}) AS INT))")
+    return bars.groupBy("ticker", F.floor(number / BITS).alias("bucket")).agg(F.bit_or(bit).alias("days"))
 
 
 def merged(*tables: DataFrame) -> DataFrame:
@@ -34,15 +29,13 @@ def merged(*tables: DataFrame) -> DataFrame:
     every = tables[0].select(*KEY, "days")
     for t in tables[1:]:
         every = every.unionByName(t.select(*KEY, "days"))
-    return every.groupBy(*KEY).agg(F.bitmap_or_agg("days").alias("days"))
+    return every.groupBy(*KEY).agg(F.bit_or("days").alias("days"))
 
 
 def has_day(day: dt.date) -> Column:
     """Whether a row of bitmaps has the day's bit."""
-    number = (day - EPOCH).days
-    bucket, bit = number // BITS + 1, number % BITS
-    byte = F.conv(F.hex(F.substring("days", bit // 8 + 1, 1)), 16, 10).cast("int")
-    return (F.col("bucket") == bucket) & (F.shiftright(byte, bit % 8).bitwiseAND(F.lit(1)) == 1)
+    bucket, bit = divmod((day - EPOCH).days, BITS)
+    return (F.col("bucket") == bucket) & (F.getbit(F.col("days"), F.lit(bit)) == 1)
 
 
 def _any(days: list[dt.date]) -> Column:
@@ -59,7 +52,7 @@ def active_on(table: DataFrame, universe: DataFrame, days: list[dt.date]) -> Dat
 
 def day_counts(table: DataFrame) -> DataFrame:
     """Days with bars per ticker."""
-    return table.groupBy("ticker").agg(F.sum(F.bitmap_count("days")).alias("row_count"))
+    return table.groupBy("ticker").agg(F.sum(F.bit_count("days").cast("bigint")).alias("row_count"))
 
 
 def share_on(table: DataFrame, expected: DataFrame, day: dt.date) -> DataFrame:

@@ -95,6 +95,10 @@ def test_presence_bits(spark):
     assert tuple(P.share_on(both, universe, d("2024-02-29")).first()) == (2, 1, 0.5)
     assert P.share_on(both, universe.limit(0), d("2024-02-29")).first().coverage_ratio == 1.0
     assert P.presence(bars(spark)).collect() == []
+    early = P.presence(bars(spark, ("1969-12-31", "A", 1), ("1969-10-01", "A", 1)))
+    assert early.where(P.has_day(d("1969-12-31"))).count() == early.where(P.has_day(d("1969-10-01"))).count() == 1
+    # a ticker's row is as wide as a number, whatever its days
+    assert dict(both.dtypes)["days"] == "bigint"
 
 
 def test_rules_are_counted_once_during_the_write(spark, tmp_path):
