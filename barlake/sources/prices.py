@@ -111,7 +111,8 @@ def staged_violations(spark: SparkSession, paths: str | list[str], start, end, a
     own = [(n, t) for n, t in spark.read.option("mergeSchema", "true").parquet(*paths).dtypes]
     wrong = spark.range(0 if own == [(f.name, f.dataType.simpleString()) for f in BAR_SCHEMA] else 1)
     schema = wrong.select(F.lit("").alias("batch"), F.lit("schema").alias("rule"), F.lit(1).cast("bigint").alias("n"))
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
+    # a pattern that is bound to the end only is tried from every character of the path, for every row
+    folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
     rows = read_staged(spark, paths).withColumn("batch", folder)
     rules = value_rules(start, end)
     if allowed is not None:

@@ -158,3 +158,10 @@ def test_wide_labels_of_many_tickers():
     tickers = [f"T{k}" for k in range(4000)]
     found = resolve_columns([f"{t}|Close" for t in tickers], tickers)
     assert len(found) == 4000 and found["T7"] == {"close": "T7|Close"}
+
+
+def test_names_of_batches_take_no_pattern_per_row(spark, tmp_path):
+    bars(spark, ("2024-01-01", "A", -1)).write.parquet(f"{tmp_path}/b=%20 1")
+    found = staged_violations(spark, f"{tmp_path}/b=%20 1", d("2024-01-01"), d("2025-01-01"))
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.rule, r.n) for r in found.collect()] == [("close_not_positive_finite", 1)]
