@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.sources.filestream import NAMED_CODEC, FileDigests, ParquetCodecs, reachable
 
 ROWS_PER_BLOCK = 4096
+#: Rows of a task of `key_runs`, about.
+ROWS_PER_TASK = 1 << 20
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -76,37 +78,34 @@ def _plain_uri(column: str) -> Column:
 def key_runs(spark: SparkSession, *roots: str) -> DataFrame:
     """Summaries of blocks of consecutive rows of each file, for order, uniqueness and zone maps.
 
-    Blocks are numbered by the rows' place in their file, so a block is nearly always whole within a task and is
-    put together before the shuffle, which moves sorted integers and tickers of whole blocks. The neighbours within
-    a block are compared by array expressions; how blocks meet is told by their first and last keys.
+    Blocks are numbered by the rows' place in their file and dealt over tasks of about `ROWS_PER_TASK` rows, whatever the
+    size of the files; a task sorts its rows and sees each row after the one before it, and so holds no block's list of
+    keys. How blocks meet is told by their first and last keys.
     """
-    row = F.col("_metadata.row_index")
-    stored = spark.read.parquet(*roots).select(
+    stored = spark.read.parquet(*roots)
+    tasks = max(1, -(-stored.count() // ROWS_PER_TASK))  # the footers tell how many rows there are
+    rows = stored.select(
         F.col("_metadata.file_path").alias("file"),
         F.expr(f"_metadata.row_index div {ROWS_PER_BLOCK}").alias("block"),
-        F.struct(row.alias("row"), F.unix_date("date").alias("day"), "ticker").alias("r"),
-    )
-    rows = stored.groupBy("file", "block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    keys = rows.select("file", "block", F.transform("rows", lambda r: F.struct(r["day"].alias("day"), r["ticker"].alias("ticker"))).alias("keys"))
-    n = F.size("keys")
-    pairs = F.arrays_zip(F.slice("keys", 1, n - 1).alias("a"), F.slice("keys", 2, n - 1).alias("b"))
-
-    def count(rule) -> Column:
-        return F.size(F.filter("pairs", rule)).cast("bigint")
-
-    return keys.select("file", "block", "keys", pairs.alias("pairs"), n.cast("bigint").alias("rows")).select(
-        "file",
-        "block",
-        "rows",
-        F.col("keys")[0].alias("first_key"),
-        F.element_at("keys", -1).alias("last_key"),
-        F.array_min("keys").alias("low_key"),
-        F.array_max("keys").alias("high_key"),
-        F.array_min("keys.ticker").alias("low_ticker"),
-        F.array_max("keys.ticker").alias("high_ticker"),
-        count(lambda p: p["b"] < p["a"]).alias("descents"),
-        count(lambda p: p["b"] == p["a"]).alias("repeats"),
-        F.size(F.filter("keys", lambda k: k["day"].isNull() | k["ticker"].isNull())).cast("bigint").alias("null_keys"),
+        F.col("_metadata.row_index").alias("row"),
+        F.unix_date("date").alias("day"),
+        "ticker",
+    ).repartition(tasks, "file", "block")
+    key = F.struct("day", "ticker")
+    in_block = Window.partitionBy("file", "block").orderBy("row")
+    keyed = rows.select("file", "block", "row", key.alias("key"), F.lag(key).over(in_block).alias("before"))
+    placed = F.struct("row", "key")
+    return keyed.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(placed)["key"].alias("first_key"),
+        F.max(placed)["key"].alias("last_key"),
+        F.min("key").alias("low_key"),
+        F.max("key").alias("high_key"),
+        F.min("key.ticker").alias("low_ticker"),
+        F.max("key.ticker").alias("high_ticker"),
+        F.count_if(F.col("key") < F.col("before")).alias("descents"),
+        F.count_if(F.col("key") == F.col("before")).alias("repeats"),
+        F.count_if(F.col("key.day").isNull() | F.col("key.ticker").isNull()).alias("null_keys"),
     )
 
 

@@ -307,3 +307,15 @@ def test_years_of_several_files_are_published_and_checked(spark, tmp_path):
         crc.unlink()
     with pytest.raises(ManifestError, match="part_"):
         accept_dataset(spark, copy, universe)
+
+
+def test_blocks_are_dealt_over_tasks_of_bounded_size(spark, folder, monkeypatch):
+    monkeypatch.setattr(SF, "ROWS_PER_BLOCK", 7)
+    monkeypatch.setattr(SF, "ROWS_PER_TASK", 30, raising=False)
+    bars(spark, *[("2024-01-01", f"T{k:03d}", 1) for k in range(100)]).coalesce(1).write.parquet(f"{folder}/year=2024")
+    runs = SF.key_runs(spark, folder)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    # lists of keys are kept for 128 blocks of a task, and all further rows of the task are sorted with their file's name
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 4), REPARTITION_BY_NUM" in plan
+    assert sorted((r.block, r.rows, r.first_key.ticker, r.last_key.ticker) for r in runs.collect())[-1] == (14, 2, "T098", "T099")
