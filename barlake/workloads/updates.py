@@ -37,16 +37,17 @@ FAR = dt.date(2100, 1, 1)
 def based_store(spark, path, bars):
     """A store whose first version has the given bars, listed by file."""
     store = BarStore(spark, path)
-    stored = store.stage("base", bars)
-    counts = {r.year: r.n for r in stored.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
-    store.stage_files("base", [])
+    store.stage("base", bars)
+    counts: dict[int, int] = {}
+    for f in store.stage_files("base", []):
+        counts[f.year] = counts.get(f.year, 0) + f.row_count
     store.commit("base", counts, deltas=dict.fromkeys(counts, 0))
     return store
 
 
-def arriving(spark, sf):
-    """Changed closes of a part of the bars of two years, and bars of tickers that the store does not have."""
-    recent = I.bars(spark, sf).where("year(date) IN (2000, 2001) AND volume > 40")
+def arriving(store):
+    """Changed closes of a part of the store's bars of two years, and bars of tickers that it does not have."""
+    recent = store.bars([2000, 2001]).where("volume > 40")
     changed = recent.withColumn("close", F.col("close") * 2)
     added = recent.where("volume > 45").withColumn("ticker", F.concat(F.lit("N"), "ticker"))
     return changed.unionByName(added).select(*BAR_COLUMNS)
@@ -62,7 +63,7 @@ def delta_store(spark, sf):
 
     def write(path):
         store = based_store(spark, f"{path}/store", I.bars(spark, sf))
-        arriving(spark, sf).repartition(3, "ticker").write.parquet(f"{path}/arriving")
+        arriving(store).repartition(3, "ticker").write.parquet(f"{path}/arriving")
         source = bar_stream(spark, f"{path}/arriving", maxFilesPerTrigger="1")
         refresh_stream(source, store, f"{path}/checkpoint", refresh_start=dt.date(1990, 1, 1), end=FAR).awaitTermination()
 
@@ -102,7 +103,7 @@ def t3_replayed(spark, sf):
 
     def write(path):
         store = based_store(spark, path, I.bars(spark, sf))
-        batch = arriving(spark, sf)
+        batch = arriving(store)
         apply_batch(store, batch, 7, dt.date(1990, 1, 1), FAR)
         before = {(f.snapshot, f.year, f.name) for f in store.files()}
         apply_batch(store, batch.withColumn("close", -F.col("close")), 7, dt.date(1990, 1, 1), FAR)
@@ -119,7 +120,8 @@ def j4_pruned(spark, sf):
     """The arriving bars merged into the files that their days touch."""
 
     def write(path):
-        upsert_window(based_store(spark, path, I.bars(spark, sf)), arriving(spark, sf))
+        store = based_store(spark, path, I.bars(spark, sf))
+        upsert_window(store, arriving(store))
 
     return BarStore(spark, I.once(spark, sf, "pruned", write)).bars()
 

@@ -6,6 +6,7 @@ import pytest
 
 from barlake.workloads import inputs as I
 from barlake.workloads import storage as WS
+from barlake.workloads import updates as WU
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not mounted")
@@ -27,3 +28,9 @@ def test_a_year_of_unsorted_bars_is_written_by_several_tasks(spark):
     years = [f.split("/")[-2] for f in spark.read.parquet(I.once(spark, SF, "unsorted", None)).inputFiles()]
     assert len(years) > len(set(years))
     assert found == {"file_not_sorted": len([y for y in set(years) if int(y[-1]) % 2 == 0]), "file_repeats_key": len(set(years))}
+
+
+def test_arriving_bars_come_from_the_store(spark, folder):
+    store = WU.based_store(spark, folder, I.bars(spark, SF))
+    assert {r.year: r.row_count for r in store.current().where("year IS NOT NULL").collect()} == {r.year: r["count"] for r in store.bars().groupBy("year").count().collect()}
+    assert all("/year=200" in f for f in WU.arriving(store).inputFiles())
