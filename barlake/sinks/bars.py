@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +41,33 @@ def _fixed_out(df: DataFrame, step: int) -> DataFrame:
     A range sort cuts where its random sample and the sizes of the values tell it. The bounds, one per partition, pass through the driver.
     """
     rows = df.select(*BAR_COLUMNS, F.year("date").alias("year"))
-    place, before = F.lit(0), 0
-    for year, bounds in _bounds(rows, step):
-        cuts = F.array(*[F.struct(F.lit(b.date).alias("date"), F.lit(b.ticker).alias("ticker")) for b in bounds])
-        own = F.size(F.filter(cuts, lambda b: b <= F.struct(*BAR_KEY))) if bounds else F.lit(0)
-        place = F.when(F.col("year") == year, F.lit(before) + own).otherwise(place)
+    days, cuts = _day_places(_bounds(rows, step))
+    table = F.broadcast(df.sparkSession.createDataFrame(days, "_day date, _first int, _tickers array<string>"))
+    own = F.when(F.size("_tickers") > 0, F.size(F.filter("_tickers", lambda t: t <= F.col("ticker")))).otherwise(F.lit(0))
+    placed = rows.join(table, F.col("date") == F.col("_day"), "left").withColumn("_place", F.coalesce(F.col("_first") + own, F.lit(0)))
+    return placed.repartitionById(max(cuts, 1), F.col("_place")).sortWithinPartitions("year", *BAR_KEY).select(*rows.columns)
+
+
+def _day_places(years: list) -> tuple[list, int]:
+    """((day, partition of its first key, tickers of the bounds inside it) for each day of the years, number of partitions).
+
+    A row is compared with the bounds of its own day only, so its work does not grow with the number of bounds of its year.
+    """
+    days, before = [], 0
+    for year, bounds in years:
+        if year is not None:
+            inside: dict[dt.date, list[str | None]] = {}
+            for b in bounds:
+                inside.setdefault(b.date, []).append(b.ticker)
+            first = before
+            for n in range((dt.date(year, 12, 31) - dt.date(year, 1, 1)).days + 1):
+                day = dt.date(year, 1, 1) + dt.timedelta(days=n)
+                tickers = inside.get(day, [])
+                # an unknown ticker sorts before all others of its day
+                days.append((day, first + tickers.count(None), [t for t in tickers if t is not None]))
+                first += len(tickers)
         before += len(bounds) + 1
-    return rows.repartitionById(max(before, 1), place).sortWithinPartitions("year", *BAR_KEY)
+    return days, before
 
 
 def observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:

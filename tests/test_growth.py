@@ -1,9 +1,12 @@
 """Steps of queries whose work has to grow no faster than the tables."""
 
+import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from barlake.sinks import bars as SB
 from barlake.workloads import inputs as I
 from barlake.workloads import storage as WS
 from barlake.workloads import updates as WU
@@ -34,3 +37,27 @@ def test_arriving_bars_come_from_the_store(spark, folder):
     store = WU.based_store(spark, folder, I.bars(spark, SF))
     assert {r.year: r.row_count for r in store.current().where("year IS NOT NULL").collect()} == {r.year: r["count"] for r in store.bars().groupBy("year").count().collect()}
     assert all("/year=200" in f for f in WU.arriving(store).inputFiles())
+
+
+def test_a_published_row_is_compared_with_the_bounds_of_its_day(spark):
+    first = dt.date(2000, 1, 1)
+    keys = [(first + dt.timedelta(days=k % 500), None if k == 17 else f"T{k % 37:02d}") for k in range(6_000)]
+    rows = spark.createDataFrame([(*k, 1.0, 1.0, 1) for k in keys], "date date, ticker string, close double, adj_close double, volume long")
+
+    def ordered(key):
+        return key[0], key[1] is not None, key[1] or ""
+
+    few, many = SB._fixed_out(rows, 3_000), SB._fixed_out(rows, 100)
+    assert many.rdd.getNumPartitions() > 20
+    # the bounds are no part of the rows' expression
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (few, many)]
+    assert abs(len(plans[0]) - len(plans[1])) < 100
+    bounds = SB._bounds(rows.withColumn("year", F.year("date")), 100)
+    before, place = 0, {}
+    for year, cuts in bounds:
+        for k in keys:
+            if k[0].year == year:
+                place[k] = before + sum(ordered(b) <= ordered(k) for b in cuts)
+        before += len(cuts) + 1
+    found = {(r.date, r.ticker): r.p for r in many.select("date", "ticker", F.spark_partition_id().alias("p")).collect()}
+    assert found == place and many.rdd.getNumPartitions() == before
