@@ -93,6 +93,23 @@ def repeated_keys(df: DataFrame) -> DataFrame:
     return df.groupBy(*BAR_KEY).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+def tallies(folded: DataFrame) -> DataFrame:
+    """Per (ticker, year) all that a fold is asked for: bars with the bounds of their dates, invalid rows, conflicts, copies removed.
+
+    One pass over the folded rows; outcomes, counts and kept partials follow from its rows.
+    """
+    kept = (F.col("copies") > 0) & ~F.col("conflict")
+    day = F.when(kept, F.col("date"))
+    return folded.groupBy("ticker", F.year("date").alias("year")).agg(
+        F.min(day).alias("first_date"),
+        F.max(day).alias("last_date"),
+        F.count_if(kept).alias("row_count"),
+        F.sum("invalid").alias("invalid"),
+        F.count_if("conflict").alias("conflict_keys"),
+        F.coalesce(F.sum(F.when(kept, F.col("copies") - 1)), F.lit(0)).alias("duplicate_rows"),
+    )
+
+
 def ticker_outcomes(folded: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """Per ticker: success, failed InvalidData, or (requested but absent) no_data."""
     seen = folded.groupBy("ticker").agg(
@@ -100,6 +117,18 @@ def ticker_outcomes(folded: DataFrame, requested: DataFrame | None = None) -> Da
         F.sum("invalid").alias("invalid_rows"),
         F.count_if("conflict").alias("conflict_keys"),
     )
+    return _outcomes(seen, requested)
+
+
+def tallied_outcomes(tallied: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """ticker_outcomes from the tallies of the folded rows."""
+    seen = tallied.groupBy("ticker").agg(
+        F.sum("row_count").alias("row_count"), F.sum("invalid").alias("invalid_rows"), F.sum("conflict_keys").alias("conflict_keys")
+    )
+    return _outcomes(seen, requested)
+
+
+def _outcomes(seen: DataFrame, requested: DataFrame | None) -> DataFrame:
     if requested is not None:
         seen = requested.select("ticker").join(seen, "ticker", "left")
     count = F.coalesce("row_count", F.lit(0))

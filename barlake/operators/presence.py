@@ -17,11 +17,16 @@ BITS = 64
 KEY = ["ticker", "bucket"]
 
 
-def presence(bars: DataFrame) -> DataFrame:
-    """The bitmaps of some bars: a hash aggregate with map-side combine."""
+def day_bits(bars: DataFrame) -> DataFrame:
+    """A bitmap per bar, to be merged."""
     number = F.unix_date("date").cast("bigint")
     bit = F.expr(f"shiftleft(1L, CAST(pmod(unix_date(date), {BITS}) AS INT))")
-    return bars.groupBy("ticker", F.floor(number / BITS).alias("bucket")).agg(F.bit_or(bit).alias("days"))
+    return bars.select("ticker", F.floor(number / BITS).alias("bucket"), bit.alias("days"))
+
+
+def presence(bars: DataFrame) -> DataFrame:
+    """The bitmaps of some bars: a hash aggregate with map-side combine."""
+    return merged(day_bits(bars))
 
 
 def merged(*tables: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from barlake.functions.fingerprint import universe_identity
 from barlake.operators.coverage import coverage_of_ranges, failure_report, resolve_status, status_counts
 from barlake.operators.gates import enforce, gather
 from barlake.operators.layers import FILE_SCHEMA, year_facts
-from barlake.operators.partials import partials, ranges_of, years_of
+from barlake.operators.partials import ranges_of, years_of
 from barlake.operators.presence import presence
 from barlake.operators.quality import count_mismatches, stored_rules, stored_violations, unexpected_tickers
 from barlake.operators.reports import manifest_statistics
@@ -59,7 +59,7 @@ def backfill(
     """universe(ord, ticker); raw bars as staged; attempts as in the attempt log.
 
     The folded table is written once and read three times: for its rows per ticker and year, from which
-    coverage and statistics follow, for the days of each ticker, and for the stored files. The files are read once for their order; their value
+    outcomes, counts, coverage and statistics follow, for the days of each ticker, and for the stored files. The files are read once for their order; their value
     rules are counted as they are written. Nothing is visible to
     readers before the final commit.
     """
@@ -71,7 +71,7 @@ def backfill(
     except DataQualityError:
         store.save_diagnostics(snapshot, "conflicts", cleaned.conflicts)
         raise
-    held = cut(partials(cleaned.bars))
+    held = cleaned.partials()
     enforce(unexpected_tickers(held, universe))
     state = cut(resolve_status(attempts, universe, held, cleaned.outcomes))
     coverage = cut(coverage_of_ranges(universe, ranges_of(held), state))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.errors import ConflictError
-from barlake.operators.bars import conflicts, duplicates_removed, fold_raw, folded_bars, ticker_outcomes
+from barlake.operators.bars import conflicts, fold_raw, folded_bars, tallied_outcomes, tallies, ticker_outcomes
 from barlake.operators.gates import enforce, sampled
 from barlake.session import cut
 from barlake.sources.prices import column_outcomes, wide_to_long
@@ -16,19 +16,23 @@ from barlake.sources.prices import column_outcomes, wide_to_long
 
 @dataclass(frozen=True)
 class CleanBars:
-    """All tables derive from `folded`, one row per (date, ticker)."""
+    """All tables derive from `folded`, one row per (date, ticker); `tallies` has one per (ticker, year)."""
 
     folded: DataFrame
     bars: DataFrame
     outcomes: DataFrame
     conflicts: DataFrame
+    tallies: DataFrame
 
     def counts(self) -> tuple[int, int]:
         """(invalid rows, duplicate rows removed)."""
-        row = self.folded.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("i")).join(
-            duplicates_removed(self.folded), F.lit(True)
-        ).first()
-        return row.i, row.duplicate_rows
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("invalid", "duplicate_rows")]
+        row = self.tallies.agg(*sums).first()
+        return row.invalid, row.duplicate_rows
+
+    def partials(self) -> DataFrame:
+        """operators.partials.partials of the bars."""
+        return self.tallies.where("row_count > 0").select("ticker", "year", "first_date", "last_date", "row_count")
 
     def enforce(self) -> None:
         label = F.concat_ws(" ", F.col("date").cast("string"), "ticker")
@@ -36,12 +40,14 @@ class CleanBars:
 
 
 def clean_bars(raw: DataFrame, start, end, requested: DataFrame | None = None, *, materialize: bool = False) -> CleanBars:
-    """One scan and one shuffle of the raw rows. materialize writes the folded table once, for
+    """One scan and one shuffle of the raw rows. materialize writes the folded table and its tallies once, for
     callers that use several of the results."""
     folded = fold_raw(raw, start, end)
-    if materialize:
-        folded = cut(folded)
-    return CleanBars(folded, folded_bars(folded), ticker_outcomes(folded, requested), conflicts(folded))
+    if not materialize:
+        return CleanBars(folded, folded_bars(folded), ticker_outcomes(folded, requested), conflicts(folded), tallies(folded))
+    folded = cut(folded)
+    tallied = cut(tallies(folded))
+    return CleanBars(folded, folded_bars(folded), tallied_outcomes(tallied, requested), conflicts(folded), tallied)
 
 
 def clean_wide(wide: DataFrame, requested: list[str], start, end, date: str = "date", *, materialize: bool = False) -> CleanBars:
@@ -54,4 +60,4 @@ def clean_wide(wide: DataFrame, requested: list[str], start, end, date: str = "d
     outcomes = cleaned.outcomes.unionByName(
         decided.select("ticker", "outcome", "error_type", zero.alias("row_count"), zero.alias("invalid_rows"))
     )
-    return CleanBars(cleaned.folded, cleaned.bars, outcomes, cleaned.conflicts)
+    return CleanBars(cleaned.folded, cleaned.bars, outcomes, cleaned.conflicts, cleaned.tallies)

@@ -22,7 +22,7 @@ from barlake.operators.coverage import (
 from barlake.operators.gates import counted, enforce, gather, sampled
 from barlake.operators.layers import FILE_SCHEMA, Split, touched, year_facts
 from barlake.operators.partials import ranges_of, updated
-from barlake.operators.presence import active_on, presence
+from barlake.operators.presence import active_on, day_bits, presence
 from barlake.operators.presence import merged as merged_presence
 from barlake.operators.quality import coverage_gate, stored_rules, stored_violations
 from barlake.operators.reports import manifest_statistics, update_report, with_last_update
@@ -119,7 +119,7 @@ def refresh(
     old = store.bars_in(split.hit)
     cleaned = clean_bars(raw, start, end, universe, materialize=True)
     cleaned.enforce()
-    state = cut(resolve_status(attempts, universe, cleaned.bars, cleaned.outcomes))
+    state = cut(resolve_status(attempts, universe, cleaned.partials(), cleaned.outcomes))
     failed = state.where("status = 'failed'")
     try:
         enforce(sampled(failed, "unresolved_failures", F.col("ticker")), RefreshError)
@@ -173,7 +173,7 @@ def refresh(
     if "partials" in held:
         tables["partials"] = parts
     if "presence" in held:
-        tables["presence"] = merged_presence(before, presence(cleaned.bars))
+        tables["presence"] = merged_presence(before, day_bits(cleaned.bars))
     for name, table in tables.items():
         store.stage_table(run, name, table)
     store.commit(run, counts, list(tables), deltas=dict.fromkeys(counts, 0))

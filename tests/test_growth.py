@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from barlake.operators import bars as B
+from barlake.plans.clean import clean_bars
 from barlake.sinks import bars as SB
 from barlake.workloads import inputs as I
 from barlake.workloads import storage as WS
@@ -61,3 +63,11 @@ def test_a_published_row_is_compared_with_the_bounds_of_its_day(spark):
         before += len(cuts) + 1
     found = {(r.date, r.ticker): r.p for r in many.select("date", "ticker", F.spark_partition_id().alias("p")).collect()}
     assert found == place and many.rdd.getNumPartitions() == before
+
+
+def test_outcomes_and_counts_are_made_of_tallies(spark):
+    cleaned = clean_bars(I.dirty(spark, SF), I.START, I.END, I.parts(spark, SF), materialize=True)
+    assert not set(cleaned.folded.inputFiles()) & {*cleaned.outcomes.inputFiles(), *cleaned.tallies.inputFiles(), *cleaned.partials().inputFiles()}
+    assert sorted(cleaned.outcomes.collect()) == sorted(B.ticker_outcomes(cleaned.folded, I.parts(spark, SF)).collect())
+    invalid = cleaned.folded.agg(F.sum("invalid")).first()[0]
+    assert invalid > 0 and cleaned.counts() == (invalid, B.duplicates_removed(cleaned.folded).first()[0])
