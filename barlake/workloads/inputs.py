@@ -25,6 +25,8 @@ WINDOW_START = TARGET - dt.timedelta(days=550)
 USERS_START = dt.date(2024, 1, 1)
 USERS_END = dt.date(2024, 2, 1)
 USERS_LATE = dt.date(2024, 1, 6)
+#: Raw rows of a task that folds them into bars, about.
+ROWS_PER_TASK = 1 << 19
 
 CTES = {
     "raw_bars": """
@@ -239,8 +241,11 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
+    raw = raw_bars(spark, sf)
+    # the footers tell how many rows there are
+    tasks = max(spark.sparkContext.defaultParallelism, -(-raw.count() // ROWS_PER_TASK))
     return (
-        raw_bars(spark, sf)
+        raw.repartition(tasks, "date", "ticker")
         .groupBy("date", "ticker")
         .agg(F.max("close").alias("close"), F.max("adj_close").alias("adj_close"), F.max("volume").cast("bigint").alias("volume"))
     )

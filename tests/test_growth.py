@@ -71,3 +71,9 @@ def test_outcomes_and_counts_are_made_of_tallies(spark):
     assert sorted(cleaned.outcomes.collect()) == sorted(B.ticker_outcomes(cleaned.folded, I.parts(spark, SF)).collect())
     invalid = cleaned.folded.agg(F.sum("invalid")).first()[0]
     assert invalid > 0 and cleaned.counts() == (invalid, B.duplicates_removed(cleaned.folded).first()[0])
+
+
+def test_bars_are_folded_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(I, "ROWS_PER_TASK", 100, raising=False)
+    rows = I.raw_bars(spark, SF).count()
+    assert I.bars(spark, SF).rdd.getNumPartitions() == -(-rows // 100) > 8
