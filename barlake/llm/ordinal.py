@@ -33,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlake import session
 from barlake.llm.common import bounded_sample, fixed_hash, rows, sampled_texts, table, texts
 
 BUCKETS = 1 << 18
 SAMPLE = 16_000
 KEPT = 2_000
+#: A feature of fewer rated documents gets no weight.
+LEAST_ROWS = 3
 #: A document is selected if P(good) is at least this.
 LEAST_TAIL = 0.5
 
@@ -135,6 +138,18 @@ class OrdinalModel:
         return sigmoid(score - self.thresholds[grade - 1])
 
 
+def telling(counts: np.ndarray, members: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """The buckets, in order, that tell grades apart best, given the rows of each grade that have them (grades x buckets) and all rows of each grade."""
+    count, n = counts.sum(axis=0), int(members.sum())
+    between, mean = np.zeros(counts.shape[1]), count / n
+    for own, m in zip(counts, members.tolist(), strict=True):
+        if m:
+            between += m * (own / m - mean) ** 2
+    worth = between / np.maximum(mean * (1 - mean), 1 / n) * (count >= LEAST_ROWS)
+    chosen = np.sort(np.argsort(-worth, kind="stable")[:kept])
+    return chosen[worth[chosen] > 0]
+
+
 def fit_rows(features: list[np.ndarray], grades: np.ndarray, levels: int, kept: int = KEPT, rounds: int = 150, ridge: float = 1e-4, rate: float = 0.2) -> OrdinalModel:
     """Fit by full-batch adaptive gradient steps on the negative log likelihood."""
     start = np.log(np.arange(1, levels) / np.arange(levels - 1, 0, -1))
@@ -143,15 +158,8 @@ def fit_rows(features: list[np.ndarray], grades: np.ndarray, levels: int, kept:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), start)
     sizes = np.array([len(f) for f in features])
     column, row = np.concatenate(features), np.repeat(np.arange(n), sizes)
-    count = np.bincount(column, minlength=BUCKETS)
-    between, mean = np.zeros(BUCKETS), count / n
-    for g in range(levels):
-        if members := int((grades == g).sum()):
-            own = np.bincount(column[(grades == g)[row]], minlength=BUCKETS) / members
-            between += members * (own - mean) ** 2
-    worth = between / np.maximum(mean * (1 - mean), 1 / n) * (count >= 3)
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:kept])
-    chosen = chosen[worth[chosen] > 0]
+    counts = np.stack([np.bincount(column[(grades == g)[row]], minlength=BUCKETS) for g in range(levels)])
+    chosen = telling(counts, np.bincount(grades, minlength=levels), kept)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     column = place[column]
@@ -178,8 +186,29 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL")
 
 
+def _bucket_counts(found: DataFrame, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of found (grade, features): the rows of each grade that have a bucket (grades x buckets), and all rows of each grade."""
+    schema = pa.schema([("bucket", pa.int32()), ("grade", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((levels, BUCKETS + 1), np.int64)
+        for b in batches:
+            for grade, own in zip(b.column("grade").to_pylist(), b.column("features"), strict=True):
+                held[grade, np.append(np.frombuffer(own.as_py(), np.int32), BUCKETS)] += 1
+        grade, bucket = np.nonzero(held)
+        yield rows({"bucket": bucket.astype(np.int32), "grade": grade.astype(np.int32), "n": held[grade, bucket]}, schema)
+
+    each = [F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(levels)]
+    got = found.mapInArrow(run, "bucket int, grade int, n long").groupBy("bucket").agg(*each, F.sum("n").alias("n"))
+    # buckets of fewer rows are not chosen
+    got = got.filter((F.col("n") >= LEAST_ROWS) | (F.col("bucket") == BUCKETS)).toArrow()
+    counts = np.zeros((levels, BUCKETS + 1), np.int64)
+    counts[:, got.column("bucket").to_numpy()] = [got.column(f"n{g}").to_numpy() for g in range(levels)]
+    return counts[:, :-1], counts[:, -1]
+
+
 def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPLE) -> OrdinalModel:
-    """The model of at most `sample` rated documents; their features are taken by Spark tasks."""
+    """The model of at most `sample` rated documents. Spark tasks take their features and count them; only features that get a weight reach the driver."""
     chosen = bounded_sample(graded.select("doc_id", "grade"), F.col("doc_id"), sample)
     rated = sampled_texts(docs, chosen).select("grade", "text")
     schema = pa.schema([("grade", pa.int32()), ("features", pa.binary())])
@@ -190,11 +219,21 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPL
             found = [features.of(t).astype(np.int32).tobytes() for t in texts(b, "text")]
             yield rows({"grade": b.column("grade").cast(pa.int32()), "features": found}, schema)
 
-    got = rated.mapInArrow(run, "grade int, features binary").toArrow()
-    found = [np.frombuffer(x, np.int32).astype(np.int64) for x in got.column("features").to_pylist()]
+    found = session.cut(rated.mapInArrow(run, "grade int, features binary"))
+    counts, members = _bucket_counts(found, levels)
+    if np.count_nonzero(members) < 2:
+        return fit_rows([], np.empty(0, np.int64), levels)
+    weighted = np.zeros(BUCKETS, bool)
+    weighted[telling(counts, members)] = True
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, np.int32) for x in b.column("features").to_pylist()]
+            yield rows({"grade": b.column("grade"), "features": [x[weighted[x]].tobytes() for x in own]}, schema)
+
     # tasks end in any order; sums of floats must not depend on it
-    order = sorted(range(len(found)), key=lambda i: found[i].tobytes())
-    return fit_rows([found[i] for i in order], got.column("grade").to_numpy()[order].astype(np.int64) if found else np.empty(0, np.int64), levels)
+    got = found.orderBy("features", "grade").mapInArrow(kept, "grade int, features binary").toArrow()
+    return fit_rows([np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()], got.column("grade").to_numpy().astype(np.int64), levels)
 
 
 ADDED = ("score", "expected_grade", "tail")

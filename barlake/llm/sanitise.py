@@ -197,7 +197,8 @@ def _joined(base: Column, terms: Column) -> Column:
 def spans(docs: DataFrame, share: float = LEAST_SHARE, deviations: float = LEAST_DEVIATIONS) -> DataFrame:
     """doc_id, row, counts and hash of the base spans, and `spans`, all of them as kind:start:end."""
     found = session.cut(scanned(docs))
-    terms = _term_spans(found, disclosing(found, docs, share, deviations))
+    pairs = session.cut(disclosing(found, docs, share, deviations).select("entity", "term"))
+    terms = _term_spans(found, pairs)
     return found.drop("near").join(terms, "row", "left").withColumn("spans", _joined(F.col("base"), F.col("terms"))).drop("terms", "base")
 
 

@@ -277,6 +277,8 @@ def connected(edges: DataFrame) -> DataFrame:
     ends = [stars_.select(F.col("node").alias(c), F.col("label").alias(f"{c}_star")) for c in ("a", "b")]
     between = both.join(ends[0], "a").join(ends[1], "b").where("a_star <> b_star")
     between = session.cut(between.select(F.col("a_star").alias("a"), F.col("b_star").alias("b")).distinct())
+    if between.isEmpty():
+        return stars_
     labels = session.cut(_first_labels(between))
     while True:
         near = between.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -267,6 +267,21 @@ def test_ordinal_edges(spark):
     assert ordinal.score(frame(spark, []), none).collect() == []
 
 
+def test_ordinal_brings_only_weighted_features_to_the_driver(spark, monkeypatch):
+    kinds = ("rude", "dull", "fine")
+    texts = [f"{kinds[k % 3]} {' '.join(f'w{k}x{i}' for i in range(500))}" for k in range(60)]
+    docs = frame(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    graded = spark.createDataFrame([(k, k % 3) for k in range(60)], "doc_id long, grade int")
+    brought, real = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: brought.append(real(self)) or brought[-1])
+    model = ordinal.fit(docs, graded)
+    assert sum(t.nbytes for t in brought) < 20_000
+    of = ordinal.Features().of
+    every = sorted((of(t).astype(np.int32).tobytes(), k % 3) for k, t in enumerate(texts))
+    whole = ordinal.fit_rows([np.frombuffer(x, np.int32) for x, _ in every], np.array([g for _, g in every]), 3)
+    assert len(model.buckets) and all(np.array_equal(getattr(model, x), getattr(whole, x)) for x in ("buckets", "weights", "thresholds"))
+
+
 # fingerprints
 
 
