@@ -231,8 +231,8 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = SAMPL
             own = [np.frombuffer(x, np.int32) for x in b.column("features").to_pylist()]
             yield rows({"grade": b.column("grade"), "features": [x[weighted[x]].tobytes() for x in own]}, schema)
 
-    # tasks end in any order; sums of floats must not depend on it
-    got = found.orderBy("features", "grade").mapInArrow(kept, "grade int, features binary").toArrow()
+    # tasks end in any order; sums of floats must not depend on it. A sort samples its keys on the driver, so they are short
+    got = found.orderBy(F.xxhash64("features"), "grade").mapInArrow(kept, "grade int, features binary").toArrow()
     return fit_rows([np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()], got.column("grade").to_numpy().astype(np.int64), levels)
 
 
