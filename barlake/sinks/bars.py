@@ -15,6 +15,8 @@ from barlake.schema import BAR_COLUMNS, BAR_KEY, VIOLATION_SCHEMA
 #: Rows of a task, and so of a file at most, where files are cut by their keys alone; and how many marked keys make one such cut.
 ROWS_PER_TASK = 1 << 19
 SAMPLED = 100
+#: A footer lists a column's encodings in the order of a hash set, which each JVM has its own of. Written so, a column has one encoding.
+ONE_ENCODING = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 
 
 def _laid_out(df: DataFrame) -> DataFrame:
@@ -99,13 +101,14 @@ def write_years(
 
     The rows are range-partitioned by (year, date, ticker): files hold disjoint key ranges, one
     year can span any number of tasks, and a hot ticker spreads over its dates. The files of a year are in the order of
-    their names. With rules, they are counted during the write. With `fixed`, files of equal bars are equal.
+    their names. With rules, they are counted during the write. With `fixed`, files of equal bars are equal, whichever executors write them.
     """
     rows, seen = _fixed_out(df, ROWS_PER_TASK) if fixed else _laid_out(df), None
     if rules:
         rows, seen = observed(rows, rules)
     (
         rows.write.mode(mode)
+        .options(**ONE_ENCODING if fixed else {})
         .option("compression", "zstd")
         .option("maxRecordsPerFile", rows_per_file or 0)
         .partitionBy("year")

@@ -250,6 +250,20 @@ def test_equal_years_are_published_as_equal_files(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in N.asset_actions(plan).collect()} == {("2023", "download"), ("2024", "unchanged")}
 
 
+def test_published_columns_have_one_encoding(spark, tmp_path):
+    """A footer's list of several encodings is ordered by hashes of the JVM that wrote it, so equal files would differ between executors."""
+    from pyarrow import parquet
+
+    from barlake.sinks.layout import publish_years
+
+    rows = many(spark).select("date", F.when(F.col("volume") % 7 > 0, F.col("ticker")).alias("ticker"), "close", "adj_close", "volume")
+    publish_years(rows, f"{tmp_path}/p")
+    facts = parquet.read_metadata(next((tmp_path / "p").rglob("*.parquet")))
+    assert {len(facts.row_group(0).column(c).encodings) for c in range(facts.num_columns)} == {1}
+    assert {facts.row_group(0).column(c).compression for c in range(facts.num_columns)} == {"ZSTD"}
+    assert spark.read.parquet(f"{tmp_path}/p/daily").drop("year").exceptAll(rows).isEmpty() and facts.num_rows == 4800
+
+
 def test_years_of_several_files_are_published_and_checked(spark, tmp_path):
     import json
     import shutil
