@@ -13,6 +13,9 @@ within r bits agree on b - r blocks) or sampled bit positions for wide radii (`s
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a fingerprint and so
 a component. Rows with a null doc_id take part; a component of such rows only has a null component_id.
+
+Tables of fingerprints, cells and links grow with the input but take few bytes as Parquet, so that Spark would broadcast them
+up to sizes that the driver cannot hold. Their joins are asked to be merge joins.
 """
 
 from __future__ import annotations
@@ -227,7 +230,7 @@ def links(distinct: DataFrame, radius: int, keys: list[list[int]], cell_rows: in
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / cell_rows).cast("int")
     dealt = (
-        cells.join(sizes, "cell")
+        cells.join(sizes.hint("merge"), "cell")
         .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -275,22 +278,22 @@ def connected(edges: DataFrame) -> DataFrame:
     both = session.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     stars_ = session.cut(_first_labels(both))
     ends = [stars_.select(F.col("node").alias(c), F.col("label").alias(f"{c}_star")) for c in ("a", "b")]
-    between = both.join(ends[0], "a").join(ends[1], "b").where("a_star <> b_star")
+    between = both.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").where("a_star <> b_star")
     between = session.cut(between.select(F.col("a_star").alias("a"), F.col("b_star").alias("b")).distinct())
     if between.isEmpty():
         return stars_
     labels = session.cut(_first_labels(between))
     while True:
-        near = between.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
+        near = between.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        stepped = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         # a star that no edge leaves keeps its own name
-        jumped = session.cut(stepped.join(jump, "to", "left").select("node", "was", F.least("to", "further").alias("label")))
+        jumped = session.cut(stepped.join(jump.hint("merge"), "to", "left").select("node", "was", F.least("to", "further").alias("label")))
         if jumped.filter(F.col("label") != F.col("was")).isEmpty():
             break
         labels = jumped.select("node", "label")
     final = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
-    return stars_.join(final, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return stars_.join(final.hint("merge"), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
 
 
 def _first_labels(both: DataFrame) -> DataFrame:
@@ -301,10 +304,11 @@ def components(prints: DataFrame, radius: int, keys: list[list[int]], cell_rows:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every fingerprinted row."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     joined = connected(links(distinct.select("fp"), radius, keys, cell_rows))
-    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
+    named = distinct.join(joined.hint("merge"), distinct.fp == joined.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     named = session.cut(named)
     ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(ids, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    of_fp = named.join(ids.hint("merge"), "label").select("fp", "component_id")
+    return prints.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, width: int = 64, radius: int = 4, keys: list[list[int]] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:

@@ -77,3 +77,20 @@ def test_similar_texts_meet_at_the_wide_radius(spark):
     found = [got[2 * k] == got[2 * k + 1] for k in range(40)]
     assert min(pairs) >= 0.8 and sum(found) >= 39
     assert len(set(got.values())) >= 40
+
+
+def test_no_table_is_broadcast(spark):
+    """Tables of few bytes as Parquet are many rows, which the driver could not hold."""
+    values = [0, 1, 3, *(1 << k for k in range(20, 60, 10)), *(0xFFFF << 4 * k for k in range(0, 12, 2))]
+    # chains of stars: their labels are propagated
+    chain = [(1 << 63) | sum(1 << b for b in range(60 - k, 60)) for k in range(0, 60, 3)]
+    rows = [(k, bytearray(v.to_bytes(8, "big"))) for k, v in enumerate(values + chain[::2] + chain[1::2])]
+    prints = spark.createDataFrame(rows, "doc_id long, fp binary")
+    key = "spark.sql.maxBroadcastTableSize"
+    most = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        got = simhash.components(prints, 4, simhash.block_keys(64, 4, 6)).collect()
+    finally:
+        spark.conf.set(key, most)
+    assert {r.doc_id: r.component_id for r in got} == plain_components([r[0] for r in rows], [int.from_bytes(r[1], "big") for r in rows], 4)
